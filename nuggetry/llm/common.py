@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def slices(texts: pa.Array, most: int = 8 << 20):
     n = len(texts)
     if not n:
         return
-    width = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    width = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends, at = np.cumsum(width), 0
     while at < n:
         base = ends[at - 1] if at else 0

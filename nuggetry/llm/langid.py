@@ -130,7 +130,7 @@ def fit(profiles: np.ndarray, langs: list[str], rounds: int = 300, ridge: float
     mean = weight.T @ profiles
     scale = (1 / (np.sqrt(mean) + 1e-3)).astype(np.float32)
     x = (profiles - mean) * scale
-    step = np.float32(4 / (float(weight.T @ (x * x).sum(1)) + 1))
+    step = np.float32(4 / (float(weight[:, 0] @ (x * x).sum(1)) + 1))
     w = np.zeros((x.shape[1], code.shape[1]), np.float32)
     ahead, bias = w.copy(), np.zeros(code.shape[1], np.float32)
     for i in range(rounds):

@@ -86,7 +86,7 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: pa.Array, most: int = 8 << 20):
+def slices(texts: pa.Array, most: int = 2 << 20):
     """``texts`` in runs of rows of about ``most`` bytes (at least a row each), so that memory stays bounded by
     the longest text instead of by rows times the longest text."""
     if isinstance(texts, pa.ChunkedArray):

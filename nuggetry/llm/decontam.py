@@ -37,7 +37,9 @@ FOUND = (
     .add("starts", T.ArrayType(T.IntegerType()))
     .add("ends", T.ArrayType(T.IntegerType()))
     .add("items", T.ArrayType(T.StringType()))
+    .add("clean", T.StringType())
 )
+_FOUND = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("clean", pa.string())])
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -172,14 +174,27 @@ def _merge(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _finder(automaton: Broadcast, first: bool):
-    """The UDF of one block: (text, found so far) to found."""
+def _without(text: bytes, starts: list[int], ends: list[int]) -> str:
+    """A text without the words of these ranges and what stands between them."""
+    text = text.decode()
+    spans = [m.span() for m in _WORD.finditer(text)]
+    kept, at = [], 0
+    for s, e in zip(starts, ends):
+        kept.append(text[at : spans[s][0]])
+        at = spans[e - 1][1]
+    return "".join([*kept, text[at:]]).strip()
+
+
+def _finder(automaton: Broadcast, first: bool, min_span: int | None):
+    """The UDF of one block: (text, found so far) to found. With ``min_span``, texts that have ranges of so many
+    words get a clean text without them."""
 
     def run(texts: pa.Array, before: pa.Array | None) -> pa.Array:
         sam, out, done = automaton.value, [], 0
         get = sam.vocabulary.get
         for part in slices(texts):
-            docs = [words_of(t) for t in utf8(part)]
+            raw = utf8(part)
+            docs = [words_of(t) for t in raw]
             sizes = np.array([len(d) for d in docs], np.int64)
             # A -1 after every text keeps matches from running over into the next one.
             ids = np.concatenate([np.fromiter(map(get, (*d, b""), repeat(-1)), np.int64, len(d) + 1) for d in docs])
@@ -193,10 +208,13 @@ def _finder(automaton: Broadcast, first: bool):
             for d, (s, e, names) in new.items():
                 rows[d]["starts"], rows[d]["ends"] = _merge(rows[d]["starts"] + s, rows[d]["ends"] + e)
                 rows[d]["items"] = sorted(names.union(rows[d]["items"]))
-            out += rows
+            if min_span is not None:
+                for r, t in zip(rows, raw):
+                    if long := [(s, e) for s, e in zip(r["starts"], r["ends"]) if e - s >= min_span]:
+                        r["clean"] = _without(t, *zip(*long))
+            out.append(pa.array(rows, _FOUND))
             done += len(docs)
-        kind = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-        return pa.array(out, kind)
+        return pa.concat_arrays(out) if out else pa.array([], _FOUND)
 
     if first:
 
@@ -209,7 +227,7 @@ def _finder(automaton: Broadcast, first: bool):
         def find(texts: pa.Array, before: pa.Array) -> pa.Array:
             return run(texts, before)
 
-    return find
+    return find.asNondeterministic()  # else a filter on the result would run it a second time
 
 
 def _blocks(items: DataFrame, block_words: int):
@@ -226,17 +244,19 @@ def _blocks(items: DataFrame, block_words: int):
     yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with the column ``found``: n_words, merged hit ranges in words (starts, ends exclusive) and item ids.
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, min_span: int | None = None) -> DataFrame:
+    """``docs`` with the column ``found``: n_words, merged hit ranges in words (starts, ends exclusive), item ids, and
+    with ``min_span`` the clean text of rows that have ranges of so many words.
 
     ``items(item_id, text)`` is the benchmark, a stated query set. Null and wordless texts have no words and no
     hits; items without words never occur; items that share an id count once; a null item id reads ``null``;
     an empty benchmark hits nothing; a column named ``found`` is replaced.
     """
-    out, first = without(docs, "found"), True
-    for block in _blocks(items, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
-        find = _finder(sent, first)
+    out, blocks = without(docs, "found"), _blocks(items, block_words)
+    block, first = next(blocks), True
+    while block is not None:
+        sent, block = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window)), next(blocks, None)
+        find = _finder(sent, first, min_span if block is None else None)
         out = out.withColumn("found", find(F.col("text")) if first else find(F.col("text"), F.col("found")))
         first = False
     return out
@@ -253,32 +273,12 @@ def contamination_table(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@arrow_udf(T.StringType())
-def _cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
-    """Texts without the hit words and what stands between them."""
-    out = []
-    for text, f in zip(texts.to_pylist(), found.to_pylist()):
-        if text and f and f["starts"]:
-            spans = [m.span() for m in _WORD.finditer(text)]
-            kept, at = [], 0
-            for s, e in zip(f["starts"], f["ends"]):
-                kept.append(text[at : spans[s][0]])
-                at = spans[e - 1][1]
-            text = "".join([*kept, text[at:]]).strip()
-        out.append(text)
-    return pa.array(out, pa.string())
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, min_span: int = 1, max_coverage: float = 0.5, **how) -> DataFrame:
     """``docs`` without benchmark passages: hit ranges of at least ``min_span`` words are removed from the texts, and
     documents of which more than ``max_coverage`` was hit go as a whole. Columns stay; n_chars follows the text."""
-    out = find_contamination(docs, items, **how).withColumn("_hit", n_hit())
-    out = out.where(F.col("_hit") <= F.col("found.n_words") * F.lit(max_coverage))
-    if min_span > 1:
-        keep = F.expr(f"filter(arrays_zip(found.starts, found.ends), x -> x.ends - x.starts >= {int(min_span)})")
-        out = out.withColumn("found", F.struct(F.col("found.n_words"), keep["starts"].alias("starts"), keep["ends"].alias("ends"), F.col("found.items")))
-    clean = F.when(F.size("found.starts") > 0, _cut_out(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    out = out.withColumn("text", clean)
+    out = find_contamination(docs, items, min_span=min_span, **how)
+    out = out.where(n_hit() <= F.col("found.n_words") * F.lit(max_coverage))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found.starts") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("found.clean").cast(kind), F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("found.clean", "text")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -235,8 +235,9 @@ def json_object(c) -> Column:
 
 
 def _is_object(s: Column) -> Column:
-    """Whether a string is a JSON object: the parser takes it and gives it back as an object."""
-    return F.coalesce(F.try_parse_json(s).cast("string").startswith("{"), F.lit(False))
+    """Whether a string is one JSON object and nothing else; the parser alone would let something follow it."""
+    v = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    return F.coalesce(v.cast("string").startswith("[{"), F.lit(False)) & F.try_variant_get(v, "$[1]", "string").isNull()
 
 
 def flat_json(c, field: str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql.functions import arrow_udf
 from ..functions import lexicon as lex
 from ..functions.rules import emphasis_words, role_view, span_role
 from ..functions.text import keywords, locate_words, sentence_index, text
+from ..sources.work import settle
 
 COLUMNS = ["sample_id", "suggestion_id", "evidence_type", "pos", "start", "end", "matched_text", "source_view", "evidence_role", "confidence"]
 WORDS_PER_SECOND = 2.5
@@ -147,7 +148,7 @@ def frame_evidence(suggestions: DataFrame, reviews: DataFrame, sentences: DataFr
 
 def text_evidence(suggestions: DataFrame, reviews: DataFrame, sentences: DataFrame, views: DataFrame | None = None) -> DataFrame:
     """All three text strategies."""
-    found = keyword_evidence(suggestions, sentences)
+    found = settle(keyword_evidence(suggestions, sentences), "evidence")
     found = found.unionByName(pattern_evidence(suggestions, reviews, sentences, found))
     return found.unionByName(frame_evidence(suggestions, reviews, sentences, views, found)) if views is not None else found
 

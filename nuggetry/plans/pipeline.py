@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import multimodal_context, short_id, switch_mode
 from ..operators import clusters, evidence, memory, ranking, routing
+from ..sources.work import settle
 from .providers import Provider, RuleProvider
 
 
@@ -68,24 +69,25 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     ``decisions(decision_id, text, decision, ts)`` is the episodic memory as it was before.
     """
     df = prepare(reviews, config)
-    sents = config.provider.sentences(df)
-    views = config.provider.text_views(df)
+    sents = settle(config.provider.sentences(df), "sentences")
+    views = settle(config.provider.text_views(df), "views")
     labels = config.provider.labels(df, sents)
     liberal = ranking.liberal(labels)
     merged = ranking.merge(ranking.conservative(labels), liberal) if config.conservative else liberal.withColumn("labeller", F.lit("liberal"))
-    accepted = ranking.arbitrate(merged, accept_all=not config.arbitration).where("accepted")
+    accepted = settle(ranking.arbitrate(merged, accept_all=not config.arbitration).where("accepted"), "accepted")
     canonical = ranking.canonicalise(accepted)
 
     context = df.select("sample_id", "domain", F.col("raw_text").alias("original_text"), "image_description", "audio_description", "overall_alignment", "user_segment", "switch_mode")
     s = canonical.join(accepted.select("sample_id", F.col("canonical_key").alias("canonical_text"), "text", "is_implied", "modality_agreement_score"), ["sample_id", "canonical_text"])
     s = s.withColumn("suggestion_id", short_id("canonical_text")).withColumn("source_modality", F.lit("text"))
-    s = s.join(context, "sample_id").join(views.select("sample_id", "complaint_frame", "speech_act", "tone", "urgency_score"), "sample_id")
+    s = settle(s.join(context, "sample_id").join(views.select("sample_id", "complaint_frame", "speech_act", "tone", "urgency_score"), "sample_id"), "suggestions")
 
     if config.evidence:
         asked = s.select("sample_id", "suggestion_id", "text")
         ev = evidence.text_evidence(asked, df, sents, views.select("sample_id", "complaint_frame", "comparison_frame", "request_frame", "confidence"))
         ev = ev.unionByName(evidence.image_evidence(asked, df.where("image_description <> ''").select("sample_id", F.lit(0).alias("image_index"), F.col("image_description").alias("caption"))))
         ev = ev.unionByName(evidence.audio_evidence(asked, df.where("audio_description <> ''").select("sample_id", F.col("audio_description").alias("transcript"))))
+        ev = settle(ev, "evidence")
         ev = ev.unionByName(evidence.cross_modal_evidence(ev, df.select("sample_id", "overall_alignment")))
         s = evidence.enrich(s, ev)
     else:
@@ -97,6 +99,7 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     else:
         s = s.withColumns({"suggestion_type": F.when(F.col("is_implied"), "implicit").otherwise("explicit"), "faithfulness_score": F.lit(0.5), "actionability_score": F.lit(0.0), "feasibility_score": F.lit(0.0)})
 
+    s = settle(s, "routed")
     order = s.select("sample_id", "suggestion_id", F.coalesce("domain", F.lit("general")).alias("domain"), "text", "confidence", F.xxhash64("sample_id", "suggestion_id").alias("seq"))
     members = clusters.assign_clusters(order).select("domain", "seq", "cluster_id", "cluster_size")
     s = s.withColumn("_seq", F.xxhash64("sample_id", "suggestion_id")).join(members.withColumnRenamed("seq", "_seq").drop("domain"), "_seq").drop("_seq")

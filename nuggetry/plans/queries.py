@@ -11,6 +11,8 @@ from ..functions import lexicon as lex
 from ..functions import rules, text
 from ..operators import bootstrap, clusters, evidence, matching, memory, metrics, ml, ranking, routing, similarity
 from ..sources import media, readers, sinks
+from ..sources.work import fresh, settle
+from ..streaming import memory as streaming
 from . import fixtures, pipeline
 from .providers import RuleProvider, with_topics
 
@@ -340,9 +342,9 @@ def inference_chains(spark, d):
 def _review_parts(spark):
     r = fixtures.reviews(spark)
     p = RuleProvider()
-    s = p.sentences(r)
+    s = settle(p.sentences(r), "sentences")
     labels = p.labels(r, s).select("sample_id", text.short_id("text").alias("suggestion_id"), "text")
-    return r, s, labels, p.text_views(r)
+    return r, s, labels, settle(p.text_views(r), "views")
 
 
 @query()
@@ -351,6 +353,7 @@ def evidence_rows(spark, d):
     ev = evidence.text_evidence(labels, r, s, views.select("sample_id", "complaint_frame", "comparison_frame", "request_frame", "confidence"))
     ev = ev.unionByName(evidence.image_evidence(labels, r.select("sample_id", F.lit(0).alias("image_index"), text.without_sentinel("image_description").alias("caption"))))
     ev = ev.unionByName(evidence.audio_evidence(labels, r.select("sample_id", text.without_sentinel("audio_description").alias("transcript"))))
+    ev = settle(ev, "evidence")
     return ev.unionByName(evidence.cross_modal_evidence(ev, r.select("sample_id", "overall_alignment")))
 
 
@@ -507,10 +510,8 @@ def recent_decisions(spark, d):
 
 @query(f"""SELECT date_trunc('day', ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE {_DECIDE} = 'accept') AS accepted, count(*) FILTER (WHERE {_DECIDE} = 'accept') / count(*)::DOUBLE AS approval_rate FROM events GROUP BY 1""")
 def rolling_approval(spark, d):
-    from ..streaming.memory import rolling_approval as roll
-
     e = table(spark, d, "events").select("ts", F.when(F.col("event_type").isin("purchase", "signup"), "accept").otherwise("reject").alias("decision"))
-    return roll(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return streaming.rolling_approval(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(f"""WITH m AS (SELECT max(value) AS m FROM events), e AS (SELECT event_id, event_type, user_id % 5 AS domain, value / m AS a, {_DECIDE} AS decision, user_id FROM events, m), q AS (SELECT * FROM e WHERE event_type = 'purchase'),
@@ -841,3 +842,25 @@ def gbt_scorer(spark, d):
     f = _features(spark, d)
     rated = f.withColumn("rating", ranking.linear_score(f))
     return ml.learned_score(ml.learned_scorer(rated), f).select("doc_id", "score")
+
+
+def _replay(spark, rows: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows written to a folder, read as a file stream until it is exhausted, and the stream's result read back."""
+    source, out = fresh(spark, "stream-in"), fresh(spark, "stream-out")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    streaming.append_incrementally(transform(stream), out, fresh(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query()
+def stream_decisions(spark, d):
+    """Windows that the watermark has closed; the last day of the table stays open."""
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type").isin("purchase", "signup"), "accept").otherwise("reject").alias("decision"))
+    return _replay(spark, e, streaming.rolling_approval)
+
+
+@query()
+def stream_clusters(spark, d):
+    s = table(spark, d, "conversations").select(F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.col("conv_id").cast("string").alias("sample_id"), F.lit(0.5).alias("confidence"))
+    return _replay(spark, s, streaming.stream_clusters).select("domain", "seq", "cluster_id", "cluster_size")

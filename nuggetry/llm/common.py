@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import shared_dir
+
 #: Words of the contracts that split on ASCII whitespace.
 WHITE_WORD = r"[^\x20\x09-\x0D]+"
 #: Broadcasts of tables whose row count is checked first go up to here; beyond, a shuffle join runs.
@@ -24,25 +25,6 @@ LOWER_TABLE = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The six ASCII whitespace characters of WHITE_WORD, as one space each.
 SPACE_TABLE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
-_local_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it. Where it is unset and everything runs in one process (tests), a
-    temporary folder serves; on a cluster that would be a folder of one machine, so it is an error.
-    """
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="nuggetry-"))
-    return "file://" + _local_dir[0]
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at files that outlive an executor."""
     spark = df.sparkSession

@@ -82,4 +82,36 @@ r AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN mid <= rest AND source_size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL}
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(page_id::VARCHAR, '')) AS h, chr(13) || chr(10) AS nl FROM pages),
+r AS (
+  SELECT *, 'part-' || substr(h, 1, 2) AS file, ('0x' || substr(h, 1, 8))::BIGINT AS mark, left(html, greatest(0, length(html) - 1)::BIGINT) || chr(1) AS rotten,
+         'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' AS head
+  FROM p),
+w AS (
+  SELECT *, head || strlen(html) || nl || nl || html || nl || nl AS record, head || strlen(rotten) || nl || nl || rotten || nl || nl AS bad FROM r),
+d AS (
+  SELECT *, sha256(record) AS expected, sha256(bad) AS now FROM w),
+o AS (
+  SELECT *, sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, expected ROWS UNBOUNDED PRECEDING) - strlen(record) AS place FROM d)
+SELECT file, place::BIGINT AS "offset", page_id, expected, CASE WHEN mark % 101 = 1 THEN NULL ELSE now END AS found, CASE WHEN mark % 101 = 1 THEN 'missing' ELSE 'altered' END AS fault
+FROM o WHERE mark % 101 = 1 OR mark % 97 = 0
+"""
+
+OP5_SQL = r"""
+WITH b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+n AS (SELECT item, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS win FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM n)),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+p AS (SELECT rid, size, k, array_to_string(w[k:k + size - 1], ' ') AS win FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size)),
+m AS (SELECT rid, k, size, item FROM p JOIN i USING (size, win)),
+h AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS pos FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}

@@ -98,9 +98,10 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def damaged(pages: DataFrame, recs: DataFrame) -> DataFrame:
-    """The record table of a replica with known damage, for drills: by the checksum of the id, one page in 97 has a
+    """The record table of a replica with known damage, for drills: by the MD5 of the id, one page in 97 has a
     changed byte at its end and one in 101 is gone; everything else was copied to the same offset."""
-    mark = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    mark = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     body = F.concat(F.substring(F.coalesce("html", F.lit("")), 1, F.greatest(F.lit(0), F.length(F.coalesce("html", F.lit(""))) - 1)), F.lit("\x01"))
     rot = pages.where(mark % 97 == 0).select(F.col("page_id").alias("_id"), F.sha2(record_bytes(F.col("url"), F.col("html")).cast("binary"), 256).alias("was"), F.sha2(record_bytes(F.col("url"), body).cast("binary"), 256).alias("now"))
     rot = rot.distinct()

@@ -24,7 +24,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import WORD_TABLE, slices, utf8, without
 
 BUCKETS = 1 << 13
-PER_LANG, TOTAL = 600, 4800
+PER_LANG, TOTAL = 600, 2400
 #: Positions that are looked up at once; bounds the memory of a prediction.
 BLOCK = 1 << 18
 UND = "und"
@@ -153,7 +153,7 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Model | None:
     """A model from the rows that aren't held out and have text with a letter and a language; None without such rows."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total // 8).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total // 4).collect()
     if not counts:
         return None
     want = min(per_lang, total // len(counts))

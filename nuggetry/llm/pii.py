@@ -24,6 +24,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import WORD_TABLE, cut, slices, utf8, without
 
 KINDS = ("email", "ip", "card", "phone")
+TERM_KINDS = ("term_removed", "term_generalised")
 SUPPORT, REACH = 2, 5
 GENERALISE_AT, REMOVE_AT = 0.9, 0.97
 MIN_LETTERS = 4
@@ -220,11 +221,13 @@ def _listed(spans) -> F.Column:
 
 
 def personal_data_table(docs: DataFrame, **how) -> DataFrame:
-    """The digest: doc_id, counts by kind, base_sha256 and spans. Spans come by kind as listed, then by start."""
+    """The digest: doc_id, counts by kind, base_sha256 and spans. Spans come by kind, entities first, then by start."""
     out = find_personal_data(docs.select("doc_id", "text"), **how)
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("found", lambda s: ~s["kind"].startswith("term"))
-    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+    of = lambda k: F.array_sort(F.filter("found", lambda s: s["kind"] == k))
+    added = [of(k) for k in TERM_KINDS]
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.concat(base, *added)).alias("spans"))
 
 
 @arrow_udf(T.StringType())

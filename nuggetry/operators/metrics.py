@@ -52,10 +52,9 @@ def detection_by(df: DataFrame, slices: list[str], gold: str = "gold", pred: str
     return scores(df.sparkSession.sql(sql, df=view))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle element of the sorted values, the upper one of two."""
-    s = F.array_sort(F.collect_list(values))
-    return F.try_element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def upper_median(name: str) -> Column:
+    """The middle element of the sorted values of a column, the upper one of two; aggregated as counts of values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def harmonic(a: Column, b: Column) -> Column:
@@ -107,8 +106,8 @@ def false_positive_rate(preds: DataFrame, negatives: DataFrame) -> DataFrame:
 
 def deltas(table: DataFrame, name: str, value: str, baseline: str) -> DataFrame:
     """Each configuration's value less that of the baseline row."""
-    base = F.max(F.when(F.col(name) == baseline, F.col(value))).over(Window.partitionBy())
-    return table.withColumn("delta", F.col(value) - base)
+    base = table.agg(F.max(F.when(F.col(name) == baseline, F.col(value))).alias("_base"))
+    return table.join(F.broadcast(base)).withColumn("delta", F.col(value) - F.col("_base")).drop("_base")  # one row
 
 
 def best_of(table: DataFrame, name: str, value: str) -> DataFrame:
@@ -166,14 +165,34 @@ def ndcg(predicted: DataFrame, gold: DataFrame, k: int, by: str | None = None) -
 def kendall_tau(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Tau over the pairs of common items that either ranking orders; 0 with fewer than two.
 
-    Discordant pairs come from one sorted pass: items in order of one ranking, counted against the other by a
-    self join on common items, which rankings bound.
+    Both rankings are cut into blocks of about the square root of the number of items. Pairs in different blocks of
+    both are counted from the grid of block counts by prefix sums, the others by joins within a block, so that n
+    items cost n to the power 1.5 and no block is larger than its width.
     """
     both = predicted.select("item", F.col("pos").alias("p")).join(gold.select("item", F.col("pos").alias("g")), "item")
-    other = both.select(F.col("item").alias("item2"), F.col("p").alias("p2"), F.col("g").alias("g2"))
-    sign = F.signum((F.col("p") - F.col("p2")).cast("double") * (F.col("g") - F.col("g2")))
-    pairs = both.join(other, F.col("item") < F.col("item2")).agg(F.coalesce(F.sum(sign), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.abs(sign)), F.lit(0.0)).alias("t"))
-    return pairs.select(ratio(F.col("s"), F.col("t")).alias("tau"))
+    last = both.agg(F.max(F.greatest("p", "g"))).first()[0]
+    width = max(1, int((last or 1) ** 0.5))
+    blocks = (last or 1) // width + 1
+    both = both.withColumn("a", F.floor(F.col("p") / width)).withColumn("b", F.floor(F.col("g") / width))
+
+    cells = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    spark = both.sparkSession
+    grid = spark.range(blocks).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    grid = grid.join(cells, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    along = Window.partitionBy("a")
+    low = F.coalesce(F.sum("c").over(along.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    high = F.coalesce(F.sum("c").over(along.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grid = grid.withColumn("low", low).withColumn("high", high)
+    before = Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    far = grid.select("c", F.coalesce(F.sum("low").over(before), F.lit(0)).alias("up"), F.coalesce(F.sum("high").over(before), F.lit(0)).alias("down"))
+    far = far.agg(F.sum(F.col("c") * (F.col("up") - F.col("down"))).alias("s"), F.sum(F.col("c") * (F.col("up") + F.col("down"))).alias("t"))
+
+    other = both.select(*[F.col(c).alias(f"{c}2") for c in both.columns])
+    sign = F.signum((F.col("p") - F.col("p2")).cast("double") * (F.col("g") - F.col("g2"))).cast("long")
+    same_a = both.join(other, (F.col("a") == F.col("a2")) & (F.col("item") < F.col("item2"))).select(sign.alias("x"))
+    same_b = both.join(other, (F.col("b") == F.col("b2")) & (F.col("a") != F.col("a2")) & (F.col("item") < F.col("item2"))).select(sign.alias("x"))
+    near = same_a.unionByName(same_b).agg(F.sum("x").alias("s"), F.sum(F.abs("x")).alias("t"))
+    return far.unionByName(near).agg(ratio(F.sum("s"), F.sum("t")).alias("tau"))
 
 
 def top_k_precision(predicted: DataFrame, gold: DataFrame, k: int) -> DataFrame:

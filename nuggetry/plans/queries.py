@@ -579,7 +579,7 @@ def seed_vs_generated(spark, d):
 
 @query("SELECT lang, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS median_chars, avg(n_chars) AS mean_chars FROM documents GROUP BY lang")
 def overlap_median(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(metrics.upper_median(F.col("n_chars")).alias("median_chars"), F.avg("n_chars").alias("mean_chars"))
+    return table(spark, d, "documents").groupBy("lang").agg(metrics.upper_median("n_chars").cast("long").alias("median_chars"), F.avg("n_chars").alias("mean_chars"))
 
 
 @query("""SELECT role AS model, count(*) AS n, avg(length(text) // 4 + turn) AS avg_tokens, sum(length(text))::DOUBLE / count(*) / 1000 AS avg_latency_s, round(sum(3 * (length(text) // 4) + 15 * turn) / count(*)::DOUBLE / 1e6, 12) AS avg_cost FROM conversations GROUP BY role""")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def test_patterns_inside_earlier_evidence_are_skipped(spark):
         assert not any(i == p.suggestion_id and a <= p.start and b >= p.end for i, a, b in spans)
     image = evidence.image_evidence(asked, spark.createDataFrame([("a", 0, "a red button")], "sample_id string, image_index int, caption string"), spark.createDataFrame([("a", ["Progress Bar"], ["undo"], ["Error Dialog"], True, "broken", 0.8)], "sample_id string, ui_elements_shown array<string>, missing_ui_elements array<string>, error_states_shown array<string>, shows_error boolean, implied_suggestion string, confidence double"))
     kinds = {(i.suggestion_id, i.evidence_role, i.confidence) for i in image.collect()}
-    assert {("x", "shows_problem", 0.8 / 2 if False else 0.4), ("x", "ui_context", 0.75), ("x", "missing_element", 0.7), ("y", "error_state", 0.85), ("y", "visual_proof", 0.8)} <= kinds
+    assert {("x", "shows_problem", 0.4), ("x", "ui_context", 0.75), ("x", "missing_element", 0.7), ("y", "error_state", 0.85), ("y", "visual_proof", 0.8)} <= kinds
     assert evidence.highlights(image).count() == image.count()
 
 
@@ -110,6 +112,7 @@ def test_metrics_on_nothing(spark):
     assert metrics.detection(empty).first()["f1"] == 0
     pairs = spark.createDataFrame([], "a int, b int")
     assert metrics.cohen_kappa(pairs).first()["kappa"] == 0 and metrics.krippendorff_alpha(pairs).first()["alpha"] == 0
+    assert metrics.kendall_tau(*[spark.createDataFrame([], "item int, pos int")] * 2).first()["tau"] == 0
     same = spark.createDataFrame([(1, 1)], "a int, b int")
     assert metrics.cohen_kappa(same).first()["kappa"] == 1 and metrics.krippendorff_alpha(same).first()["alpha"] == 1
 
@@ -121,3 +124,13 @@ def test_models_learn(spark):
         assert all(r.pred == r.id % 2 for r in ml.predict(model, df.drop("label")).collect())
     few = spark.createDataFrame([(0.5, 3.0)], "avg_confidence double, rating double")
     assert ml.learned_scorer(few) is None and ml.learned_score(None, few).first().score > 0
+
+
+def test_kendall_tau_against_all_pairs(spark):
+    rnd = random.Random(3)
+    for n in (2, 7, 60):
+        p, g = (rnd.sample(range(1, n + 5), n) for _ in range(2))
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        signs = [1 if (p[i] - p[j]) * (g[i] - g[j]) > 0 else -1 for i, j in pairs]
+        frame = lambda pos: spark.createDataFrame(list(enumerate(pos)), "item int, pos int")
+        assert abs(metrics.kendall_tau(frame(p), frame(g)).first()["tau"] - sum(signs) / len(signs)) < 1e-12

@@ -13,8 +13,8 @@ from ..operators import bootstrap, clusters, evidence, matching, memory, metrics
 from ..sources import media, readers, sinks
 from ..sources.work import fresh, settle
 from ..streaming import memory as streaming
-from . import fixtures, pipeline
-from .providers import RuleProvider, with_topics
+from . import evaluation, fixtures, pipeline
+from .providers import BANDS, RuleProvider, sentence_kind, split_sentences, with_topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -864,3 +864,148 @@ def stream_decisions(spark, d):
 def stream_clusters(spark, d):
     s = table(spark, d, "conversations").select(F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.col("conv_id").cast("string").alias("sample_id"), F.lit(0.5).alias("confidence"))
     return _replay(spark, s, streaming.stream_clusters).select("domain", "seq", "cluster_id", "cluster_size")
+
+
+# The rest of the inventory
+
+
+@query(f"""SELECT conv_id, turn, len(list_filter({s_words('text')}, lambda w: list_contains({qlist(lex.EMPHASIS_WORDS)}, trim(lower(w), '.,!?')) OR (w = upper(w) AND w <> lower(w))))::INT AS n_stressed FROM conversations""")
+def stressed_words(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(rules.emphasis_words("text")).alias("n_stressed"))
+
+
+_SPLIT = f"""c AS (SELECT id, text, {s_words('text')} AS w, list_position(list_transform({s_words('text')}, lambda x: list_contains({qlist(lex.SPLIT_VERBS)}, rtrim(lower(x), ',.:;'))), true) AS pos1 FROM t)"""
+
+
+@query(f"""WITH {_TEXTS}, {_SPLIT} SELECT id, CASE WHEN pos1 > 0 THEN w[pos1] ELSE '' END AS verb, CASE WHEN len(w) = 0 THEN '' WHEN pos1 > 0 THEN array_to_string(w[pos1 + 1:], ' ') ELSE text END AS target FROM c""")
+def action_targets(spark, d):
+    return fixtures.texts(spark).select("id", text.split_action("text").alias("a")).select("id", "a.verb", "a.target")
+
+
+@query(f"""WITH {_TEXTS} SELECT id, coalesce(trim(list_filter(string_split(text, '.'), lambda s: len(list_filter({qlist(lex.COMPLAINT_MARKERS)}, lambda m: contains(lower(s), m))) > 0)[1]), substr(text, 1, 200)) AS complaint FROM t""")
+def complaints(spark, d):
+    return fixtures.texts(spark).select("id", text.complaint("text", F.lit(None).cast("string")).alias("complaint"))
+
+
+_KIND = f"""CASE WHEN regexp_matches(lower(text), {q(rules.any_of(lex.EXPLICIT_STRONG + lex.EXPLICIT_MODERATE) + '|' + '|'.join(lex.ROLE_PATTERNS['direct_request']))}) THEN 'request'
+  WHEN regexp_matches(lower(text), {q(rules.any_of(lex.IMPLICIT_SIGNALS['comparison_to_feature'] + lex.IMPLICIT_SIGNALS['rhetorical_question']) + '|' + '|'.join(lex.ROLE_PATTERNS['comparison_frame']))}) THEN 'question'
+  WHEN regexp_matches(lower(text), {q('|'.join(lex.ROLE_PATTERNS['complaint_frame']) + '|' + rules.any_of(lex.COMPLAINT_MARKERS))}) THEN 'complaint' WHEN {s_any('text', lex.HARD_NEGATIVES['tech_software']['praise'])} THEN 'praise' ELSE 'neutral' END"""
+
+
+@query(f"""WITH {_TEXTS}, k AS (SELECT id, {_KIND} AS kind FROM t) SELECT id, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in BANDS.items())} END AS span_confidence FROM k""")
+def sentence_bands(spark, d):
+    band = F.create_map(*[F.lit(x) for kv in BANDS.items() for x in kv])
+    return fixtures.texts(spark).select("id", sentence_kind("text").alias("kind")).withColumn("span_confidence", band[F.col("kind")])
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s))::INT AS longest FROM s GROUP BY doc_id""")
+def document_sentences(spark, d):
+    s = split_sentences(table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("raw_text")))
+    return s.groupBy(F.col("sample_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("text")).alias("longest"))
+
+
+_INTENT = f"""p AS (SELECT conv_id AS grp, turn AS p, text, {s_minus(s_set('text'), lex.INTENT_STOPWORDS)} AS t FROM conversations WHERE role = 'user'), g AS (SELECT conv_id AS grp, turn AS g, {s_minus(s_set('text'), lex.INTENT_STOPWORDS)} AS t FROM conversations WHERE role <> 'user'),
+  b AS (SELECT grp, p, max({s_jaccard('p.t', 'g.t')}) AS s FROM p JOIN g USING (grp) GROUP BY grp, p), m AS (SELECT grp, sum(s) AS s, count(*) FILTER (WHERE s >= 0.3) AS tp FROM b GROUP BY grp),
+  n AS (SELECT * FROM (SELECT grp, count(*) AS np, avg({s_act('text')}) AS a, avg({s_feas('text')}) AS f, avg((p % 2 = 0)::INT) AS gates FROM p GROUP BY grp) FULL JOIN (SELECT grp, count(*) AS ng FROM g GROUP BY grp) USING (grp))"""
+
+
+@query(f"""WITH {_INTENT}, c AS (SELECT n.grp, coalesce(np, 0) AS n_pred, coalesce(ng, 0) AS n_gold, coalesce(tp, 0) AS tp, coalesce(s, 0) AS s, a, f, gates FROM n LEFT JOIN m USING (grp))
+  SELECT grp, n_pred, n_gold, tp, {s_ratio('tp', 'n_pred')} AS precision, {s_ratio('tp', 'n_gold')} AS recall, {s_ratio(f"2 * {s_ratio('tp', 'n_pred')} * {s_ratio('tp', 'n_gold')}", f"{s_ratio('tp', 'n_pred')} + {s_ratio('tp', 'n_gold')}")} AS f1,
+  round({s_ratio('s', 'n_pred')}, 9) AS avg_intent_match, round(a, 9) AS avg_actionability, round(f, 9) AS avg_feasibility, gates AS gate_pass_rate FROM c""")
+def implicit_scores(spark, d):
+    p, g = _pred_gold(spark, d)
+    gates = p.withColumns({"actionability_score": rules.actionability("text"), "feasibility_score": rules.feasibility("text"), "faithfulness_score": F.lit(0.5), "passed": F.col("pos") % 2 == 0})
+    out = matching.implicit_scores(gates, g).drop("avg_faithfulness")
+    return out.withColumns({c: F.round(c, 9) for c in ("avg_intent_match", "avg_actionability", "avg_feasibility")})
+
+
+@query(f"""WITH d AS (SELECT f1 FROM ({ORACLE['detection_metrics']})), o AS (SELECT avg(stem_overlap) AS mean_overlap FROM ({ORACLE['turn_similarities']})) SELECT f1, round(mean_overlap, 9) AS mean_overlap, round({s_ratio('2 * f1 * mean_overlap', 'f1 + mean_overlap')}, 9) AS mining_f1 FROM d, o""")
+def mining_f1(spark, d):
+    out = metrics.mining_f1(detection_metrics(spark, d), turn_similarities(spark, d).agg(F.avg("stem_overlap").alias("mean_overlap")))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_overlap", "mining_f1")})
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def last_decisions(spark, d):
+    return memory.last_decisions(table(spark, d, "events").select("event_id", "ts"), 20, tie="event_id")
+
+
+@query(f"SELECT * FROM ({ORACLE['cross_domain_patterns']}) ORDER BY domain_count DESC, count DESC, pattern LIMIT 10")
+def top_patterns(spark, d):
+    return memory.top_patterns(cross_domain_patterns(spark, d))
+
+
+@query("""WITH p AS (SELECT trim(lower(text)) AS k, count(DISTINCT source) AS n FROM documents GROUP BY 1) SELECT doc_id, n >= 2 AS cross_domain, least(0.1::DOUBLE, (n - 1) * 0.03::DOUBLE) AS cross_domain_boost FROM documents JOIN p ON trim(lower(text)) = k""")
+def cross_domain(spark, d):
+    docs = table(spark, d, "documents")
+    known = memory.patterns(docs.select("text", F.col("source").alias("domain"), F.lit(True).alias("accepted")))
+    return memory.cross_domain(docs.select(F.col("doc_id").alias("id"), "text"), known).select(F.col("id").alias("doc_id"), "cross_domain", "cross_domain_boost")
+
+
+@query(f"""WITH a AS (SELECT doc_id AS id, {s_set('text')} AS t FROM documents), e AS (SELECT id, t FROM a WHERE id % 7 = 0), {s_pairs('a', 'e', 0.75)}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS n FROM pairs) WHERE n = 1)
+  SELECT doc_id, coalesce(right_id, -1) AS edit_id FROM documents LEFT JOIN b ON left_id = doc_id""")
+def corrections(spark, d):
+    docs = table(spark, d, "documents")
+    edits = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("edit_id"), F.col("text").alias("original"), F.col("doc_id").cast("string").alias("corrected"))
+    out = memory.corrections(docs.select(F.col("doc_id").alias("id"), "text"), edits)
+    return out.select(F.col("id").alias("doc_id"), F.when(F.col("corrected_text") == F.col("text"), -1).otherwise(F.expr("try_cast(corrected_text AS bigint)")).alias("edit_id"))
+
+
+_FORMS = f"""c AS (SELECT DISTINCT conv_id, trim(lower(text)) AS k FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'user'),
+  r AS (SELECT c.conv_id, k, turn, CASE WHEN lower(text) = k THEN 2.0 ELSE {s_ratio(s_inter(s_set('text'), s_set('k')), f"greatest(len({s_set('text')}), len({s_set('k')}))")} END AS score FROM c LEFT JOIN a USING (conv_id)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY coalesce(score, 0) DESC, turn) AS n FROM r)"""
+
+
+@query(f"WITH {_FORMS} SELECT conv_id AS sample_id, md5(k) AS canonical, CASE WHEN coalesce(score, 0) > 0 THEN turn ELSE -1 END AS source_turn FROM n WHERE n = 1")
+def reattached_fields(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", "role", "text")
+    canonical = c.where("role = 'user'").select("sample_id", text.canonical_key("text").alias("canonical_text")).distinct().withColumn("original_forms", F.array("canonical_text"))
+    accepted = c.where("role <> 'user'").select("sample_id", F.col("turn").alias("pos"), "text", F.col("turn").alias("source_turn"))
+    return ranking.reattach(canonical, accepted, ["source_turn"]).select("sample_id", F.md5(F.col("canonical_text").cast("binary")).alias("canonical"), F.coalesce("source_turn", F.lit(-1)).alias("source_turn"))
+
+
+@query("""SELECT conv_id, turn, least(turn % 11, 8)::INT AS view_agreement_count, round(least(turn % 11, 8) / 8.0::DOUBLE, 3) AS view_agreement_ratio, CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.7 END AS user_segment_importance,
+  CASE WHEN (turn % 10) / 10.0 >= 0.6 THEN 1.2 ELSE 0.8 END AS text_weight, CASE WHEN (turn % 10) / 10.0 >= 0.6 THEN 1.0 ELSE 1.5 END AS image_weight FROM conversations""")
+def rerank_features(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.slice(F.sequence(F.lit(0), F.lit(10)), F.lit(1), (F.col("turn") % 11).cast("int")).alias("supporting_views"), ((F.col("turn") % 10) / 10.0).alias("overall_alignment"), F.when(F.col("turn") % 2 == 0, "power_user").alias("user_segment"))
+    mode = text.switch_mode(F.col("overall_alignment"))
+    out = ranking.rerank_features(c)
+    return out.select("conv_id", "turn", "view_agreement_count", "view_agreement_ratio", "user_segment_importance", ranking.view_weight(F.lit("text"), mode).alias("text_weight"), ranking.view_weight(F.lit("image"), mode).alias("image_weight"))
+
+
+@query(f"""WITH {_GOLD}, {_boot(100)}, s AS (SELECT resample, sum(w * pred::INT)::DOUBLE / sum(w) AS s FROM w GROUP BY resample) SELECT count(*) AS resamples, round(avg(s), 9) AS mean, round(quantile_cont(s, 0.025), 9) AS low, round(quantile_cont(s, 0.975), 9) AS high FROM s""")
+def bootstrap_mean(spark, d):
+    g = _gold(spark, d).select("doc_id", F.col("pred").cast("int").alias("v"))
+    out = bootstrap.interval(bootstrap.mean_statistic(g, "doc_id", "v", n=100), "stat")
+    return out.select("resamples", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(f"""WITH {_FEATURES} SELECT count(*) AS n, round(avg(grounding_score), 9) AS avg_grounding, round(avg(doc_id % 6)::DOUBLE, 9) AS avg_pieces, avg((doc_id % 3 >= 2)::INT) AS multi_modal_coverage, avg((grounding_score < 0.2)::INT) AS ungrounded FROM x""")
+def grounding_summary(spark, d):
+    f = _features(spark, d).select(F.col("grounding_score").alias("evidence_grounding_score"), (F.col("doc_id") % 6).alias("total_evidence_pieces"), F.slice(F.array(F.lit("text"), F.lit("image")), F.lit(1), (F.col("doc_id") % 3).cast("int")).alias("evidence_modalities"))
+    return metrics.grounding(f).withColumns({c: F.round(c, 9) for c in ("avg_grounding", "avg_pieces")})
+
+
+def _part(name: str, dimension: str, *columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{dimension}' AS dimension, '{c}' AS metric, {c}::DOUBLE AS value FROM ({ORACLE[name]})" for c in columns)
+
+
+@query(" UNION ALL ".join([_part("detection_metrics", "detection", "precision", "recall", "f1", "mcc"), _part("cohen_kappa", "agreement", "kappa"), _part("krippendorff_alpha", "agreement", "alpha"), _part("ndcg_at_10", "ranking", "ndcg"), _part("kendall_tau", "ranking", "tau"), _part("mining_f1", "extraction", "mining_f1")]))
+def full_evaluation(spark, d):
+    return evaluation.report(
+        evaluation.long(detection_metrics(spark, d), "detection", "precision", "recall", "f1", "mcc"), evaluation.long(cohen_kappa(spark, d), "agreement", "kappa"), evaluation.long(krippendorff_alpha(spark, d), "agreement", "alpha"),
+        evaluation.long(ndcg_at_10(spark, d), "ranking", "ndcg"), evaluation.long(kendall_tau(spark, d), "ranking", "tau"), evaluation.long(mining_f1(spark, d), "extraction", "mining_f1"),
+    )
+
+
+@query()
+def cluster_overview(spark, d):
+    s = table(spark, d, "conversations").select(F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.col("conv_id").alias("sample_id"), F.lit(0.5).alias("confidence"))
+    return clusters.cluster_stats(clusters.clusters(clusters.assign_clusters(s)))
+
+
+@query()
+def media_audit(spark, d):
+    rows = spark.createDataFrame(fixtures.MEDIA_ROWS, "entry_id string, image_path string, image_description string, has_image boolean")
+    files = media.with_names(spark.createDataFrame(fixtures.MEDIA_FILES, "path string, length long"))
+    return media.completeness(media.resolve(rows, files, "image_path", "image_description"), "has_image")

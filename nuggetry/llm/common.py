@@ -49,6 +49,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[df[f"`{c}`"] for c in df.columns if c.lower() in low]) if low & {c.lower() for c in df.columns} else df
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and whole rows as ``_row``: what an operator adds on the way can't touch columns of that name."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

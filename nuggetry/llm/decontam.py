@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_TABLE, slices, utf8, without
+from .common import WORD_TABLE, packed, slices, utf8, without
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -276,9 +276,10 @@ def contamination_table(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, min_span: int = 1, max_coverage: float = 0.5, **how) -> DataFrame:
     """``docs`` without benchmark passages: hit ranges of at least ``min_span`` words are removed from the texts, and
     documents of which more than ``max_coverage`` was hit go as a whole. Columns stay; n_chars follows the text."""
-    out = find_contamination(docs, items, min_span=min_span, **how)
+    out = find_contamination(packed(docs, "text"), items, min_span=min_span, **how)
     out = out.where(n_hit() <= F.col("found.n_words") * F.lit(max_coverage))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce(F.length("found.clean").cast(kind), F.col("n_chars")))
-    return out.withColumn("text", F.coalesce("found.clean", "text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.col("found.clean")
+    own = {c: F.col("_row").getField(c) for c in docs.columns} | {"text": F.coalesce(clean, F.col("text"))}
+    if "n_chars" in own:
+        own["n_chars"] = F.coalesce(F.length(clean).cast(docs.schema["n_chars"].dataType), own["n_chars"])
+    return out.select(*[v.alias(c) for c, v in own.items()])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, small, white_words, without
+from .common import cut, discard, packed, small, white_words, without
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -113,5 +113,5 @@ def mix_table(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    out = mix_sources(docs, **how).withColumn("_copy", F.explode(F.expr("array_repeat(1, cast(times as int))")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mix_sources(packed(docs, "doc_id", "source", "text"), **how)
+    return out.select("_row", F.explode(F.expr("array_repeat(1, cast(times as int))"))).select("_row.*")

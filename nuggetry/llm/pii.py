@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_TABLE, cut, slices, utf8, without
+from .common import WORD_TABLE, cut, packed, slices, utf8, without
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term_removed", "term_generalised")
@@ -250,5 +250,5 @@ def _sanitised(texts: pa.Array, found: pa.Array) -> pa.Array:
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with entities replaced by their kind, disclosing terms removed or replaced; columns as they are."""
-    out = find_personal_data(docs, **how).withColumn("text", _sanitised("text", "found"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = find_personal_data(packed(docs, "text"), **how).withColumn("text", _sanitised("text", "found"))
+    return out.select(*[(F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_TABLE, slices, utf8, without
+from .common import WORD_TABLE, packed, slices, utf8, without
 
 BUCKETS = 1 << 18
 PER_GRADE = 2000
@@ -170,5 +170,5 @@ def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The accepted rows of ``docs``, columns as they are."""
-    marked = rate(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), train(docs, labels), **how)
+    marked = rate(packed(docs, "text"), train(docs, labels), **how)
     return marked.where("accepted").select("_row.*")

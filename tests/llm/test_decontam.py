@@ -89,3 +89,5 @@ def test_spans_go_and_the_rest_stays(spark):
     assert set(got) == {0, 2, 3}
     assert "two" not in got[0]["text"] and got[0]["text"].count("plain") == 20 and got[0]["n_chars"] == len(got[0]["text"])
     assert got[2]["text"] == keep
+    twice = rows(decontam.decontaminate(clashing(df), bench))
+    assert all(r["FOUND"] == r["Size"] == "clash" for r in twice) and {r["text"] for r in twice} == {r["text"] for r in got.values()}

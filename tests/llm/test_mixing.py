@@ -79,3 +79,5 @@ def test_mixed_documents_repeat_rows(spark):
     count = {r["doc_id"]: r["count"] for r in rows(out.groupBy("doc_id").count())}
     assert count == {i: n for i, n in times.items() if n}
     assert out.where(F.col("text").isNull()).count() == 0
+    clash = mixing.mixed_documents(clashing(odd(spark)))
+    assert {r["Size"] for r in rows(clash)} == {"clash"}

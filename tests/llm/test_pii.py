@@ -60,6 +60,7 @@ def test_terms_that_give_an_entity_away(spark):
     assert got[0]["spans"].startswith("email:") and "term" in got[0]["spans"]
     clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitise(df))}
     assert "[EMAIL]" in clean[0] and "Zorblatt" not in clean[0] and "zorblatt" not in clean[304] and clean[10] == texts[10] and clean[305] is None
+    assert {r["spans"] for r in rows(pii.sanitise(clashing(df)))} == {"clash"}
     small = {r["doc_id"]: r["spans"] for r in rows(pii.personal_data_table(df, block_terms=1))}
     assert {i: set(s.split(",")) for i, s in small.items()} == {i: set(r["spans"].split(",")) for i, r in got.items()}
 

@@ -112,3 +112,18 @@ def test_memory_edges(spark):
     assert got == {1: (True, 0.06), 2: (True, 0.0), 3: (False, 0.0)}
     times = spark.createDataFrame([(d,) for d in (0, 10, 100)], "d int").select(F.timestamp_seconds(F.col("d") * 86400).alias("ts"))
     assert memory.recent(times, 90).count() == 2
+
+
+def test_short_term_and_patterns_on_a_stream(spark):
+    rows = [("Dark mode", "x", True, 0), ("dark mode ", "y", False, 3600), ("Dark mode", "x", True, 7200)]
+    df = spark.createDataFrame(rows, "text string, domain string, accepted boolean, s int").withColumn("ts", F.timestamp_seconds("s")).withColumn("decision", F.when(F.col("accepted"), "accept").otherwise("reject"))
+    source, out, state = (fresh(spark, n) for n in ("in", "out", "state"))
+    df.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    streaming.append_incrementally(streaming.short_term(stream), out, state).awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["Dark mode", "dark mode "]
+    running = streaming.running_patterns(stream).writeStream.format("memory").queryName("patterns").outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    got = spark.table("patterns").first()
+    assert (got.pattern, got["count"], got.accepted_count, got.domains) == ("dark mode", 3, 2, ["x", "y"])
+    assert streaming.running_patterns(df).first()[:] == got[:]

@@ -1,6 +1,10 @@
 """Language-model scoring by cross-entropy difference.
 
-Two 4-gram models, of a target (documents rated good and not toxic) and of the background (all documents),
+The query scores with two bigram models over words (``word_scores``), whose counts grow with the corpus: blocks of
+documents send each distinct n-gram once to its bucket, where the counts of all blocks meet, and get back the
+counts that differ from their own. Words are taken as they are written; n-grams are known by 64-bit hashes.
+
+``train`` and ``score`` are the small counterpart that fits a broadcast: two 4-gram models, of a target (documents rated good and not toxic) and of the background (all documents),
 share one vocabulary, smoothing and order. Tokens are symbols: bytes folded into the 64 of ``SYMBOLS``, so that
 the vocabulary is the same at every corpus size, nothing is out of it, and a model is a table of 64**4 cells,
 which bounds what is broadcast. Counts come from all documents and are summed in a shuffle. A document's score
@@ -9,16 +13,21 @@ is the mean over its tokens of target loss minus background loss: below zero, it
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, utf8, without
+from .common import cut, slices, utf8, without
 
 ORDER, SYMBOLS = 4, 64
 EDGE = 63
@@ -80,15 +89,19 @@ def losses(gram: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return -np.log(p, out=p)
 
 
+def _marked(docs: DataFrame, target_ids: DataFrame, rows: int) -> DataFrame:
+    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    ids = F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
+
+
 def train(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) -> np.ndarray | None:
     """Target loss minus background loss of every 4-gram; None where either side has no text.
 
     ``target_ids(doc_id)`` names the target documents; up to ``rows`` of them, which a count checks, are
     broadcast, more are joined by shuffle.
     """
-    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    ids = F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
-    marked = docs.where("text IS NOT NULL").select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
+    marked = _marked(docs.where("text IS NOT NULL"), target_ids, rows).select("text", "target")
     counts = marked.mapInArrow(_count, "gram int, target long, background long").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     got = counts.toArrow()  # SYMBOLS**ORDER rows at most
     gram, mine, every = (got.column(c).to_numpy() for c in ("gram", "target", "background"))
@@ -125,7 +138,195 @@ def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
     return base.withColumn("_s", measure("text")).select(*[F.col(f"`{c}`") for c in base.columns], "_s.n_tokens", "_s.xent_diff")
 
 
+#: Text bytes of a block of documents, and n-grams that a bucket of counts is laid out for.
+BLOCK, BUCKET = 16 << 20, 1_000_000
+#: A word is a CJK character, a run of ASCII letters, digits and other non-ASCII characters, or one other visible byte.
+_WORD = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|(?:[0-9A-Za-z]|[\xc2-\xe2\xee-\xf4][\x80-\xbf]+)+|[^\x00-\x20\x7f]")
+
+
+class _Ids(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
+
+
+def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts by number, each text closed by the edge, which is 0; the hashes of the numbered words;
+    how many words each text has, its end included."""
+    known = _Ids({b"": 0})
+    line, size = [], []
+    for t in texts:
+        found = _WORD.findall(t)
+        found.append(b"")
+        line.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+        size.append(len(found))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
+    return np.concatenate(line), hashes, np.array(size, np.int64)
+
+
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = before * np.uint64(0x9E3779B97F4A7C15) + word
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(29)
+    return key
+
+
+_BLOCK = "block long, docs binary, tokens binary, vocabulary binary, n_target long, n_all long"
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to blocks, a row each: ids, sizes and sides of its documents, its words by number, its vocabulary."""
+    held, width, n = [], 0, TaskContext.get().partitionId() << 32
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        texts = rows.column("text").combine_chunks()
+        line, hashes, size = word_ids(utf8(texts))
+        full = np.asarray(pc.is_valid(texts))
+        target = np.asarray(rows.column("target")) & full
+        length = pc.add(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), 1)
+        docs = pa.table({"doc_id": rows.column("doc_id"), "n_tokens": length, "n_words": pa.array(size), "target": pa.array(target), "full": pa.array(full)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        values = (n, sink.getvalue().to_pybytes(), _zip(line), hashes.tobytes(), int(size[target].sum()), int(size[full].sum()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["block", "docs", "tokens", "vocabulary", "n_target", "n_all"])
+
+    for batch in batches:
+        done = 0
+        for part in slices(batch.column("text"), BLOCK // 4):
+            held.append(batch.slice(done, len(part)))
+            done += len(part)
+            width += pc.sum(pc.binary_length(part)).as_py() or 0
+            if width >= BLOCK * 3 // 4:
+                yield flush()
+                held, width, n = [], 0, n + 1
+    if held:
+        yield flush()
+
+
+def _counted(docs: bytes, tokens: bytes, vocabulary: bytes) -> tuple:
+    """Of one block: its documents, the keys of its words and bigrams in order, where each token, its bigram and the
+    word before it stand in them, and its own counts of target and background."""
+    rows = pa.ipc.open_stream(docs).read_all()
+    size, hashes = np.asarray(rows.column("n_words")), np.frombuffer(vocabulary, np.uint64)
+    (word,) = _unzip(tokens, int(size.sum()), "i4")
+    before = np.empty_like(word)
+    before[0], before[1:] = 0, word[:-1]
+    code, pair = np.unique(before.astype(np.int64) * len(hashes) + word, return_inverse=True)
+    keys = np.concatenate([hashes, _pair_keys(hashes[code // len(hashes)], hashes[code % len(hashes)])])
+    order = np.argsort(keys)
+    keys, place = keys[order], np.empty(len(keys), np.int32)
+    place[order] = np.arange(len(keys), dtype=np.int32)
+    own = []
+    for side in ("target", "full"):
+        mine = np.repeat(np.asarray(rows.column(side)), size)
+        counts = np.concatenate([np.bincount(word[mine], minlength=len(hashes)), np.bincount(pair[mine], minlength=len(code))])
+        own.append(counts[order])
+    return rows, size, keys, place[word], place[len(hashes) + pair], place[before], *own
+
+
+def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket, a range of keys, starts in sorted ``keys``, and the end."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _zip(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(x.tobytes() for x in arrays), codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    raw, out, at = pa.decompress(data, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True), [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+_SENT = "bucket int, block long, n int, data binary"
+
+
+def _sent(buckets: list, blocks: list, n: list, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "block", "n", "data"])
+
+
+def _send(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *held in zip(*(batch.column(i) for i in range(4))):
+                _, _, keys, *_, target, every = _counted(*(x.as_py() for x in held))
+                start = _bucket_starts(keys, buckets)
+                some = np.nonzero(np.diff(start))[0]
+                cuts = [slice(start[b], start[b + 1]) for b in some]
+                yield _sent(some, [block.as_py()] * len(some), [c.stop - c.start for c in cuts], [_zip(keys[c], target[c].astype("u4"), every[c].astype("u4")) for c in cuts])
+
+    return run
+
+
+def _meet(sent: pa.Table) -> pa.Table:
+    """The counts of one bucket over all blocks, back to each block where they differ from its own."""
+    n, bucket, blocks = (sent.column(c).to_pylist() for c in ("n", "bucket", "block"))
+    parts = [_unzip(d.as_py(), m, "u8", "u4", "u4") for d, m in zip(sent.column("data"), n)]
+    keys, target, every = (np.concatenate(x) for x in zip(*parts))
+    at = np.unique(keys, return_inverse=True)[1]
+    both = [np.bincount(at, weights=own).astype(np.int64)[at] for own in (target, every)]
+    changed, out, done = (both[0] != target) | (both[1] != every), [], 0
+    for m in n:
+        where = np.nonzero(changed[done : done + m])[0]
+        out.append((len(where), _zip(where.astype("u4"), both[0][done + where], both[1][done + where])))
+        done += m
+    return pa.Table.from_batches([_sent(bucket, blocks, [x[0] for x in out], [x[1] for x in out])])
+
+
+def _rate(buckets: int, n_target: int, n_all: int, n_words: int, schema: pa.Schema):
+    def run(blocks: pa.Table, back: pa.Table) -> pa.Table:
+        out = []
+        for held in zip(*(blocks.column(c) for c in ("docs", "tokens", "vocabulary"))):
+            rows, size, keys, word, pair, before, target, every = _counted(*(x.as_py() for x in held))
+            start = _bucket_starts(keys, buckets)
+            for b, m, data in zip(back.column("bucket").to_pylist(), back.column("n").to_pylist(), back.column("data")):
+                where, t, e = _unzip(data.as_py(), m, "u4", "i8", "i8")
+                target[start[b] + where], every[start[b] + where] = t, e
+            total = np.zeros(len(word))
+            if n_target:
+                for counts, n, sign in ((target, n_target, -1), (every, n_all, 1)):
+                    p = (counts[word] + CONCENTRATION / n_words) / (n + CONCENTRATION)
+                    total += sign * np.log((counts[pair] + CONCENTRATION * p) / (counts[before] + CONCENTRATION))
+            mean = np.add.reduceat(total, np.cumsum(size) - size) / size
+            out.append(pa.Table.from_arrays([rows.column("doc_id"), rows.column("n_tokens"), rows.column("n_words"), pa.array(mean)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
+def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``(doc_id, n_tokens, n_words, xent_diff)`` of every row: its bytes and one, its words and one for its end, and
+    the mean over the latter of target loss minus background loss.
+
+    A bigram's probability is smoothed by its word's, that by 1 / vocabulary of the corpus. Null text trains nothing
+    and scores as empty text; where the target has no text every difference is 0.
+    """
+    marked = _marked(docs, target_ids, rows)
+    blocks = cut(marked.mapInArrow(_blocked, _BLOCK))
+    n_target, n_all = (x or 0 for x in blocks.agg(F.sum("n_target"), F.sum("n_all")).first())
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_py(), np.int64))], names=["word"])
+
+    parts = blocks.select("block", "docs", "tokens", "vocabulary")
+    n_words = blocks.select("vocabulary").mapInArrow(listed, "word long").distinct().count()
+    buckets = max(64, 2 * n_all // BUCKET)
+    back = parts.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_meet, _SENT)
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("xent_diff", T.DoubleType())])
+    rate = _rate(buckets, n_target, n_all, n_words, to_arrow_schema(kind))
+    return parts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(rate, kind)
+
+
 def lm_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The digest: doc_id, n_tokens, xent_diff. The target is what is rated good and not toxic."""
+    """The digest: doc_id, n_tokens, n_words, xent_diff. The target is what is rated good and not toxic."""
     good = labels.where("quality >= 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return score(docs, train(docs, good)).select("doc_id", "n_tokens", "xent_diff")
+    return word_scores(docs, good)

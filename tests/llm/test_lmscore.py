@@ -57,3 +57,27 @@ def test_odd_rows(spark):
     none = rows(lmscore.lm_table(odd(spark), labels.limit(0)))
     assert {r["xent_diff"] for r in none} == {0.0}
     assert lmscore.lm_table(odd(spark).limit(0), labels).count() == 0
+
+
+def plain_word_loss(texts, vocabulary):
+    """-log p of a word after another, straight from the definition."""
+    split = lambda t: ["", *[m.decode() for m in lmscore._WORD.findall(t.encode())], ""]
+    one = Counter(w for t in texts for w in split(t)[1:])
+    two = Counter(p for t in texts for p in zip(split(t), split(t)[1:]))
+    c, n = lmscore.CONCENTRATION, sum(one.values())
+    return lambda t: np.array([-math.log((two[h, w] + c * (one[w] + c / vocabulary) / (n + c)) / (one[h] + c)) for h, w in zip(split(t), split(t)[1:])])
+
+
+def test_words_against_the_definition(spark):
+    texts = ["The river runs.", "runs The river.", "Река течёт быстро, 42", "река течёт 43", "川が流れる", "the river runs.", "", None, "the stones of the river"]
+    df = docs(spark, texts).repartition(3)
+    good = spark.createDataFrame([(0, 1, 0), (4, 1, 0), (8, 1, None), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in rows(lmscore.lm_table(df, good))}
+    known = [t for t in texts if t is not None]
+    vocabulary = len({w for t in known for w in lmscore._WORD.findall(t.encode())}) + 1
+    target, background = plain_word_loss([texts[0], texts[4], texts[8]], vocabulary), plain_word_loss(known, vocabulary)
+    for i, t in enumerate(texts):
+        want = target(t or "") - background(t or "")
+        assert got[i]["n_words"] == len(want) and math.isclose(got[i]["xent_diff"], want.mean(), abs_tol=1e-9)
+    assert got[0]["xent_diff"] != got[1]["xent_diff"] != got[5]["xent_diff"] and got[2]["xent_diff"] != got[3]["xent_diff"]
+    assert got[4]["n_words"] == 6

@@ -2,32 +2,32 @@
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then says
 which terms give an entity away: with documents as events, PMI(c; t) is what term t tells of entity c, IC(c) is
-all there is to tell, and PMI / IC is the disclosure. Candidates are the terms up to ``reach`` words from an
-entity that keep it company in at least ``support`` different texts. Terms that disclose ``remove_at`` or more
+all there is to tell, and PMI / IC is the disclosure. Candidates are the terms that share at least ``support``
+different texts with an entity, wherever they stand in them; a term's length does not matter, its frequency in the
+corpus keeps common words' disclosure low. Terms that disclose ``remove_at`` or more
 are removed wherever they stand, those from ``generalise_at`` on are replaced by their kind. Entities always go.
 
-All counts are over all documents. Candidates and disclosing terms go to the workers in blocks of bounded size.
+All counts are over all documents and meet in shuffles. Disclosing terms go to the workers in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_TABLE, cut, packed, slices, utf8, without
+from .common import WORD_TABLE, cut, packed, slices, small, utf8, without
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term_removed", "term_generalised")
-SUPPORT, REACH = 2, 5
+SUPPORT = 2
 GENERALISE_AT, REMOVE_AT = 0.9, 0.97
-MIN_LETTERS = 4
 #: Most terms in a block that is sent to the workers.
 BLOCK_TERMS = 200_000
 
@@ -74,56 +74,40 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _is_term(word: str) -> bool:
-    return len(word) >= MIN_LETTERS and not word.isdigit()
-
-
-def near_terms(text: str, found: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, str]]:
-    """(entity, term) for the terms up to ``reach`` words before or after each entity, on no entity themselves."""
-    taken = sorted((a, b) for _, a, b in found)
-    for kind, a, b in found:
-        name = f"{kind}:{text[a:b].lower()}"
-        words = []
-        before = text[max(0, a - 64 * reach) : a]
-        off = a - len(before)
-        words += [(m[0], off + m.start(), off + m.end()) for m in _TERM.finditer(before)][-reach:]
-        words += [(m[0], b + m.start(), b + m.end()) for m, _ in zip(_TERM.finditer(text[b : b + 64 * reach]), range(reach))]
-        for word, s, e in words:
-            if _is_term(word) and not any(x < e and s < y for x, y in taken):
-                yield name, word.lower()
-
-
-def _pairs(reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, terms, text_of = [], [], []
-            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = entities(text)
-                # An entity without terms nearby still counts: its empty term carries the entity's own frequency.
-                for name, term in {(f"{k}:{text[a:b].lower()}", "") for k, a, b in found}.union(near_terms(text, found, reach)):
-                    names.append(name)
-                    terms.append(term)
-                    text_of.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(terms, pa.string()), pa.array(text_of, pa.int64())], names=["entity", "term", "text_hash"])
-
-    return run
+def terms_beside(text: str, found: list[tuple[str, int, int]]) -> set[str]:
+    """The terms of a text, lower-cased, that stand somewhere outside its entities."""
+    spans = sorted((a, b) for _, a, b in found)
+    out, i, reached = set(), 0, 0
+    for m in _TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reached, i = max(reached, spans[i][1]), i + 1
+        if reached <= m.start():
+            out.add(m[0].lower())
+    return out
 
 
-def _present(sent):
-    """Counts of the texts of a batch that hold each of the terms."""
+def _entities_and_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = 0
+        for part in slices(batch.column(0)):
+            names, terms, copies = [], [], []
+            for text, n in zip(part.to_pylist(), batch.column(1).slice(done, len(part)).to_pylist()):
+                if found := entities(text):
+                    names.append(list({f"{k}:{text[a:b].lower()}" for k, a, b in found}))
+                    terms.append(list(terms_beside(text, found)))
+                    copies.append(n)
+            done += len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(copies, pa.int64())], names=["entities", "terms", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {t.encode(): i for i, t in enumerate(sent.value)}
-        total = np.zeros(len(index), np.int64)
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                for text in utf8(part):
-                    for w in index.keys() & set(_words(text)):
-                        total[index[w]] += 1
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([sent.value[i] for i in at], pa.string()), pa.array(total[at])], names=["term", "n"])
 
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the texts that hold each term, summed over some megabytes of them."""
+    for batch in batches:
+        for part in slices(batch.column(0), 8 << 20):
+            total = Counter()
+            for text in utf8(part):
+                total.update(set(_words(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -145,24 +129,21 @@ def _blocks(terms: DataFrame, size: int) -> Iterator[list[str]]:
         yield block
 
 
-def disclosures(docs: DataFrame, support: int = SUPPORT, reach: int = REACH, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def disclosures(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``(term, disclosure)``: what the terms that keep an entity company tell of it, at most, from 0 to 1.
 
-    Copies of one text count as documents but not as different texts for ``support``.
+    Copies of one text count as documents but not as different texts for ``support``; entities in fewer texts have
+    no candidates.
     """
     texts = docs.select("text").where("text IS NOT NULL")
-    pairs = texts.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).mapInArrow(_pairs(reach), "entity string, term string, text_hash long")
-    by_text = pairs.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    together = cut(by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support))
-    alone = together.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    together = together.where("term <> ''")
-    terms, counted = together.select("term").distinct(), None
-    for block in _blocks(terms, block_terms):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        some = texts.mapInArrow(_present(sent), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        counted = some if counted is None else counted.unionByName(some)
-    if counted is None:
-        return together.select("term", F.lit(0.0).alias("disclosure")).limit(0)
+    distinct = texts.where(F.col("text").rlike("[0-9@]")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    held = cut(distinct.mapInArrow(_entities_and_terms, "entities array<string>, terms array<string>, n long"))
+    each = held.select("terms", "n", F.explode("entities").alias("entity"))
+    alone = cut(each.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support).drop("n_texts"))
+    pairs = each.join(small(alone.select("entity")), "entity").select("entity", "n", F.explode("terms").alias("term"))
+    together = cut(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support))
+    terms = small(together.select("term").distinct())
+    counted = texts.mapInArrow(_frequencies, "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = F.lit(float(docs.count()))
     told = F.log2(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     joined = together.join(alone, "entity").join(counted, "term").where(F.col("n_entity") < total)
@@ -206,7 +187,7 @@ def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, re
     Kinds are email, ip, card, phone, then ``term_removed`` and ``term_generalised``. Null text has no spans; a
     term is where its lower-cased form stands as a whole word; a column named ``found`` is replaced.
     """
-    terms = disclosures(docs, block_terms=block_terms, **how).where(F.col("disclosure") >= generalise_at)
+    terms = disclosures(docs, **how).where(F.col("disclosure") >= generalise_at)
     kind = F.when(F.col("disclosure") >= remove_at, "term_removed").otherwise("term_generalised")
     chosen = cut(terms.select(F.concat_ws(" ", "term", kind).alias("t")))
     out = without(docs, "found").withColumn("found", _find("text"))

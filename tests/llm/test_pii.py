@@ -71,3 +71,21 @@ def test_odd_rows(spark):
     assert pii.personal_data_table(odd(spark).limit(0)).count() == 0
     long = docs(spark, ["9" * 200_000 + " a@" * 50_000, "1." * 100_000, "+1" + " " * 100_000])
     assert [r["n_email"] for r in rows(pii.personal_data_table(long))] == [0, 0, 0]
+
+
+def test_terms_far_from_the_entity_and_short_ones(spark):
+    far = "alpha beta gamma delta " * 40
+    texts = [f"Li 李 90210 {far} {i} max@home.example.org {' ' * 500} Bob{i % 2} x{i}" for i in range(4)] + [f"{far} plain {i}" for i in range(300)] + ["Li in 90210"]
+    told = {r["term"]: r["disclosure"] for r in rows(pii.disclosures(docs(spark, texts)))}
+    assert told["李"] == 1.0 and 0.9 < told["li"] == told["90210"] < 1.0 and told["bob0"] > 0.8 and told["gamma"] < 0.1
+    assert "home" not in told and "x1" not in told
+    got = {r["doc_id"]: r["spans"] for r in rows(pii.personal_data_table(docs(spark, texts)))}
+    assert "term_generalised:0:2" in got[304] and "term_generalised:6:11" in got[304] and got[10] == ""
+
+
+def test_terms_beside_entities():
+    text = "Ana ana@b.org Zed 10.0.0.1x éa@b.orgé end"
+    found = pii.entities(text)
+    taken = [(a, b) for _, a, b in found]
+    want = {m[0].lower() for m in pii._TERM.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)}
+    assert pii.terms_beside(text, found) == want

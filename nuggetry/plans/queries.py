@@ -534,12 +534,12 @@ def cross_domain_patterns(spark, d):
 @query()
 def memory_lookup(spark, d):
     docs = table(spark, d, "documents")
-    s = docs.where("lang = 'es'").select(F.col("doc_id").alias("id"), "text", F.lit(0.6).alias("confidence"), ((F.col("doc_id") % 10) / 10.0).alias("alignment_score"), F.lit("text").alias("dominant_modality"), F.col("source").alias("domain"))
+    s = docs.select(F.col("doc_id").alias("id"), "text", F.lit(0.6).alias("confidence"), ((F.col("doc_id") % 10) / 10.0).alias("alignment_score"), F.lit("text").alias("dominant_modality"), F.col("source").alias("domain"))
     log = docs.select(F.col("doc_id").alias("decision_id"), "text", F.when(F.col("doc_id") % 3 == 0, "accept").otherwise("reject").alias("decision"), F.timestamp_millis(F.col("doc_id") * 1000).alias("ts"))
-    edits = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("edit_id"), F.col("text").alias("original"), F.upper("text").alias("corrected"))
+    edits = docs.select(F.col("doc_id").alias("edit_id"), F.col("text").alias("original"), F.upper("text").alias("corrected"))
     align = s.select("alignment_score", "dominant_modality", "domain", F.lit("accept").alias("decision"))
     known = memory.patterns(docs.select("text", F.col("source").alias("domain"), F.lit(True).alias("accepted")))
-    return memory.lookup(s, log, docs.where("lang = 'es'").select("text"), edits, align, known).drop("similar_forms")
+    return memory.lookup(s, log, docs.select("text"), edits, align, known).drop("similar_forms")
 
 
 @query()

@@ -127,3 +127,14 @@ def test_short_term_and_patterns_on_a_stream(spark):
     got = spark.table("patterns").first()
     assert (got.pattern, got["count"], got.accepted_count, got.domains) == ("dark mode", 3, 2, ["x", "y"])
     assert streaming.running_patterns(df).first()[:] == got[:]
+
+
+def test_memory_lookup_takes_all_documents_and_edits(spark, tmp_path):
+    from nuggetry.plans import queries
+
+    texts = [(1, "make the big app much faster", "en"), (2, "make the big app much faster", "de"), (5, "nothing else like this", "es"), (7, "add a dark mode", "fr")]
+    rows = [(i, t, g, f"s{i % 2}", len(t)) for i, t, g in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r for r in queries.memory_lookup(spark, str(tmp_path)).collect()}
+    assert {i: r.corrected_text for i, r in got.items()} == {i: t.upper() for i, t, _ in texts}
+    assert all(r.is_human_corrected and r.semantic_memory_hit for r in got.values())

@@ -89,3 +89,40 @@ def test_terms_beside_entities():
     taken = [(a, b) for _, a, b in found]
     want = {m[0].lower() for m in pii._TERM.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)}
     assert pii.terms_beside(text, found) == want
+
+
+def test_addresses_with_leading_zeros():
+    text = "0" * 6000 + "10.0255.3.00004 1.2.3.256 7.7.7.7"
+    assert pii.entities(text) == [("ip", 0, 6015), ("ip", 26 + 6000, 33 + 6000)] == plain_long(text)
+
+
+def plain_long(text):
+    return [("ip", *m.span()) for m in IP.finditer(text) if all(int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+
+
+def test_secrets_are_told_by_their_entropy(spark):
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    texts = [f'token = "{key}" and so on', "a" * 40 + " " + "1" * 40 + " " + "a1" * 20, f"x{key}@mail.org", None]
+    got = rows(pii.personal_data_table(docs(spark, texts)))
+    assert [r["n_secret"] for r in got] == [1, 0, 0, 0] and [r["sensitive"] for r in got] == [True, False, True, False]
+    assert got[0]["spans"] == "secret:9:49" and got[2]["spans"].startswith("email:0:")
+    assert "[SECRET]" in pii.sanitise(docs(spark, texts[:1])).first()["text"]
+
+
+def test_bound_on_the_disclosure_drops_no_term(spark):
+    """Against counts by hand: every (entity, term) pair over all documents."""
+    texts = [f"max{i % 7}@home.org wort{i % 11} ding{i % 3} {'selten' if i % 7 == 2 else ''} 007" for i in range(60)] + [f"wort{i % 13} ohne ding{i % 5}" for i in range(90)] + ["selten", None, ""]
+    seen = [set(re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())) for t in texts]
+    of = [{t[a:b] for _, a, b in pii.entities(t or "")} for t in texts]
+    want = {}
+    for e in set().union(*of):
+        have = [i for i, x in enumerate(of) if e in x]
+        for term in set().union(*(pii.terms_beside(texts[i], pii.entities(texts[i])) for i in have)):
+            both = [i for i in have if term in pii.terms_beside(texts[i], pii.entities(texts[i]))]
+            if len({texts[i] for i in both}) >= 2:
+                n, n_term = len(texts), sum(term in s for s in seen)
+                told = min(1.0, pii.log2(n * len(both) / (len(have) * n_term)) / pii.log2(n / len(have)))
+                want[term] = max(want.get(term, told), told)
+    for least in (0.0, 0.3, 0.9):
+        got = {r["term"]: r["disclosure"] for r in rows(pii.disclosures(docs(spark, texts), least=least))}
+        assert got.keys() == {t for t, d in want.items() if d >= least} and all(abs(got[t] - want[t]) < 1e-9 for t in got)

@@ -1,14 +1,12 @@
 """Language-model scoring by cross-entropy difference.
 
-The query scores with two bigram models over words (``word_scores``), whose counts grow with the corpus: blocks of
-documents send each distinct n-gram once to its bucket, where the counts of all blocks meet, and get back the
-counts that differ from their own. Words are taken as they are written; n-grams are known by 64-bit hashes.
-
-``train`` and ``score`` are the small counterpart that fits a broadcast: two 4-gram models, of a target (documents rated good and not toxic) and of the background (all documents),
-share one vocabulary, smoothing and order. Tokens are symbols: bytes folded into the 64 of ``SYMBOLS``, so that
-the vocabulary is the same at every corpus size, nothing is out of it, and a model is a table of 64**4 cells,
-which bounds what is broadcast. Counts come from all documents and are summed in a shuffle. A document's score
+Two bigram models over words, of a target (documents rated good and not toxic) and of the background (all
+documents, the target among them), share one vocabulary, which is the corpus's, and one smoothing. A document's score
 is the mean over its tokens of target loss minus background loss: below zero, it is closer to the target.
+
+The counts grow with the corpus. Blocks of documents send each distinct n-gram once to its bucket, a range of keys,
+where the counts of all blocks meet, and get back the counts that differ from their own. Words are taken as they are
+written; n-grams are known by 48-bit hashes, which travel as sorted differences, byte by byte.
 """
 
 from __future__ import annotations
@@ -24,69 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, slices, utf8, without
+from .common import cut, slices, utf8
 
-ORDER, SYMBOLS = 4, 64
-EDGE = 63
 #: Pseudo-counts that a longer history gives to the prediction of the next shorter one.
 CONCENTRATION = 8.0
-SLICE = 2 << 20
-
-
-def _symbol_table() -> bytes:
-    """0 whitespace and controls, 1-26 letters, 27 digits, 28 full stop, 29 comma, 30 other ASCII, 31-62 the low
-    five bits of non-ASCII bytes, 63 the edge of a text."""
-    out = []
-    for b in range(256):
-        c = chr(b).lower()
-        out.append(31 + (b & 31) if b > 127 else 0 if b <= 32 else ord(c) - 96 if "a" <= c <= "z" else 27 if c.isdigit() else {46: 28, 44: 29}.get(b, 30))
-    return bytes(out)
-
-
-TABLE = _symbol_table()
-_PAD = bytes([EDGE]) * (ORDER - 1)
-
-
-def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram codes of all texts one after the other, and how many each has: its bytes and one for its end."""
-    line = b"".join(part for t in texts for part in (_PAD, t.translate(TABLE))) + _PAD[:1]
-    s = np.frombuffer(line, np.uint8).astype(np.int32)
-    gram = s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
-    size = np.array([len(t) for t in texts], np.int64)
-    start = np.concatenate(([0], np.cumsum(size[:-1] + ORDER - 1)))
-    keep = np.ones(len(gram), bool)
-    for k in range(1, ORDER - 1):  # grams that predict the padding of the next text
-        keep[start[1:] - k] = False
-    return gram[keep], size + 1
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done, target = 0, batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for part in slices(batch.column(0), SLICE):
-            gram, n = codes(utf8(part))
-            mine = np.repeat(target[done : done + len(n)], n)
-            done += len(n)
-            every, counts = np.unique(gram, return_counts=True)
-            some, few = np.unique(gram[mine], return_counts=True)
-            chosen = np.zeros(len(every), np.int64)
-            chosen[np.searchsorted(every, some)] = few
-            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(chosen), pa.array(counts)], names=["gram", "target", "background"])
-
-
-def losses(gram: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Loss in nats of every 4-gram: Dirichlet smoothing of each order by the one below, down to uniform."""
-    p = np.full(1, 1 / SYMBOLS)
-    for n in range(1, ORDER + 1):
-        cells = np.bincount(gram & (SYMBOLS**n - 1), weights=counts, minlength=SYMBOLS**n).astype(np.float32).reshape(-1, SYMBOLS)
-        history = cells.sum(1, keepdims=True) + np.float32(CONCENTRATION)
-        cells += np.float32(CONCENTRATION) * np.tile(p, SYMBOLS).astype(np.float32).reshape(cells.shape)
-        cells /= history
-        p = cells.ravel()
-    return -np.log(p, out=p)
+#: Text bytes of a block of documents, and n-grams that a bucket of counts is laid out for.
+BLOCK, BUCKET = 8 << 20, 1_000_000
+KEY_BITS = 48
+#: A word is a CJK character, a run of ASCII letters, digits and other non-ASCII characters, or one other visible byte.
+_WORD = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|(?:[0-9A-Za-z]|[\xc2-\xe2\xee-\xf4][\x80-\xbf]+)+|[^\x00-\x20\x7f]")
 
 
 def _marked(docs: DataFrame, target_ids: DataFrame, rows: int) -> DataFrame:
@@ -95,55 +41,6 @@ def _marked(docs: DataFrame, target_ids: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
 
-def train(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) -> np.ndarray | None:
-    """Target loss minus background loss of every 4-gram; None where either side has no text.
-
-    ``target_ids(doc_id)`` names the target documents; up to ``rows`` of them, which a count checks, are
-    broadcast, more are joined by shuffle.
-    """
-    marked = _marked(docs.where("text IS NOT NULL"), target_ids, rows).select("text", "target")
-    counts = marked.mapInArrow(_count, "gram int, target long, background long").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    got = counts.toArrow()  # SYMBOLS**ORDER rows at most
-    gram, mine, every = (got.column(c).to_numpy() for c in ("gram", "target", "background"))
-    if not mine.sum():
-        return None
-    out = losses(gram, mine)
-    out -= losses(gram, every)
-    return out
-
-
-SCORE = T.StructType().add("n_tokens", T.LongType()).add("xent_diff", T.DoubleType())
-
-
-def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
-    """``docs`` with n_tokens and xent_diff.
-
-    Null text scores as empty text, whose one token is its end; without a model every difference is 0. Columns
-    named as the outputs are replaced.
-    """
-    base = without(docs, "n_tokens", "xent_diff", "_s")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @arrow_udf(SCORE)
-    def measure(texts: pa.Array) -> pa.Array:
-        table, tokens, mean = sent.value, [], []
-        for part in slices(texts, SLICE):
-            gram, n = codes(utf8(part))
-            total = np.add.reduceat(table[gram], np.concatenate(([0], np.cumsum(n)[:-1])), dtype=np.float64) if table is not None else np.zeros(len(n))
-            tokens.append(n)
-            mean.append(total / n)
-        both = [np.concatenate(x) if x else np.empty(0) for x in (tokens, mean)]
-        return pa.StructArray.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.float64())], names=["n_tokens", "xent_diff"])
-
-    return base.withColumn("_s", measure("text")).select(*[F.col(f"`{c}`") for c in base.columns], "_s.n_tokens", "_s.xent_diff")
-
-
-#: Text bytes of a block of documents, and n-grams that a bucket of counts is laid out for.
-BLOCK, BUCKET = 16 << 20, 1_000_000
-#: A word is a CJK character, a run of ASCII letters, digits and other non-ASCII characters, or one other visible byte.
-_WORD = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|(?:[0-9A-Za-z]|[\xc2-\xe2\xee-\xf4][\x80-\xbf]+)+|[^\x00-\x20\x7f]")
-
-
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self)
@@ -161,7 +58,7 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         line.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
         size.append(len(found))
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in known), np.uint64, len(known))
-    return np.concatenate(line), hashes, np.array(size, np.int64)
+    return np.concatenate(line), hashes >> np.uint64(64 - KEY_BITS), np.array(size, np.int64)
 
 
 def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -169,10 +66,36 @@ def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     key ^= key >> np.uint64(32)
     key *= np.uint64(0xD6E8FEB86659FD93)
     key ^= key >> np.uint64(29)
-    return key
+    return key >> np.uint64(64 - KEY_BITS)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as planes of their bytes, the lowest first, without the planes that are all zero."""
+    raw = []
+    for c in columns:
+        width = (int(c.max(initial=0)).bit_length() + 7) // 8
+        raw += [bytes([width]), c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    line = b"".join(raw)
+    return len(line).to_bytes(8, "little") + pa.compress(line, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
+    """The ``columns`` of ``n`` numbers that _pack() was given."""
+    line, out, at = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), [], 0
+    for _ in range(columns):
+        width = line[at]
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(line, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(wide.reshape(-1).view("<u8"))
+        at += 1 + n * width
+    return out
+
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
-_BLOCK = "block long, docs binary, tokens binary, vocabulary binary, n_target long, n_all long"
+
+_BLOCK = "block long, docs binary, n int, tokens binary, n_vocabulary int, vocabulary binary, n_target long, n_all long"
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +113,10 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(docs)
-        values = (n, sink.getvalue().to_pybytes(), _zip(line), hashes.tobytes(), int(size[target].sum()), int(size[full].sum()))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["block", "docs", "tokens", "vocabulary", "n_target", "n_all"])
+        values = (n, sink.getvalue().to_pybytes(), len(line), _pack(line), len(hashes), _pack(hashes), int(size[target].sum()), int(size[full].sum()))
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        names = ["block", "docs", "n", "tokens", "n_vocabulary", "vocabulary", "n_target", "n_all"]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     for batch in batches:
         done = 0
@@ -207,12 +131,12 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _counted(docs: bytes, tokens: bytes, vocabulary: bytes) -> tuple:
+def _counted(docs: bytes, n: int, tokens: bytes, n_vocabulary: int, vocabulary: bytes) -> tuple:
     """Of one block: its documents, the keys of its words and bigrams in order, where each token, its bigram and the
     word before it stand in them, and its own counts of target and background."""
     rows = pa.ipc.open_stream(docs).read_all()
-    size, hashes = np.asarray(rows.column("n_words")), np.frombuffer(vocabulary, np.uint64)
-    (word,) = _unzip(tokens, int(size.sum()), "i4")
+    size, (hashes,) = np.asarray(rows.column("n_words")), _unpack(vocabulary, n_vocabulary, 1)
+    word = _unpack(tokens, n, 1)[0].astype(np.int32)
     before = np.empty_like(word)
     before[0], before[1:] = 0, word[:-1]
     code, pair = np.unique(before.astype(np.int64) * len(hashes) + word, return_inverse=True)
@@ -230,22 +154,12 @@ def _counted(docs: bytes, tokens: bytes, vocabulary: bytes) -> tuple:
 
 def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket, a range of keys, starts in sorted ``keys``, and the end."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-
-
-def _zip(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(x.tobytes() for x in arrays), codec="zstd", asbytes=True)
-
-
-def _unzip(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    raw, out, at = pa.decompress(data, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True), [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+    high = keys >> np.uint64(KEY_BITS - 32)
+    return np.searchsorted(high * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
 _SENT = "bucket int, block long, n int, data binary"
+_PARTS = ("docs", "n", "tokens", "n_vocabulary", "vocabulary")
 
 
 def _sent(buckets: list, blocks: list, n: list, data: list) -> pa.RecordBatch:
@@ -255,12 +169,12 @@ def _sent(buckets: list, blocks: list, n: list, data: list) -> pa.RecordBatch:
 def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *held in zip(*(batch.column(i) for i in range(4))):
-                _, _, keys, *_, target, every = _counted(*(x.as_py() for x in held))
+            for i, block in enumerate(batch.column("block")):
+                _, _, keys, *_, target, every = _counted(*(batch.column(c)[i].as_py() for c in _PARTS))
                 start = _bucket_starts(keys, buckets)
                 some = np.nonzero(np.diff(start))[0]
                 cuts = [slice(start[b], start[b + 1]) for b in some]
-                yield _sent(some, [block.as_py()] * len(some), [c.stop - c.start for c in cuts], [_zip(keys[c], target[c].astype("u4"), every[c].astype("u4")) for c in cuts])
+                yield _sent(some, [block.as_py()] * len(some), [c.stop - c.start for c in cuts], [_pack(_steps(keys[c]), target[c], every[c]) for c in cuts])
 
     return run
 
@@ -268,14 +182,15 @@ def _send(buckets: int):
 def _meet(sent: pa.Table) -> pa.Table:
     """The counts of one bucket over all blocks, back to each block where they differ from its own."""
     n, bucket, blocks = (sent.column(c).to_pylist() for c in ("n", "bucket", "block"))
-    parts = [_unzip(d.as_py(), m, "u8", "u4", "u4") for d, m in zip(sent.column("data"), n)]
-    keys, target, every = (np.concatenate(x) for x in zip(*parts))
+    parts = [_unpack(d.as_py(), m, 3) for d, m in zip(sent.column("data"), n)]
+    keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
+    target, every = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
     at = np.unique(keys, return_inverse=True)[1]
-    both = [np.bincount(at, weights=own).astype(np.int64)[at] for own in (target, every)]
+    both = [np.bincount(at, weights=own).astype(np.uint64)[at] for own in (target, every)]
     changed, out, done = (both[0] != target) | (both[1] != every), [], 0
     for m in n:
         where = np.nonzero(changed[done : done + m])[0]
-        out.append((len(where), _zip(where.astype("u4"), both[0][done + where], both[1][done + where])))
+        out.append((len(where), _pack(_steps(where), both[0][done + where], both[1][done + where])))
         done += m
     return pa.Table.from_batches([_sent(bucket, blocks, [x[0] for x in out], [x[1] for x in out])])
 
@@ -283,30 +198,36 @@ def _meet(sent: pa.Table) -> pa.Table:
 def _rate(buckets: int, n_target: int, n_all: int, n_words: int, schema: pa.Schema):
     def run(blocks: pa.Table, back: pa.Table) -> pa.Table:
         out = []
-        for held in zip(*(blocks.column(c) for c in ("docs", "tokens", "vocabulary"))):
+        for held in zip(*(blocks.column(c) for c in _PARTS)):
             rows, size, keys, word, pair, before, target, every = _counted(*(x.as_py() for x in held))
-            start = _bucket_starts(keys, buckets)
+            start, first = _bucket_starts(keys, buckets), np.cumsum(size) - size
             for b, m, data in zip(back.column("bucket").to_pylist(), back.column("n").to_pylist(), back.column("data")):
-                where, t, e = _unzip(data.as_py(), m, "u4", "i8", "i8")
-                target[start[b] + where], every[start[b] + where] = t, e
-            total = np.zeros(len(word))
-            if n_target:
-                for counts, n, sign in ((target, n_target, -1), (every, n_all, 1)):
-                    p = (counts[word] + CONCENTRATION / n_words) / (n + CONCENTRATION)
-                    total += sign * np.log((counts[pair] + CONCENTRATION * p) / (counts[before] + CONCENTRATION))
-            mean = np.add.reduceat(total, np.cumsum(size) - size) / size
-            out.append(pa.Table.from_arrays([rows.column("doc_id"), rows.column("n_tokens"), rows.column("n_words"), pa.array(mean)], schema=schema))
+                where, t, e = _unpack(data.as_py(), m, 3)
+                at = start[b] + np.cumsum(where).astype(np.int64)
+                target[at], every[at] = t, e
+            mean = []
+            for counts, n in ((target, n_target), (every, n_all)):
+                p = (counts[word] + CONCENTRATION / n_words) / (n + CONCENTRATION)
+                loss = -np.log((counts[pair] + CONCENTRATION * p) / (counts[before] + CONCENTRATION))
+                mean.append(np.add.reduceat(loss, first) / size)
+            ours, all_ = mean
+            none = np.full(len(size), not n_target)
+            diff = np.where(none, 0.0, ours - all_)
+            columns = [rows.column("doc_id"), rows.column("n_tokens"), rows.column("n_words"), pa.array(ours, mask=none), pa.array(all_), pa.array(diff)]
+            out.append(pa.Table.from_arrays(columns, schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
 def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``(doc_id, n_tokens, n_words, xent_diff)`` of every row: its bytes and one, its words and one for its end, and
-    the mean over the latter of target loss minus background loss.
+    """``(doc_id, n_tokens, n_words, target_xent, background_xent, xent_diff)`` of every row: its bytes and one, its
+    words and one for its end, and the mean loss over the latter of both models, in nats, and their difference.
 
-    A bigram's probability is smoothed by its word's, that by 1 / vocabulary of the corpus. Null text trains nothing
-    and scores as empty text; where the target has no text every difference is 0.
+    ``target_ids(doc_id)`` names the target documents; up to ``rows`` of them, which a count checks, are broadcast,
+    more are joined by shuffle. A bigram's probability is smoothed by its word's, that by 1 / vocabulary of the corpus.
+    Null text trains nothing and scores as empty text; repeated rows count as often as they are there; where the
+    target has no text its loss is null and every difference 0. A very long text is a block by itself.
     """
     marked = _marked(docs, target_ids, rows)
     blocks = cut(marked.mapInArrow(_blocked, _BLOCK))
@@ -314,19 +235,21 @@ def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) ->
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_py(), np.int64))], names=["word"])
+            for n, v in zip(*batch.columns):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack(v.as_py(), n.as_py(), 1)[0].astype(np.int64))], names=["word"])
 
-    parts = blocks.select("block", "docs", "tokens", "vocabulary")
-    n_words = blocks.select("vocabulary").mapInArrow(listed, "word long").distinct().count()
+    parts = blocks.select("block", *_PARTS)
+    n_words = blocks.select("n_vocabulary", "vocabulary").mapInArrow(listed, "word long").distinct().count()
     buckets = max(64, 2 * n_all // BUCKET)
     back = parts.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_meet, _SENT)
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("xent_diff", T.DoubleType())])
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType())])
+    for name in ("target_xent", "background_xent", "xent_diff"):
+        kind = kind.add(name, T.DoubleType())
     rate = _rate(buckets, n_target, n_all, n_words, to_arrow_schema(kind))
     return parts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(rate, kind)
 
 
 def lm_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The digest: doc_id, n_tokens, n_words, xent_diff. The target is what is rated good and not toxic."""
+    """The digest, of ``word_scores``. The target is what is rated good and not toxic."""
     good = labels.where("quality >= 1 AND coalesce(toxic, 0) = 0").select("doc_id")
     return word_scores(docs, good)

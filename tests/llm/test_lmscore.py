@@ -2,51 +2,27 @@ import math
 from collections import Counter
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from nuggetry.llm import lmscore, queries
 
 from .helpers import SF, clashing, docs, odd, rows
 
 
-def plain_loss(texts):
-    """-log p of a symbol after up to three others, straight from the definition."""
-    counts = [Counter() for _ in range(5)]
-    for t in texts:
-        s = [63] * 3 + list(t.encode().translate(lmscore.TABLE)) + [63]
-        for i in range(3, len(s)):
-            for n in range(1, 5):
-                counts[n][tuple(s[i - n + 1 : i + 1])] += 1
-                counts[0][n, tuple(s[i - n + 1 : i])] += 1
-
-    def p(gram):
-        if not gram:
-            return 1 / 64
-        n = len(gram)
-        c = lmscore.CONCENTRATION
-        return (counts[n][gram] + c * p(gram[1:])) / (counts[0][n, gram[:-1]] + c)
-
-    def loss(t):
-        s = [63] * 3 + list(t.encode().translate(lmscore.TABLE)) + [63]
-        return np.array([-math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))])
-
-    return loss
-
-
-def test_scores_against_the_definition(spark):
-    texts = ["The river runs.", "the river ran, über 9 stones", "", "zzzz qqqq", "the stones of the river", None]
-    df = docs(spark, texts)
-    got = {r["doc_id"]: r for r in rows(lmscore.score(df, lmscore.train(df, spark.createDataFrame([(0,), (4,), (4,), (None,)], "doc_id long"))))}
-    target, background = plain_loss([texts[0], texts[4]]), plain_loss(texts[:5])
-    for i, t in enumerate(texts):
-        want = target(t or "") - background(t or "")
-        assert got[i]["n_tokens"] == len(want) and math.isclose(got[i]["xent_diff"], want.mean(), abs_tol=1e-5)
-    assert got[0]["xent_diff"] < got[3]["xent_diff"]
-
-
 def test_query(spark):
     got = rows(queries.op9_lmscore(spark, SF))
     base = {r.doc_id: len(r.text.encode()) + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in got} == base
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality >= 1 AND toxic = 0").collect()}
+    vocabulary = len({w for _, t in texts for w in lmscore._WORD.findall(t.encode())}) + 1
+    target, background = plain_word_loss([t for i, t in texts if i in good], vocabulary), plain_word_loss([t for _, t in texts], vocabulary)
+    text_of = dict(texts)
+    for r in got[::5]:
+        want = target(text_of[r["doc_id"]]).mean(), background(text_of[r["doc_id"]]).mean()
+        assert math.isclose(r["target_xent"], want[0], abs_tol=1e-9) and math.isclose(r["background_xent"], want[1], abs_tol=1e-9)
+        assert math.isclose(r["xent_diff"], want[0] - want[1], abs_tol=1e-9)
     again = {r["doc_id"]: r["xent_diff"] for r in rows(queries.op9_lmscore(spark, SF))}
     assert again == {r["doc_id"]: r["xent_diff"] for r in got}
 
@@ -81,3 +57,10 @@ def test_words_against_the_definition(spark):
         assert got[i]["n_words"] == len(want) and math.isclose(got[i]["xent_diff"], want.mean(), abs_tol=1e-9)
     assert got[0]["xent_diff"] != got[1]["xent_diff"] != got[5]["xent_diff"] and got[2]["xent_diff"] != got[3]["xent_diff"]
     assert got[4]["n_words"] == 6
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**48 - 1), st.integers(0, 300), st.just(0)), max_size=40))
+@settings(deadline=None)
+def test_packed_columns_come_back(rows):
+    columns = [np.array(c, np.uint64) for c in zip(*rows)] or [np.empty(0, np.uint64)] * 3
+    assert all((a == b).all() for a, b in zip(columns, lmscore._unpack(lmscore._pack(*columns), len(rows), 3)))

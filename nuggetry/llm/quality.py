@@ -3,7 +3,9 @@
 One weight vector over hashed text features and ordered thresholds: P(grade > k) = sigmoid(w.x - t_k). The sum
 of these tails is the expected grade; the tail above a grade selects documents. Features are the distinct words
 of the text and steps of its shape (capitals, symbols, repetition, length), hashed into 2**18 buckets; the
-buckets that depend on the grade by a chi-square test are kept.
+buckets that depend on the grade by a chi-square test are kept: those that chance explains with a probability below
+``CHANCE`` over all buckets together, and whose dependence is ``EFFECT`` of the largest there can be or more. Both
+follow the size of the sample. Where no bucket is kept there is no model, and everything is accepted.
 
 The model is fitted on the driver to a bounded sample (``per_grade`` distinct texts of each grade, weighted
 back to the grades' shares of all ratings); scoring reads whole texts.
@@ -12,6 +14,7 @@ back to the grades' shares of all ratings); scoring reads whole texts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 from zlib import crc32
 
 import numpy as np
@@ -25,9 +28,11 @@ from .common import WORD_TABLE, packed, slices, utf8, without
 
 BUCKETS = 1 << 18
 PER_GRADE = 2000
+#: Most buckets of a model, those with the largest chi-square.
 KEPT = 512
-#: Least chi-square of a kept bucket, and least number of sampled texts that have it.
-CHI, TEXTS = 60.0, 12
+CHANCE, EFFECT = 0.05, 0.01
+#: Least texts of the sample that have a kept bucket, and their least share of the sample.
+TEXTS, TEXT_SHARE = 3, 0.002
 
 _UPPER = bytes(range(65, 91))
 _SYMBOL = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -66,12 +71,21 @@ def _features(texts: pa.Array) -> pa.Array:
 class Model:
     weights: np.ndarray  # by bucket
     thresholds: list[float]  # ascending
+    shares: list[float]  # of the ratings above each threshold
 
     def score(self, text: bytes) -> float:
         return float(self.weights[features(text)].sum())
 
 
-def fit(ids: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, levels: int, rounds: int = 500, ridge: float = 2e-5) -> Model:
+def _chi_cut(buckets: int, levels: int, n: int) -> float:
+    """Least chi-square of a kept bucket out of so many over a sample of ``n`` (Wilson and Hilferty's quantile)."""
+    if not buckets:
+        return float("inf")
+    free, z = levels - 1, NormalDist().inv_cdf(1 - CHANCE / buckets)
+    return max(free * (1 - 2 / (9 * free) + z * (2 / (9 * free)) ** 0.5) ** 3, EFFECT * n)
+
+
+def fit(ids: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, levels: int, rounds: int = 500, ridge: float = 2e-4) -> Model:
     """Maximum penalised likelihood by Adam over the kept buckets."""
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     col = np.concatenate(ids) if ids else np.empty(0, np.int64)
@@ -82,9 +96,10 @@ def fit(ids: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, levels: in
         here = np.bincount(col[grade[row] == g], minlength=BUCKETS)
         share = (grade == g).mean()
         chi += (here - share * seen) ** 2 / np.maximum(share * seen, 1e-9) * (seen > 0)
-    chi[seen < TEXTS] = 0
+    often = seen >= max(TEXTS, TEXT_SHARE * n)
+    chi[~often] = 0
     kept = np.argsort(-chi, kind="stable")[:KEPT]
-    kept = np.sort(kept[chi[kept] > CHI])
+    kept = np.sort(kept[chi[kept] > _chi_cut(int(often.sum()), len(np.unique(grade)), n)])
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     x = np.zeros((n, len(kept)), np.float32)
@@ -115,16 +130,21 @@ def fit(ids: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, levels: in
         par -= 0.05 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     weights = np.zeros(BUCKETS, np.float32)
     weights[kept] = par[:k]
-    return Model(weights, (par[k] + np.concatenate([[0.0], np.cumsum(np.exp(par[k + 1 :]))])).tolist())
+    return Model(weights, (par[k] + np.concatenate([[0.0], np.cumsum(np.exp(par[k + 1 :]))])).tolist(), (1 - np.cumsum(share)[:-1]).tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Model | None:
-    """A model from the rated documents; None where none of them, or only one grade, is found."""
+def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, grade: int = 2) -> Model | None:
+    """A model from the rated documents, for selecting ``grade`` or better; None where no rating of the sample is so
+    good, none is worse, or no feature tells them apart.
+
+    Ratings without an id are left out, as are documents without one; rows that repeat an id are texts of that rating
+    each; texts that are equal count once, with the rating of the smallest id; null text is empty text.
+    """
     rated = grades(labels)
     counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
     if len(counts) < 2:
         return None
-    levels = max(counts) + 1
+    levels = max(2, grade, *counts) + 1
     rate = F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, min(1.0, 1.3 * per_grade / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     first = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -133,19 +153,22 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Mod
     sample = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
     sample = sample.agg(F.min_by(F.struct("grade", "text"), F.col("doc_id")).alias("x")).select("h", "x.grade", _features("x.text").alias("ids"))
     rows = sample.orderBy("h").toArrow()
-    grade = np.array(rows.column("grade").to_pylist(), np.int64)
-    if len(np.unique(grade)) < 2:
+    found = np.array(rows.column("grade").to_pylist(), np.int64)
+    if not (found >= grade).any() or not (found < grade).any():
         return None
-    per = np.bincount(grade, minlength=levels)
-    weight = np.array([counts[g] / per[g] for g in grade])
-    return fit([np.array(x, np.int64) for x in rows.column("ids").to_pylist()], grade, weight, levels)
+    per = np.bincount(found, minlength=levels)
+    weight = np.array([counts[g] / per[g] for g in found])
+    model = fit([np.array(x, np.int64) for x in rows.column("ids").to_pylist()], found, weight, levels)
+    return model if model.weights.any() else None
 
 
 def rate(docs: DataFrame, model: Model | None, grade: int = 2, least: float = 0.7) -> DataFrame:
-    """``docs`` with score, expected_grade, tail (probability of ``grade`` or better) and accepted (tail >= ``least``).
+    """``docs`` with score, expected_grade, tail (probability of ``grade`` or better) and accepted (tail >= ``least``,
+    or >= the share of such grades among the ratings where that is less: a text that the model knows nothing about
+    is no worse than the rest).
 
-    Null and empty texts are rated by their shape like any other. Without a model everything is accepted, with
-    null ratings. Columns named as the outputs are replaced.
+    Null and empty texts are rated by their shape like any other; long ones with all their words. Without a model
+    everything is accepted, with null ratings. Columns named as the outputs are replaced.
     """
     base = without(docs, "score", "expected_grade", "tail", "accepted")
     if model is None:
@@ -160,7 +183,7 @@ def rate(docs: DataFrame, model: Model | None, grade: int = 2, least: float = 0.
     tails = [1 / (1 + F.exp(F.lit(t) - F.col("score"))) for t in model.thresholds]
     out = base.withColumn("score", score("text")).withColumn("expected_grade", sum(tails[1:], tails[0]))
     out = out.withColumn("tail", tails[min(grade, len(tails)) - 1])
-    return out.withColumn("accepted", F.col("tail") >= F.lit(least))
+    return out.withColumn("accepted", F.col("tail") >= F.lit(min(least, model.shares[min(grade, len(tails)) - 1])))
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,6 +192,7 @@ def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The accepted rows of ``docs``, columns as they are."""
+    """The accepted rows of ``docs``, columns as they are. Rows are judged by their texts alone, so a null or repeated
+    id changes nothing; with no model, as with few ratings, all rows stay."""
     marked = rate(packed(docs, "text"), train(docs, labels), **how)
     return marked.where("accepted").select("_row.*")

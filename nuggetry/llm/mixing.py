@@ -78,10 +78,11 @@ def plan(sized: DataFrame, **how) -> DataFrame:
     edge = edge.join(alloc, edge._s.eqNullSafe(alloc.source)).where(F.col("_mid") <= F.col("rest")).groupBy("_s").agg(F.max("key").alias("last"))
     at = split.select(F.col("_s").alias("_split"), "_b")
     out = alloc.join(at, alloc.source.eqNullSafe(at._split), "left").join(edge, alloc.source.eqNullSafe(edge._s), "left")
-    # Without a document in the cut bucket, everything before that bucket is taken.
-    out = out.select("source", "source_size", "target", "whole", F.coalesce("last", "_b", F.lit("")).alias("cut_key"))
+    # Without a document in the cut bucket, everything before that bucket is taken; without a rest, nothing is once more.
+    out = out.select("source", "source_size", "target", "whole", F.when(F.col("rest") > 0, F.coalesce("last", "_b", F.lit(""))).otherwise("").alias("cut_key"))
     done = cut(out)
-    discard(by_bucket)
+    for old in (by_bucket, split):
+        discard(old)
     return done
 
 
@@ -112,6 +113,10 @@ def mix_table(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    No row comes more than ``max_epochs`` times (rounded up), empty and null texts included; a source without words
+    gives nothing. Rows of one id, and all rows without one, stand or fall together. Texts of any length are whole.
+    """
     out = mix_sources(packed(docs, "doc_id", "source", "text"), **how)
     return out.select("_row", F.explode(F.expr("array_repeat(1, cast(times as int))"))).select("_row.*")

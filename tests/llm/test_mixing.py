@@ -81,3 +81,12 @@ def test_mixed_documents_repeat_rows(spark):
     assert out.where(F.col("text").isNull()).count() == 0
     clash = mixing.mixed_documents(clashing(odd(spark)))
     assert {r["Size"] for r in rows(clash)} == {"clash"}
+
+
+def test_no_row_comes_more_often_than_the_cap(spark):
+    """Sources at their cap, with empty and null texts among the first in the seeded order."""
+    texts = ["w " * 400, *["a b c", "", None] * 8]
+    df = docs(spark, texts, source=["big", *["small"] * 24])
+    count = rows(mixing.mixed_documents(df).groupBy("doc_id").count())
+    assert max(r["count"] for r in count) == 2
+    assert {r["doc_id"]: r["count"] for r in count if r["doc_id"]} == {i: 2 for i in range(1, 25)}

@@ -5,7 +5,8 @@ whether the text belongs to the languages that have the bit. Loss-weighted decod
 margins with every codeword, weighing a bit by how well its classifier did on that language in training, and
 takes the codeword with the smallest loss. The gap to the runner-up flags ambiguous texts.
 
-Classifiers are fitted on the driver to a bounded sample (``per_lang`` documents a language, ``total`` in all),
+Classifiers are fitted on the driver to a bounded sample (``per_lang`` documents a language, ``total`` in all but at
+least ``LEAST`` a language, however many languages there are),
 reduced to ``BUCKETS`` n-gram frequencies each by the executors; prediction reads whole texts.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import WORD_TABLE, slices, utf8, without
 
 BUCKETS = 1 << 13
-PER_LANG, TOTAL = 600, 2400
+PER_LANG, TOTAL, LEAST = 600, 2400, 4
 #: Positions that are looked up at once; bounds the memory of a prediction.
 BLOCK = 1 << 18
 UND = "und"
@@ -151,12 +152,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Model | None:
-    """A model from the rows that aren't held out and have text with a letter and a language; None without such rows."""
+    """A model from the rows that aren't held out and have text with a letter and a language; None without such rows.
+
+    Every language that such a row names is learned. Rows without an id aren't used; repeated rows may be drawn again.
+    """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total // 4).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
-    want = min(per_lang, total // len(counts))
+    want = min(per_lang, max(LEAST, total // len(counts)))
     # Rows whose hash falls below the rate of their language, and of these the first by hash, so that the sample is bounded.
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * want / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)

@@ -48,3 +48,13 @@ def test_odd_rows(spark):
 def test_one_language_is_all_there_is_to_learn(spark):
     got = rows(langid.language_table(docs(spark, [f"text {i} here" for i in range(30)])))
     assert {r["lang_pred"] for r in got} == {"en"} and {r["score"] for r in got} == {1.0}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has room for at ``LEAST`` each."""
+    names = [f"l{i:02d}" for i in range(9)]
+    df = docs(spark, [f"{c * 6} {c * 4}{i % 5}" for c in "abcdefghi" for i in range(30)], lang=[n for n in names for _ in range(30)])
+    model = langid.train(df, total=12)
+    assert model.langs == names
+    got = rows(langid.predict(df, model))
+    assert sum(r["lang_pred"] == r["lang"] for r in got) == len(got)

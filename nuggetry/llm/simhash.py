@@ -10,6 +10,11 @@ of keys on at least one pair of segments. That pair is the join key: up to 36 fo
 Equal fingerprints are one node. Nodes are dealt by key and every key's nodes are compared exactly (at most
 ``bits`` differing), but what leaves a key is a star of each of its components, never its pairs: output and
 memory stay linear in the nodes of the key. Stars are joined to components by large-star/small-star rounds.
+
+``deduplicate`` asks for a similarity instead: texts are linked whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Texts at 0.8 differ in 15 % of the bits, beyond what 64 bits can find; so it takes 128, of
+which five segments give keys, and a key's nodes leave it as the shortest edges that hold them together (a minimum
+spanning forest by differing bits). Every edge is then verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -30,31 +35,40 @@ from .common import LOWER_TABLE, cut, discard, slices, small, utf8, without
 BITS = 4
 WORDS = 4
 SEED = 42
+#: Of deduplicate(): words of a shingle, least Jaccard similarity.
+WIDE_WORDS, SIMILARITY = 5, 0.8
 #: Fixed value: generator polynomial of the (23, 12) Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+WIDE_SEGMENTS = tuple((23 * i, 23) for i in range(5))
 #: Runs of one key up to this length are compared pair by pair across all runs of a batch at once.
 SHORT_RUN = 64
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of one UTF-8 text: majority of the XXH64 bits of its word shingles; no words give 0."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of the word shingles of one UTF-8 text, in order, repeats included; of the whole sequence if it has fewer words."""
     parts = text.translate(LOWER_TABLE).split()
-    if not parts:
-        return 0
-    line = b" ".join(parts)
+    line, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        h = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        starts = np.concatenate(([0], ends[:-words]))
-        digest = xxhash.xxh64_intdigest
-        h = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())]
-    n, total = len(h), np.zeros(64, np.int64)
-    octets = np.array(h, "<u8").view(np.uint8).reshape(n, 8)
-    for at in range(0, n, 65_536):
+        return np.array([digest(line, SEED)] if parts else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.concatenate(([0], ends[:-words]))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none give 0."""
+    if not len(h):
+        return 0
+    total, octets = np.zeros(64, np.int64), h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(h), 65_536):
         total += np.unpackbits(octets[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """SimHash of one UTF-8 text: majority of the XXH64 bits of its word shingles; no words give 0."""
+    return majority(shingle_hashes(text, words))
 
 
 @arrow_udf(T.LongType())
@@ -247,16 +261,222 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; columns stay as they are.
+def _second(h: np.ndarray) -> np.ndarray:
+    """64 further bits of each hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> tuple[int, int]:
+    """Low and high 64 bits of the fingerprint of the distinct shingles."""
+    h = np.unique(shingle_hashes(text, words))
+    return majority(h), majority(_second(h))
+
+
+def _wide(words: int):
+    @arrow_udf(T.StructType().add("lo", T.LongType()).add("hi", T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        both = np.array([wide_fingerprint(t, words) for part in slices(texts) for t in utf8(part)], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["lo", "hi"])
+
+    return run
+
+
+def reach(similarity: float, bits: int = 128) -> int:
+    """Differing bits that all but 3 % of the pairs with this Jaccard similarity stay within: the share of differing
+    bits is the angle between the sets by pi, and its spread that of independent bits."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + 2 * np.sqrt(bits * p * (1 - p))))
+
 
-    Rows with a null id stay unless their component has a named document, which they cannot be told from by
-    id, so they stay there too; of rows that repeat an id one stays.
+def wide_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, position) for every pair of segments and every pair of codewords near them."""
+    parts = []
+    for a, w in WIDE_SEGMENTS:
+        low = lo >> np.uint64(a) if a < 64 else hi >> np.uint64(a - 64)
+        if a < 64 < a + w:
+            low = low | hi << np.uint64(64 - a)
+        parts.append(segment_keys((low & np.uint64((1 << w) - 1)).astype(np.int64)))
+    keys, rows = [], []
+    for p, (i, j) in enumerate(combinations(range(len(parts)), 2)):
+        r, a, b = np.nonzero((parts[i][:, :, None] >= 0) & (parts[j][:, None, :] >= 0))
+        keys.append((p << 24) | (parts[i][r, a] << 12) | parts[j][r, b])
+        rows.append(r)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _emit_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lo, hi = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for at in range(0, len(lo), 2048):
+            a, b = lo[at : at + 2048], hi[at : at + 2048]
+            key, row = wide_keys(a.view(np.uint64), b.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(a[row]), pa.array(b[row])], names=["key", "lo", "hi"])
+
+
+def _apart(lo: np.ndarray, hi: np.ndarray, lo2, hi2) -> np.ndarray:
+    """Differing bits of fingerprints."""
+    return np.bitwise_count((lo ^ lo2).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi ^ hi2).view(np.uint64))
+
+
+def _forest(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the edges of a minimum spanning forest of ``n`` nodes, by rounds in which every tree takes its
+    shortest edge outwards; ties go to the earlier edge."""
+    label, left, taken = np.arange(n), np.arange(len(u)), []
+    order = d * max(1, len(u)) + np.arange(len(u))
+    while True:
+        left = left[label[u[left]] != label[v[left]]]
+        if not len(left):
+            return np.unique(np.concatenate(taken)) if taken else np.empty(0, np.int64)
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, label[u[left]], order[left])
+        np.minimum.at(best, label[v[left]], order[left])
+        pick = np.unique(best[best < np.iinfo(np.int64).max]) % max(1, len(u))
+        taken.append(pick)
+        while True:
+            low, was = np.minimum(label[u[pick]], label[v[pick]]), label.copy()
+            np.minimum.at(label, was[u[pick]], low)
+            np.minimum.at(label, was[v[pick]], low)
+            label = label[label]
+            if (label == was).all():
+                break
+
+
+def _short_forest(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (positions) that hold together what is near within runs of equal key."""
+    at, lag, left, right, far = np.arange(len(key)), 0, [], [], []
+    while True:
+        lag += 1
+        at = at[at + lag < len(key)]
+        at = at[key[at] == key[at + lag]]
+        if not len(at):
+            break
+        d = _apart(lo[at], hi[at], lo[at + lag], hi[at + lag])
+        near = d <= most
+        left.append(at[near])
+        right.append(at[near] + lag)
+        far.append(d[near])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    u, v, d = (np.concatenate(x) for x in (left, right, far))
+    kept = _forest(len(key), u, v, d)
+    return u[kept], v[kept]
+
+
+def _long_forest(lo: np.ndarray, hi: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long run, node by node: the nearest one outside the tree joins it."""
+    rest, near, m, u, v = np.arange(1, len(lo)), np.zeros(len(lo) - 1, np.int64), len(lo) - 1, [], []
+    a, b = lo[1:].copy(), hi[1:].copy()
+    dist = _apart(a, b, lo[0], hi[0])
+    while m:
+        i = int(np.argmin(dist[:m]))
+        new = rest[i]
+        if dist[i] <= most:
+            u.append(new)
+            v.append(near[i])
+        m -= 1  # the last one takes the place of the one that joined
+        for x in (rest, near, a, b, dist):
+            x[i] = x[m]
+        d = _apart(a[:m], b[:m], lo[new], hi[new])
+        closer = d < dist[:m]
+        near[:m][closer], dist[:m][closer] = new, d[closer]
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _link_wide(most: int):
+    """Rows sorted by key to edges; a run may go on over several batches."""
+
+    def flush(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        width = np.diff(np.r_[start, len(key)])
+        brief = np.repeat(width <= SHORT_RUN, width)
+        runs = [(np.nonzero(brief)[0], None)] if brief.any() else []
+        runs += [(np.arange(s, s + w), w) for s, w in zip(start[width > SHORT_RUN], width[width > SHORT_RUN])]
+        for own, long in runs:
+            a, b = lo[own], hi[own]
+            u, v = _long_forest(a, b, most) if long else _short_forest(key[own], a, b, most)
+            # The smaller fingerprint first, so that the same edge of another key is the same row.
+            swap = (a[u] > a[v]) | ((a[u] == a[v]) & (b[u] > b[v]))
+            u, v = np.where(swap, v, u), np.where(swap, u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[u], b[u], a[v], b[v])], names=["lo", "hi", "lo2", "hi2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if held and last == 0 and held[0][0][-1] == columns[0][-1]:
+                held.append(columns)
+                continue
+            held.append([c[:last] for c in columns])
+            if whole := [np.concatenate(x) for x in zip(*held)]:
+                if len(whole[0]):
+                    yield from flush(*whole)
+            held = [[c[last:] for c in columns]]
+        if held:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _shingles(words: int):
+    @arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t, words)).view(np.int64) for part in slices(texts) for t in utf8(part)], pa.list_(pa.int64()))
+
+    return run
+
+
+def similar_components(docs: DataFrame, ids: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``ids(row, lo, hi)``, the fingerprints of ``docs(row, text)``, to ``(node, root)``: by xxhash64 of a
+    fingerprint's halves, that of its component. Nodes without a link are left out.
+
+    Texts of one fingerprint are one node, which its least row stands for. Pairs of nodes that keys bring together and
+    that differ in reach(similarity) bits at most are candidates; those whose shingles are as similar as asked link.
+    """
+    nodes = cut(ids.groupBy("lo", "hi").agg(F.min("row").alias("row")))
+    keys = nodes.select("lo", "hi").mapInArrow(_emit_wide, "key int, lo long, hi long")
+    near = keys.repartition("key").sortWithinPartitions("key", "lo", "hi").mapInArrow(_link_wide(reach(similarity)), "lo long, hi long, lo2 long, hi2 long")
+    edges = cut(near.distinct().select(F.xxhash64("lo", "hi").alias("a"), F.xxhash64("lo2", "hi2").alias("b")))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = small(nodes.select(F.xxhash64("lo", "hi").alias("node"), "row").join(small(ends), "node"))
+    sets = cut(docs.join(asked, "row").groupBy("node").agg(F.min("text").alias("text")).select("node", _shingles(words)("text").alias("s")))
+    one, two = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
+    both = edges.join(one, "a").join(two, "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    linked = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = components(linked)
+    for done in (nodes, edges, sets):
+        discard(done)
+    return found
+
+
+def deduplicate(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one with the smallest id; columns stay as they are.
+
+    Rows, not ids, are kept or go: of rows that share an id or have none, each is judged by its own text. Null ids come
+    last; among equal ids the hash of the row decides; of rows that are equal in all columns one stays. Null and
+    wordless texts are one group. An empty table gives an empty one. Very long texts count with all their shingles.
     """
-    found = cut(near_duplicates(docs).select("doc_id", "component_id"))
-    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    same = F.xxhash64(F.lit(SEED), *hashable)
+    base = docs.select("doc_id", "text", same.alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h")).alias("row")
+    slim = cut(base.select(row, _wide(words)("text").alias("fp")).select("row", "fp.lo", "fp.hi"))
+    found = small(similar_components(base.select(row, "text"), slim, words, similarity))
+    node = slim.withColumn("node", F.xxhash64("lo", "hi")).join(found, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
+    node = cut(node.groupBy("group", "row").agg(F.count(F.lit(1)).alias("n")))
+    first = node.groupBy("group").agg(F.min("row").alias("first"))
+    gone = small(cut(node.join(first, "group").where(F.col("row") != F.col("first")).select("row.*")))
+    key = lambda df: (base["doc_id"].eqNullSafe(df["id"])) & (base["_h"] == df["h"])
+    again = node.where("n > 1").select("row.*").distinct()
+    kept = base.join(gone, key(gone), "left_anti")
+    if again.limit(1).count():
+        again = small(again)
+        repeated = kept.join(again, key(again), "left_semi").dropDuplicates(["doc_id", "_h"])
+        kept = kept.join(again, key(again), "left_anti").unionByName(repeated)
+    discard(slim)
+    return kept.select("_row.*")

@@ -94,3 +94,65 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(df).columns == df.columns
     kept = simhash.deduplicate(odd(spark))
     assert sorted(r["doc_id"] for r in rows(kept.where(F.col("doc_id").isNotNull()))) == [1, 3, 5]
+    assert kept.count() == 4 and {r["text"] for r in rows(kept.where("doc_id IS NULL"))} == {"lost id here"}
+    assert simhash.deduplicate(odd(spark).limit(0)).count() == 0
+    assert sorted((str(r["doc_id"]), r["Size"]) for r in rows(simhash.deduplicate(clashing(odd(spark))))) == [("1", "clash"), ("3", "clash"), ("5", "clash"), ("None", "clash")]
+
+
+def test_deduplicate_keeps_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    kept = sorted((r["doc_id"], r["text"][0]) for r in rows(simhash.deduplicate(docs(spark, [b, a, b, c], doc_id=[3, 5, 5, 7]))))
+    assert kept == [(3, "b"), (5, "a"), (7, "c")]
+    kept = sorted((str(r["doc_id"]), r["text"][0]) for r in rows(simhash.deduplicate(docs(spark, [a, a, a, b, a, c, c], doc_id=[None, None, 4, None, None, None, None]))))
+    assert kept == [("4", "a"), ("None", "b"), ("None", "c")]
+
+
+def shingles(text):
+    w = WHITE.findall(lower(text))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_deduplicate_at_a_similarity(spark):
+    """Planted pairs from 0.6 to 0.95: those below 0.8 stay, those above go but for the few that keys or reach miss."""
+    rnd, texts, pairs = random.Random(5), [], []
+    for g in range(160):
+        w = [f"g{g}w{i}" for i in range(rnd.randint(60, 400))]
+        x = list(w)
+        for i in rnd.sample(range(len(x)), max(1, int(len(x) * rnd.choice((0.005, 0.01, 0.02, 0.03, 0.05, 0.07))))):
+            x[i] = f"new{g}.{i}"
+        texts += [" ".join(w), " ".join(x)]
+        pairs.append(jaccard(shingles(texts[-1]), shingles(texts[-2])))
+    kept = {r["doc_id"] for r in rows(simhash.deduplicate(docs(spark, texts)))}
+    assert all(2 * g in kept for g in range(160))
+    assert all(2 * g + 1 in kept for g, j in enumerate(pairs) if j < 0.8)
+    high = [g for g, j in enumerate(pairs) if j >= 0.8]
+    assert len(high) > 60 and sum(2 * g + 1 not in kept for g in high) >= 0.9 * len(high)
+
+
+def test_forests_hold_together_what_is_near():
+    rnd = np.random.default_rng(4)
+    lo, hi = (rnd.integers(0, 1 << 62, 5) for _ in range(2))
+    lo, hi = np.repeat(lo, 30), np.repeat(hi, 30)
+    for k in range(len(lo)):
+        for b in rnd.integers(0, 60, rnd.integers(0, 12)):
+            lo[k] ^= 1 << int(b)
+    far = lambda i, j: int(lo[i] ^ lo[j]).bit_count() + int(hi[i] ^ hi[j]).bit_count()
+    for u, v in (simhash._long_forest(lo, hi, 15), simhash._short_forest(np.zeros(len(lo), np.int32), lo, hi, 15)):
+        every = sorted((far(i, j), i, j) for i in range(len(lo)) for j in range(i) if far(i, j) <= 15)
+        root = list(range(len(lo)))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        weight = 0
+        for d, i, j in every:
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                weight += d
+        assert sum(far(i, j) for i, j in zip(u, v)) == weight and len(u) == len(lo) - len({find(i) for i in range(len(lo))})

@@ -40,7 +40,10 @@ def test_levels_above_ranges_find_every_fault(spark):
     ours = ours.withColumn("offset", F.sum("length").over(Window.orderBy("page_id")) - F.col("length"))  # 3 MB: more ranges than a node holds
     theirs = ours.where("page_id <> 17").withColumn("digest", F.when(F.col("page_id") == 2900, "rot").otherwise(F.col("digest")))
     theirs = theirs.unionByName(ours.where("page_id = 5").withColumn("offset", F.lit(1)).withColumn("page_id", F.lit(-1)))
-    got = {(r["page_id"], r["fault"]) for r in rows(warc.audit(ours, theirs))}
+    trace = []
+    got = {(r["page_id"], r["fault"]) for r in rows(warc.audit(ours, theirs, trace))}
+    # A root, its four nodes or less, then only the ranges below open nodes and their records.
+    assert [x[1] for x in trace] == [1, 2, 2, 3] and trace[2][0] <= 32 and trace[3][0] <= 2 * 70
     assert got == {(17, "missing"), (2900, "altered"), (-1, "extra")}
     assert warc.audit(ours, ours).count() == 0
 
@@ -54,3 +57,37 @@ def test_odd_rows(spark):
     assert twins[1] - twins[0] == len(record("u", None))
     assert warc.audit(recs, recs.limit(0)).count() == 5 and warc.audit(recs.limit(0), recs.limit(0)).count() == 0
     assert warc.audit_drill(pages.limit(0)).count() == 0
+
+
+def test_files_follow_one_rule_in_sql_too(spark, monkeypatch):
+    """With fewer pages to a file, names have more digits, in the query and in its SQL."""
+    import duckdb
+
+    monkeypatch.setattr(warc, "PAGES_PER_FILE", 0.05)
+    got = rows(queries.op4_warc(spark, SF))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = db.sql(queries.OP4_SQL.replace("1000.0", "0.05")).df()
+    assert {(r["file"], r["offset"], r["fault"]) for r in got} == set(zip(want["file"], want["offset"], want["fault"])) and len(got[0]["file"]) == 8
+
+
+def test_stored_archives_are_read_and_audited(spark, tmp_path):
+    pages = [("http://a/%d" % i, "body é %d" % i * (i % 7)) for i in range(40)]
+    for side in ("one", "two"):
+        (tmp_path / side).mkdir()
+        for f in range(4):
+            data = b"".join(record(u, h + ("!" if side == "two" and u.endswith("/13") else "")) for u, h in pages[f::4])
+            (tmp_path / side / f"part-{f}.warc").write_bytes(data[:-10] if side == "two" and f == 3 else data)
+    ours, theirs = (warc.stored_records(spark, f"file://{tmp_path}/{side}") for side in ("one", "two"))
+    assert ours.count() == 40 and {r["uri"] for r in rows(ours)} == {u for u, _ in pages}
+    at = sum(len(record(u, h)) for u, h in pages[1::4][:3])
+    got = {(r["file"], r["offset"], r["fault"]) for r in rows(warc.audit(ours, theirs))}
+    rest = {(f"part-1.warc", at, "altered")} | {x for x in got if x[0] == "part-1.warc" and x[1] > at}
+    assert {x for x in got if x[0] == "part-1.warc"} == rest and {x[0] for x in got} == {"part-1.warc", "part-3.warc"}
+    assert [x[2] for x in got if x[0] == "part-3.warc"] == ["altered"]
+
+
+def test_repeated_offsets_do_not_multiply(spark):
+    recs = spark.createDataFrame([("f", 0, 5, i, "d") for i in range(6)] + [("f", 9, 5, 7, "e")], "file string, offset long, length long, page_id long, digest string")
+    assert warc.audit(recs, recs).count() == 0
+    assert [r["fault"] for r in rows(warc.audit(recs, recs.where("page_id <> 3")))] == ["missing"]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from nuggetry.llm import ann, queries
 
@@ -55,3 +56,32 @@ def test_odd_rows(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(ann.neighbour_table(df))]
     assert sorted(got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 2, 0.5), (0, 4, 40, -1.0), (40, 1, 1, -0.5), (40, 2, 2, -0.5), (40, 3, 2, -0.5), (40, 4, 0, -1.0)]
     assert ann.neighbour_table(df.limit(0)).count() == 0
+
+
+def test_few_rows_are_verified_and_chunks_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((10, 64))[rng.integers(0, 10, 20_000)] + rng.standard_normal((20_000, 64))
+    x, ids = np.float32(x / np.linalg.norm(x, axis=1, keepdims=True)), np.arange(20_000)
+    flat = pa.array(x.ravel())
+    table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.ListArray.from_arrays(np.arange(20_001, dtype=np.int32) * 64, flat)}))
+    got = rows(ann.neighbour_table(table, every=200))
+    asked = {r["query_id"]: r["n_verified"] for r in got}
+    assert recall(got, plain(ids, x.astype(float), sorted(asked))) >= 0.9
+    assert np.mean(list(asked.values())) < 0.1 * len(ids)
+    assert sorted(map(str, got)) == sorted(map(str, rows(ann.neighbour_table(table.repartition(7), every=200))))
+
+
+def test_windows_hold_what_the_definition_says():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((700, 12))
+    chunk, q = ann.Chunk(np.arange(700), x, float(np.linalg.norm(x, axis=1).max())), rng.standard_normal((5, 12))
+    for row, found in zip(q, chunk.candidates(q)):
+        centre = row / np.linalg.norm(row) @ chunk.directions[:-1]
+        sets = []
+        for level in range(ann.LEVELS):
+            start, span = chunk.windows(centre[None], np.array([ann.FIRST * ann.WIDEN**level]))
+            ranks = chunk.bucket.astype(int)
+            inside = (ranks >= start[0][:, None]) & (ranks <= start[0].astype(int)[:, None] + span[0][:, None])
+            sets.append(np.flatnonzero(inside.sum(0) >= np.ceil(ann.COLLIDE * len(ranks))))
+        want = next((s for s in sets if len(s) >= ann.LEAST), np.arange(700))
+        assert (found == want).all()

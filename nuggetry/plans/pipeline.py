@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import multimodal_context, short_id, switch_mode
@@ -32,6 +32,37 @@ class Config:
     provider: Provider = field(default_factory=RuleProvider)
 
 
+@dataclass(frozen=True)
+class Memories:
+    """The memories as they were before a run; what is left out is empty."""
+
+    decisions: DataFrame | None = None  # decision_id, text, decision, ts
+    canonical: DataFrame | None = None  # text
+    edits: DataFrame | None = None  # edit_id, original, corrected
+    alignments: DataFrame | None = None  # alignment_score, dominant_modality, domain, decision
+    patterns: DataFrame | None = None  # as memory.patterns() gives them
+
+
+_EMPTY = {
+    "decisions": "decision_id long, text string, decision string, ts timestamp",
+    "canonical": "text string",
+    "edits": "edit_id long, original string, corrected string",
+    "alignments": "alignment_score double, dominant_modality string, domain string, decision string",
+    "patterns": "pattern string, domain_count int, cross_domain_boost double",
+}
+
+
+def remember(s: DataFrame, memories: Memories) -> DataFrame:
+    """Suggestions with what the memories say in place of their own text and confidence: ``memory.lookup`` and
+    ``memory.apply_memory``; their alignment by sample is that of the sample."""
+    tables = {k: getattr(memories, k) if getattr(memories, k) is not None else s.sparkSession.createDataFrame([], kind) for k, kind in _EMPTY.items()}
+    s = s.withColumn("id", F.concat_ws("|", "sample_id", "suggestion_id"))
+    asked = s.select("id", "text", "confidence", F.col("overall_alignment").alias("alignment_score"), F.col("source_modality").alias("dominant_modality"), F.coalesce("domain", F.lit("general")).alias("domain"))
+    said = memory.apply_memory(memory.lookup(settle(asked, "asked"), tables["decisions"], tables["canonical"], tables["edits"], tables["alignments"], tables["patterns"]))
+    said = said.select("id", "text", "confidence", "past_approval_rate", "semantic_memory_hit", "is_human_corrected", "cross_domain", "cross_domain_boost", "modal_alignment_score", "similar_forms")
+    return s.drop("text", "confidence").join(said, "id").drop("id")
+
+
 #: One component less each.
 ABLATIONS = {
     "full": Config(),
@@ -62,15 +93,19 @@ def prepare(reviews: DataFrame, config: Config) -> DataFrame:
     return df.withColumn("multimodal_context", multimodal_context("image_description", "audio_description")).withColumn("switch_mode", switch_mode(F.col("overall_alignment"), config.tau))
 
 
-def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | None = None) -> DataFrame:
+def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | None = None, memories: Memories | None = None) -> DataFrame:
     """Ranked suggestions: one row per sample and canonical text with scores, evidence, cluster, memory and reasons.
 
     Samples without an accepted suggestion have no row; they reappear where results are joined to reviews.
-    ``decisions(decision_id, text, decision, ts)`` is the episodic memory as it was before.
+    ``memories`` are those from before; ``decisions(decision_id, text, decision, ts)`` stands for the episodic one alone.
+    Image and audio views come from the provider where it has them. Clusters take suggestions in the order of
+    ``arrived``, if reviews have that column, then of sample and suggestion.
     """
     df = prepare(reviews, config)
     sents = settle(config.provider.sentences(df), "sentences")
     views = settle(config.provider.text_views(df), "views")
+    seen, heard = (getattr(config.provider, f"{kind}_views", lambda _: None)(df) for kind in ("image", "audio"))
+    seen, heard = (settle(v, "views") if v is not None else None for v in (seen, heard))
     labels = config.provider.labels(df, sents)
     liberal = ranking.liberal(labels)
     merged = ranking.merge(ranking.conservative(labels), liberal) if config.conservative else liberal.withColumn("labeller", F.lit("liberal"))
@@ -85,8 +120,8 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     if config.evidence:
         asked = s.select("sample_id", "suggestion_id", "text")
         ev = evidence.text_evidence(asked, df, sents, views.select("sample_id", "complaint_frame", "comparison_frame", "request_frame", "confidence"))
-        ev = ev.unionByName(evidence.image_evidence(asked, df.where("image_description <> ''").select("sample_id", F.lit(0).alias("image_index"), F.col("image_description").alias("caption"))))
-        ev = ev.unionByName(evidence.audio_evidence(asked, df.where("audio_description <> ''").select("sample_id", F.col("audio_description").alias("transcript"))))
+        ev = ev.unionByName(evidence.image_evidence(asked, df.where("image_description <> ''").select("sample_id", F.lit(0).alias("image_index"), F.col("image_description").alias("caption")), seen))
+        ev = ev.unionByName(evidence.audio_evidence(asked, df.where("audio_description <> ''").select("sample_id", F.col("audio_description").alias("transcript")), heard))
         ev = settle(ev, "evidence")
         ev = ev.unionByName(evidence.cross_modal_evidence(ev, df.select("sample_id", "overall_alignment")))
         s = evidence.enrich(s, ev)
@@ -100,20 +135,22 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
         s = s.withColumns({"suggestion_type": F.when(F.col("is_implied"), "implicit").otherwise("explicit"), "faithfulness_score": F.lit(0.5), "actionability_score": F.lit(0.0), "feasibility_score": F.lit(0.0)})
 
     s = settle(s, "routed")
-    order = s.select("sample_id", "suggestion_id", F.coalesce("domain", F.lit("general")).alias("domain"), "text", "confidence", F.xxhash64("sample_id", "suggestion_id").alias("seq"))
-    members = clusters.assign_clusters(order).select("domain", "seq", "cluster_id", "cluster_size")
-    s = s.withColumn("_seq", F.xxhash64("sample_id", "suggestion_id")).join(members.withColumnRenamed("seq", "_seq").drop("domain"), "_seq").drop("_seq")
-
-    if config.memory and decisions is not None:
-        rate = memory.approval_rate(s.select(F.concat_ws("|", "sample_id", "suggestion_id").alias("id"), "text"), memory.recent(decisions)).select("id", "past_approval_rate")
-        s = s.withColumn("id", F.concat_ws("|", "sample_id", "suggestion_id")).join(rate, "id").drop("id").withColumn("confidence", memory.boosted_confidence(F.col("confidence"), F.col("past_approval_rate")))
+    came = df.select("sample_id", F.col("arrived").alias("_came")) if "arrived" in df.columns else df.select("sample_id", F.lit(0).alias("_came"))
+    turn = F.row_number().over(Window.partitionBy("_domain").orderBy("_came", "sample_id", "suggestion_id")).cast("long")
+    s = settle(s.join(came, "sample_id").withColumn("_domain", F.coalesce("domain", F.lit("general"))).withColumn("_seq", turn).drop("_came"), "arrivals")
+    members = clusters.assign_clusters(s.select(F.col("_domain").alias("domain"), F.col("_seq").alias("seq"), "text", "sample_id", "confidence"))
+    members = members.select(F.col("domain").alias("_domain"), F.col("seq").alias("_seq"), "cluster_id", "cluster_size")
+    s = s.join(members, ["_domain", "_seq"]).drop("_domain", "_seq")
+
+    if config.memory and (memories or decisions is not None):
+        s = remember(s, memories or Memories(decisions=decisions))
     else:
         s = s.withColumn("past_approval_rate", F.lit(0.5))
 
     s = ranking.rerank_features(s.withColumn("supporting_views", F.array(F.lit("semantic"), F.lit("syntactic"), F.lit("pragmatic"))))
     s = s.withColumns({"canonical_frequency": F.col("frequency"), "avg_confidence": F.col("confidence"), "has_urgency_markers": F.col("urgency_score") > 0.7, "grounding_score": F.col("evidence_grounding_score")})
-    ranked = ranking.rank(s.withColumn("score", ranking.linear_score(s)))
-    return ranking.review_gate(ranked)
+    s = s.withColumn("score", ranking.linear_score(s)).withColumn("weighted_score", F.round(F.col("score") * ranking.view_weight(F.col("source_modality"), F.col("switch_mode")), 2))
+    return ranking.review_gate(ranking.rank(s, by="weighted_score"))
 
 
 def ablation(name: str, **changes) -> Config:

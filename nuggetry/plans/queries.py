@@ -11,7 +11,7 @@ from ..functions import lexicon as lex
 from ..functions import rules, text
 from ..operators import bootstrap, clusters, evidence, matching, memory, metrics, ml, ranking, routing, similarity
 from ..sources import media, readers, sinks
-from ..sources.work import fresh, settle
+from ..sources.work import fresh, settle, spread
 from ..streaming import memory as streaming
 from . import evaluation, fixtures, pipeline
 from .providers import BANDS, RuleProvider, sentence_kind, split_sentences, with_topics
@@ -33,7 +33,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 # SQL fragments that mirror the column functions

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Broadcasts of tables whose row count is checked first go up to here; beyond, a shuffle join runs.
+BROADCAST_ROWS = 100_000
 
 _local: list[str] = []
 
@@ -36,4 +40,25 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     start from files that outlive an executor."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._nuggetry_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    if path := getattr(df, "_nuggetry_path", None):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it holds at most ``rows`` rows, which a count checks; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly where its files give less than half as many partitions as there are cores, as small
+    or badly split files do: what follows would else run on a few of them. Else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nuggetry.operators import evidence, metrics, ml
+from nuggetry.operators import evidence, memory, metrics, ml
 from nuggetry.plans import fixtures, pipeline
 from nuggetry.plans.providers import ModelProvider, RuleProvider, available, best_view, split_sentences
 from nuggetry.sources import media, readers, sinks
@@ -134,3 +134,79 @@ def test_kendall_tau_against_all_pairs(spark):
         signs = [1 if (p[i] - p[j]) * (g[i] - g[j]) > 0 else -1 for i, j in pairs]
         frame = lambda pos: spark.createDataFrame(list(enumerate(pos)), "item int, pos int")
         assert abs(metrics.kendall_tau(frame(p), frame(g)).first()["tau"] - sum(signs) / len(signs)) < 1e-12
+
+
+def scripted():
+    """A model that answers from the prompt: labels with one suggestion, views for text, nothing valid for one review."""
+    import json
+
+    def call(p):
+        if "soup" in p:
+            return "sorry"
+        if p.startswith("List"):
+            return "Here: " + json.dumps({"suggestions": [{"text": "Add a progress bar to the upload page", "confidence": 0.9, "is_implied": False}]})
+        if p.startswith("Read the review"):
+            return json.dumps({"complaint_frame": "The upload is so slow", "urgency_score": 0.9, "tone": "angry"})
+        if p.startswith("Look"):
+            return json.dumps({"missing_ui_elements": ["progress bar"], "shows_error": True, "confidence": 0.6})
+        return json.dumps({"urgency_score": 0.95, "is_suggestion": 1, "label": 0})
+
+    return call
+
+
+def test_a_model_drives_the_pipeline(spark):
+    from dataclasses import replace
+
+    from nuggetry.plans.providers import zero_shot
+
+    model = ModelProvider(lambda: scripted(), pause=0.0, vision=lambda: lambda p, image: scripted()(p))
+    r = fixtures.reviews(spark).where("sample_id IN ('v1', 'v2', 'v3')").withColumn("image_base64", F.lit("abc"))
+    views = {x.sample_id: x for x in model.text_views(r).collect()}
+    assert views["v1"].complaint_frame == "The upload is so slow" and views["v1"].urgency_score == 0.9 and views["v3"].urgency_score == 0.3
+    seen = {x.sample_id: x for x in model.image_views(r).collect()}
+    assert set(seen) == {"v1"} and seen["v1"].missing_ui_elements == ["progress bar"] and seen["v1"].shows_error and seen["v1"].confidence == 0.6
+    assert {x.sample_id: x.urgency_score for x in model.audio_views(r).collect()}["v2"] == 0.95
+    got = pipeline.run(r, replace(pipeline.Config(), provider=model)).collect()
+    assert {x.sample_id: x.text for x in got}["v1"] == "Add a progress bar to the upload page"
+    pred = {(style, x.sample_id): x.pred for style in ("short", "detailed", "entailment") for x in zero_shot(model, r, style).collect()}
+    assert pred["short", "v1"] and pred["detailed", "v1"] and not pred["entailment", "v1"] and not pred["short", "v3"]
+
+
+def test_slow_calls_end(spark):
+    import time as t
+
+    model = ModelProvider(lambda: lambda p: t.sleep(3) or "{}", retries=1, pause=0.0, timeout=0.1)
+    assert model.ask(spark.createDataFrame([("a",)], "prompt string")).first().reply is None
+
+
+def test_memories_reach_the_ranking(spark):
+    r = fixtures.reviews(spark)
+    plain = {(x.sample_id, x.canonical_text): x for x in pipeline.run(r, pipeline.ablation("no_memory")).collect()}
+    (sid, key), one = next((k, x) for k, x in plain.items() if "progress bar" in k[1])
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    memories = pipeline.Memories(
+        decisions=made([(i, one.text, "accept", 0) for i in range(3)], "decision_id long, text string, decision string, s int").select("decision_id", "text", "decision", F.timestamp_seconds("s").alias("ts")),
+        canonical=made([(one.text,)], "text string"), edits=made([(1, one.text, "Show the progress of the upload")], "edit_id long, original string, corrected string"),
+        alignments=made([(one.overall_alignment, "text", one.domain, "accept")] * 3, "alignment_score double, dominant_modality string, domain string, decision string"),
+        patterns=memory.patterns(made([(one.text, d, True) for d in "xyz"], "text string, domain string, accepted boolean")),
+    )
+    got = {(x.sample_id, x.canonical_text): x for x in pipeline.run(r, memories=memories).collect()}
+    assert got.keys() == plain.keys()
+    x = got[sid, key]
+    assert x.text == "Show the progress of the upload" and x.is_human_corrected and x.semantic_memory_hit and x.past_approval_rate == 1.0
+    assert x.cross_domain and x.modal_alignment_score == 1.0 and x.confidence > one.confidence and x.score > one.score
+    others = [k for k in got if k != (sid, key)]
+    assert others and all(got[k].past_approval_rate == 0.5 and got[k].text == plain[k].text for k in others)
+
+
+def test_views_give_evidence(spark):
+    rows = fixtures.reviews(spark)
+    seen = {x.sample_id: x for x in RuleProvider().image_views(rows.withColumn("image_description", F.when(F.col("sample_id") == "v2", "an error dialog, no cancel button").otherwise(F.col("image_description")))).collect()}
+    assert seen["v1"].missing_ui_elements == ["progress bar"] and seen["v1"].ui_elements_shown == [] and not seen["v1"].shows_error
+    assert seen["v2"].shows_error and seen["v2"].missing_ui_elements == ["cancel button"] and seen["v2"].error_states_shown == ["error dialog"]
+    heard = {x.sample_id: x.urgency_score for x in RuleProvider().audio_views(rows).collect()}
+    assert heard["v2"] == 0.75
+    transcripts = spark.createDataFrame([("v2", "It keeps CRASHING, um, when I search")], "sample_id string, transcript string")
+    asked = spark.createDataFrame([("v2", "x", "fix crashing search")], "sample_id string, suggestion_id string, text string")
+    got = {(e.source_view, e.evidence_role, e.confidence) for e in evidence.audio_evidence(asked, transcripts, RuleProvider().audio_views(rows)).collect()}
+    assert ("audio_pragmatic", "tone_shift", 0.75) in got and any(v == "audio_pragmatic" and r == "emphasis_word" for v, r, _ in got)

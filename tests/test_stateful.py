@@ -115,13 +115,15 @@ def test_memory_edges(spark):
 
 
 def test_short_term_and_patterns_on_a_stream(spark):
-    rows = [("Dark mode", "x", True, 0), ("dark mode ", "y", False, 3600), ("Dark mode", "x", True, 7200)]
-    df = spark.createDataFrame(rows, "text string, domain string, accepted boolean, s int").withColumn("ts", F.timestamp_seconds("s")).withColumn("decision", F.when(F.col("accepted"), "accept").otherwise("reject"))
+    rows = [("Dark mode", "x", True, 60), ("dark mode ", "y", False, 3600), ("Dark mode", "x", True, 7200)]
+    df = spark.createDataFrame(rows, "text string, domain string, accepted boolean, s int").withColumn("ts", F.timestamp_seconds("s")).withColumn("decision", F.when(F.col("accepted"), "accept").otherwise("reject")).withColumn("decision_id", F.col("s"))
     source, out, state = (fresh(spark, n) for n in ("in", "out", "state"))
     df.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(df.schema).parquet(source)
-    streaming.append_incrementally(streaming.short_term(stream), out, state).awaitTermination()
-    assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["Dark mode", "dark mode "]
+    # Every decision counts, a repeated text too; only a row that comes again does not.
+    twice = stream.unionByName(stream.where("s = 7200"))
+    streaming.append_incrementally(streaming.short_term(twice), out, state).awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["Dark mode", "Dark mode", "dark mode "]
     running = streaming.running_patterns(stream).writeStream.format("memory").queryName("patterns").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
     got = spark.table("patterns").first()

@@ -194,7 +194,11 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", text.flat_json("props", "k").cast("int").alias("k"))
 
 
-@query()
+#: Worked out by hand from the rule: fences off, the widest object, the first balanced one, bare suggestions.
+_JSON = [(1, '{"a": 1}'), (2, '{"a": {"b": 2}}'), (3, None), (4, '{"a": 1}'), (5, None), (6, '{"suggestions": [{"text": "Add undo", "confidence": 0.9}, {"text": "Fix it", "confidence": 0.5}]}')]
+
+
+@query(f"WITH {fixtures.values(_JSON, 'id int, json string', 'j')} SELECT id, json FROM j")
 def json_replies(spark, d):
     return spark.createDataFrame(fixtures.JSON_REPLIES, "id int, reply string").select("id", text.json_object("reply").alias("json"))
 
@@ -714,11 +718,11 @@ def explicit_scores(spark, d):
     return matching.explicit_scores(*_pred_gold(spark, d)).withColumn("avg_span_f1", F.round("avg_span_f1", 9))
 
 
-@query()
 def unified_scores(spark, d):
     p, g = _pred_gold(spark, d)
     gates = p.withColumns({"actionability_score": rules.actionability("text"), "feasibility_score": rules.feasibility("text"), "faithfulness_score": F.lit(0.5), "passed": F.col("pos") % 2 == 0})
-    return matching.unified_scores(matching.explicit_scores(p, g), matching.implicit_scores(gates, g))
+    out = matching.unified_scores(matching.explicit_scores(p, g), matching.implicit_scores(gates, g))
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 @query(f"WITH {_MATCH}, n AS (SELECT grp, count(*) AS n FROM p GROUP BY grp), h AS (SELECT grp, count(*) AS h FROM f WHERE score >= 0.2 GROUP BY grp) SELECT grp, n, coalesce(h, 0) / n::DOUBLE AS text_match_rate FROM n LEFT JOIN h USING (grp)")
@@ -755,7 +759,8 @@ def paired_bootstrap(spark, d):
     return bootstrap.paired_test(g, "doc_id", "a", "b", n=100)
 
 
-@query()
+@query(f"""WITH {_GOLD}, {_boot(1000)}, s AS (SELECT resample, coalesce(sum(w) FILTER (WHERE gold AND pred), 0) AS tp, coalesce(sum(w) FILTER (WHERE NOT gold AND pred), 0) AS fp, coalesce(sum(w) FILTER (WHERE gold AND NOT pred), 0) AS fn FROM w GROUP BY resample),
+  l AS (SELECT list_sort(list({s_ratio('2 * tp', '2 * tp + fp + fn')})) AS l FROM s) SELECT l[26] AS low, l[501] AS median, l[975] AS high FROM l""")
 def bootstrap_order_interval(spark, d):
     return bootstrap.order_interval(bootstrap.f1_statistic(_gold(spark, d), "doc_id", "gold", "pred", n=1000), "stat")
 
@@ -800,14 +805,19 @@ def comparison_table(spark, d):
     return sinks.comparison(long, names=["f1", "precision", "recall"])
 
 
-@query()
+_MEDIA = f"""{fixtures.values(fixtures.MEDIA_ROWS, 'entry_id string, image_path string, image_description string, has_image boolean', 'm')}, {fixtures.values(fixtures.MEDIA_FILES, 'path string, length bigint', 'p')},
+  f AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM p), n AS (SELECT m.*, (SELECT min(path) FROM f WHERE name = lower(string_split(coalesce(image_path, ''), '/')[-1])) AS a, (SELECT min(path) FROM f WHERE regexp_replace(name, '\\.[^.]+$', '') = replace(lower(entry_id), '-', '_')) AS b FROM m),
+  r AS (SELECT entry_id, has_image, coalesce(a, b) AS media_path, CASE WHEN a IS NOT NULL THEN 'file' WHEN b IS NOT NULL THEN 'entry_id' WHEN trim(coalesce(image_description, '')) NOT IN ('', 'nan', 'None', '—') THEN 'description' ELSE 'none' END AS media_source FROM n)"""
+
+
+@query(f"WITH {_MEDIA} SELECT entry_id, media_path, media_source FROM r")
 def media_resolution(spark, d):
     rows = spark.createDataFrame(fixtures.MEDIA_ROWS, "entry_id string, image_path string, image_description string, has_image boolean")
     files = media.with_names(spark.createDataFrame(fixtures.MEDIA_FILES, "path string, length long"))
     return media.resolve(rows, files, "image_path", "image_description").select("entry_id", "media_path", "media_source")
 
 
-@query()
+@query("SELECT page_id, to_json({page_id: page_id, url: url, raw: '<' || strlen(html) || ' items>'})::VARCHAR AS state FROM pages")
 def state_dump(spark, d):
     p = table(spark, d, "pages").withColumn("raw", F.col("html").cast("binary"))
     return p.select("page_id", sinks.masked(p.drop("html")).alias("state"))
@@ -854,11 +864,30 @@ def _replay(spark, rows: DataFrame, transform: Callable[[DataFrame], DataFrame])
     return spark.read.parquet(out)
 
 
-@query()
+@query(f"SELECT * FROM ({ORACLE['rolling_approval']}) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def stream_decisions(spark, d):
     """Windows that the watermark has closed; the last day of the table stays open."""
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type").isin("purchase", "signup"), "accept").otherwise("reject").alias("decision"))
-    return _replay(spark, e, streaming.rolling_approval)
+    return _replay(spark, e, streaming.rolling_approval).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT event_id AS decision_id, {_DECIDE} AS decision FROM events")
+def stream_short_term(spark, d):
+    """Every row of the table comes twice, as from a source that sends again; every decision is kept once."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("decision_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type").isin("purchase", "signup"), "accept").otherwise("reject").alias("decision"))
+    twice = e.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
+    return _replay(spark, twice, streaming.short_term).select("decision_id", "decision")
+
+
+@query("""SELECT md5(trim(lower(text))) AS pattern, count(*) AS count, count(*) FILTER (WHERE n_chars % 2 = 0) AS accepted_count, count(DISTINCT source)::INT AS domain_count FROM documents GROUP BY trim(lower(text))""")
+def stream_patterns(spark, d):
+    """Counts per pattern after the last batch of a stream in complete mode."""
+    r = table(spark, d, "documents").select("text", F.col("source").alias("domain"), (F.col("n_chars") % 2 == 0).alias("accepted"))
+    source, out = fresh(spark, "stream-in"), fresh(spark, "stream-out")
+    r.write.parquet(source)
+    counts = streaming.running_patterns(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 3).parquet(source))
+    streaming.keep_complete(counts, out, fresh(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select(F.md5(F.col("pattern").cast("binary")).alias("pattern"), "count", "accepted_count", F.size("domains").alias("domain_count"))
 
 
 @query()
@@ -920,6 +949,10 @@ def implicit_scores(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("avg_intent_match", "avg_actionability", "avg_feasibility")})
 
 
+query(f"""WITH b AS (SELECT grp, n_pred, precision, recall, f1 FROM ({ORACLE['explicit_scores']}) UNION ALL SELECT grp, n_pred, precision, recall, f1 FROM ({ORACLE['implicit_scores']}))
+  SELECT grp, sum(n_pred)::BIGINT AS n_pred, round({s_ratio('sum(precision * n_pred)', 'sum(n_pred)')}, 9) AS precision, round({s_ratio('sum(recall * n_pred)', 'sum(n_pred)')}, 9) AS recall, round({s_ratio('sum(f1 * n_pred)', 'sum(n_pred)')}, 9) AS f1 FROM b GROUP BY grp""")(unified_scores)
+
+
 @query(f"""WITH d AS (SELECT f1 FROM ({ORACLE['detection_metrics']})), o AS (SELECT avg(stem_overlap) AS mean_overlap FROM ({ORACLE['turn_similarities']})) SELECT f1, round(mean_overlap, 9) AS mean_overlap, round({s_ratio('2 * f1 * mean_overlap', 'f1 + mean_overlap')}, 9) AS mining_f1 FROM d, o""")
 def mining_f1(spark, d):
     out = metrics.mining_f1(detection_metrics(spark, d), turn_similarities(spark, d).agg(F.avg("stem_overlap").alias("mean_overlap")))
@@ -987,15 +1020,35 @@ def grounding_summary(spark, d):
     return metrics.grounding(f).withColumns({c: F.round(c, 9) for c in ("avg_grounding", "avg_pieces")})
 
 
+@query(f"SELECT round(sum(exact_match_rate * n_pred) / sum(n_pred), 9) AS exact_match_rate, round(sum(avg_span_f1 * n_pred) / sum(n_pred), 9) AS avg_span_f1 FROM ({ORACLE['explicit_scores']})")
+def explicit_totals(spark, d):
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n_pred")) / F.sum("n_pred"), 9).alias(c)
+    return explicit_scores(spark, d).agg(mean("exact_match_rate"), mean("avg_span_f1"))
+
+
+@query(f"SELECT avg(needs_review::INT) AS needs_review FROM ({ORACLE['review_gate']})")
+def review_rate(spark, d):
+    return review_gate(spark, d).agg(F.avg(F.col("needs_review").cast("int")).alias("needs_review"))
+
+
+@query(f"SELECT max(f1) - min(f1) AS gap FROM ({ORACLE['detection_by_slice']}) WHERE slice = 'lang'")
+def segment_gap(spark, d):
+    return detection_by_slice(spark, d).where("slice = 'lang'").agg((F.max("f1") - F.min("f1")).alias("gap"))
+
+
 def _part(name: str, dimension: str, *columns: str) -> str:
     return " UNION ALL ".join(f"SELECT '{dimension}' AS dimension, '{c}' AS metric, {c}::DOUBLE AS value FROM ({ORACLE[name]})" for c in columns)
 
 
-@query(" UNION ALL ".join([_part("detection_metrics", "detection", "precision", "recall", "f1", "mcc"), _part("cohen_kappa", "agreement", "kappa"), _part("krippendorff_alpha", "agreement", "alpha"), _part("ndcg_at_10", "ranking", "ndcg"), _part("kendall_tau", "ranking", "tau"), _part("mining_f1", "extraction", "mining_f1")]))
+@query(" UNION ALL ".join([_part("detection_metrics", "detection", "precision", "recall", "f1", "mcc"), _part("cohen_kappa", "agreement", "kappa"), _part("krippendorff_alpha", "agreement", "alpha"), _part("ndcg_at_10", "ranking", "ndcg"), _part("kendall_tau", "ranking", "tau"), _part("mining_f1", "extraction", "mining_f1"),
+  _part("explicit_totals", "unified", "exact_match_rate", "avg_span_f1"), _part("grounding_summary", "grounding", "avg_grounding", "multi_modal_coverage", "ungrounded"), _part("grounding_rates", "hallucination", "ungrounded"),
+  _part("false_positive_rate", "false positives", "fp_rate"), _part("topk_precision", "ranking", "precision"), _part("review_rate", "human review", "needs_review"), _part("segment_gap", "gap", "gap")]))
 def full_evaluation(spark, d):
     return evaluation.report(
         evaluation.long(detection_metrics(spark, d), "detection", "precision", "recall", "f1", "mcc"), evaluation.long(cohen_kappa(spark, d), "agreement", "kappa"), evaluation.long(krippendorff_alpha(spark, d), "agreement", "alpha"),
         evaluation.long(ndcg_at_10(spark, d), "ranking", "ndcg"), evaluation.long(kendall_tau(spark, d), "ranking", "tau"), evaluation.long(mining_f1(spark, d), "extraction", "mining_f1"),
+        evaluation.long(explicit_totals(spark, d), "unified", "exact_match_rate", "avg_span_f1"), evaluation.long(grounding_summary(spark, d), "grounding", "avg_grounding", "multi_modal_coverage", "ungrounded"), evaluation.long(grounding_rates(spark, d), "hallucination", "ungrounded"),
+        evaluation.long(false_positive_rate(spark, d), "false positives", "fp_rate"), evaluation.long(topk_precision(spark, d), "ranking", "precision"), evaluation.long(review_rate(spark, d), "human review", "needs_review"), evaluation.long(segment_gap(spark, d), "gap", "gap"),
     )
 
 
@@ -1005,8 +1058,94 @@ def cluster_overview(spark, d):
     return clusters.cluster_stats(clusters.clusters(clusters.assign_clusters(s)))
 
 
-@query()
+@query(f"""WITH {_MEDIA} SELECT count(*) FILTER (WHERE has_image) AS need, count(*) FILTER (WHERE has_image AND media_path IS NOT NULL) AS have, count(*) FILTER (WHERE has_image AND media_path IS NULL) AS missing,
+  array_to_string(list_sort(list(entry_id) FILTER (WHERE has_image AND media_path IS NULL)), ',') AS missing_ids FROM r""")
 def media_audit(spark, d):
     rows = spark.createDataFrame(fixtures.MEDIA_ROWS, "entry_id string, image_path string, image_description string, has_image boolean")
     files = media.with_names(spark.createDataFrame(fixtures.MEDIA_FILES, "path string, length long"))
-    return media.completeness(media.resolve(rows, files, "image_path", "image_description"), "has_image")
+    return media.completeness(media.resolve(rows, files, "image_path", "image_description"), "has_image").withColumn("missing_ids", F.array_join("missing_ids", ","))
+
+
+_ON_TURNS = f"""{_TURNS}, f AS (SELECT conv_id::VARCHAR AS sample_id, turn::VARCHAR AS suggestion_id, x AS text, y AS original_text, (turn % 10) / 10.0::DOUBLE AS confidence, turn % 2 = 1 AS is_implied, CASE turn % 5 WHEN 0 THEN 'image' ELSE 'text' END AS source_modality,
+  CASE turn % 7 WHEN 3 THEN 'sarcasm' END AS speech_act, NULL::VARCHAR AS tone, CASE turn % 3 WHEN 0 THEN x END AS complaint_frame, NULL::VARCHAR AS image_context, NULL::VARCHAR AS audio_context FROM t)"""
+
+
+@query(f"""WITH {_ON_TURNS}, {_ROUTE} SELECT sample_id, suggestion_id, classified_type, CASE WHEN x THEN 'explicit' ELSE 'implicit' END AS routed_type, CASE WHEN x THEN e_pass ELSE i_pass END AS passed_switch, CASE WHEN x THEN e_faith ELSE faith END AS faithfulness_score,
+  CASE WHEN x THEN 0.0 ELSE act END AS actionability_score FROM k""")
+def switch_on_turns(spark, d):
+    t = F.col("turn")
+    s = _turns(spark, d).select(
+        F.col("conv_id").cast("string").alias("sample_id"), t.cast("string").alias("suggestion_id"), F.col("x").alias("text"), F.col("y").alias("original_text"), ((t % 10) / 10.0).alias("confidence"), (t % 2 == 1).alias("is_implied"),
+        F.when(t % 5 == 0, "image").otherwise("text").alias("source_modality"), F.when(t % 7 == 3, "sarcasm").alias("speech_act"), F.when(t % 3 == 0, F.col("x")).alias("complaint_frame"),
+    )
+    return routing.switch(s).select("sample_id", "suggestion_id", "classified_type", "routed_type", "passed_switch", "faithfulness_score", "actionability_score")
+
+
+_SEEN = f"""s AS (SELECT conv_id, turn, {s_keywords('text')} AS k FROM conversations WHERE role = 'user'), c AS (SELECT conv_id, turn AS pos, text, {s_keywords('text')} AS w FROM conversations WHERE role <> 'user'),
+  v AS (SELECT conv_id, {s_keywords('min(text)')} AS iw FROM conversations WHERE role = 'user' GROUP BY conv_id), b AS (SELECT s.conv_id, s.turn, c.pos, k, w, iw, {s_inter('k', 'w')} / greatest(1, len(k))::DOUBLE AS r FROM s JOIN c USING (conv_id) JOIN v USING (conv_id))"""
+
+
+@query(f"""WITH {_SEEN}, e AS (SELECT conv_id, turn, 'shows_problem' AS evidence_role, round(r * 0.8, 3) AS confidence FROM b WHERE r > 0 UNION ALL SELECT conv_id, turn, 'ui_context', 0.75 FROM b UNION ALL SELECT conv_id, turn, 'shows_problem', 0.75 FROM b
+  UNION ALL SELECT conv_id, turn, 'missing_element', 0.7 FROM b UNION ALL SELECT conv_id, turn, 'error_state', 0.85 FROM b WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, 'visual_proof', 0.6 FROM b WHERE {s_inter('k', 'iw')} > 0)
+  SELECT conv_id AS sample_id, turn AS suggestion_id, evidence_role, count(*) AS n, round(sum(confidence), 6) AS confidence FROM e GROUP BY ALL""")
+def image_view_evidence(spark, d):
+    """Evidence of captions with views: elements shown and missing, error states, what the image implies."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", "role", "text")
+    asked = c.where("role = 'user'").select("sample_id", F.col("turn").alias("suggestion_id"), "text")
+    captions = c.where("role <> 'user'").select("sample_id", F.col("turn").alias("image_index"), F.col("text").alias("caption"))
+    one = lambda *names: F.array(*[F.lit(n) for n in names])
+    views = c.where("role = 'user'").groupBy("sample_id").agg(F.min("text").alias("implied_suggestion")).select(
+        "sample_id", one("Progress Bar", "sundial").alias("ui_elements_shown"), one("undo").alias("missing_ui_elements"), one("Error Dialog").alias("error_states_shown"), (F.col("sample_id") % 2 == 0).alias("shows_error"), "implied_suggestion", F.lit(0.6).alias("confidence")
+    )
+    ev = evidence.image_evidence(asked, captions, views)
+    return ev.groupBy("sample_id", "suggestion_id", "evidence_role").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+@query("""WITH u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), t AS (SELECT conv_id, text, (conv_id % 10) / 10.0 AS urgency FROM conversations WHERE role <> 'user' AND text <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)
+  SELECT conv_id AS sample_id, turn AS suggestion_id, length(text)::INT AS chars, round(urgency, 3)::DOUBLE AS confidence FROM u JOIN t USING (conv_id) WHERE urgency > 0.7""")
+def tone_evidence(spark, d):
+    """The tone of whole transcripts above an urgency of 0.7."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", "role", "text")
+    asked = c.where("role = 'user'").select("sample_id", F.col("turn").alias("suggestion_id"), "text")
+    first = c.where("role <> 'user' AND text <> ''").groupBy("sample_id").agg(F.min_by(F.struct("text", "turn"), "turn").alias("f")).select("sample_id", F.col("f.text").alias("transcript"), F.col("f.turn").alias("turn"))
+    views = first.select("sample_id", ((F.col("sample_id") % 10) / 10.0).alias("urgency_score"))
+    ev = evidence.audio_evidence(asked, first.select("sample_id", "transcript"), views).where("evidence_role = 'tone_shift'")
+    return ev.select("sample_id", "suggestion_id", F.col("end").alias("chars"), "confidence")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS text FROM conversations")
+def csv_round_trip(spark, d):
+    """Texts with quotes, commas and line breaks, written as CSV and read back with a declared schema."""
+    path = fresh(spark, "csv")
+    sinks.write_csv(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), path)
+    back = readers.read_csv(spark, path, "conv_id long, turn long, role string, text string")
+    return back.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, quality AS label FROM labels")
+def labelled_csv(spark, d):
+    """Rows without a text or a whole-number label are dropped when a headerless file is read."""
+    path = fresh(spark, "csv")
+    rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("a, b").alias("text"), F.col("quality").cast("string").alias("label"))
+    odd = rows.limit(3).select("id", F.lit(None).cast("string").alias("text"), "label").unionByName(rows.limit(3).withColumn("label", F.lit("x")))
+    rows.unionByName(odd).write.option("escape", '"').csv(path)
+    return readers.read_labelled(spark, path).select("id", "label")
+
+
+@query("SELECT count(*) AS entries FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)")
+def stored_entries(spark, d):
+    return memory.stored_entries(table(spark, d, "conversations"), table(spark, d, "documents"))
+
+
+@query("SELECT 'alignments' AS name, count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS accepted FROM documents UNION ALL SELECT 'decisions', count(*), count(*) FILTER (WHERE doc_id % 3 = 0) FROM documents UNION ALL SELECT 'gold', count(*), count(*) FILTER (WHERE doc_id % 3 = 0) FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'patterns', count(*), count(*) FILTER (WHERE doc_id % 3 = 0) FROM documents")
+def recorded_decisions(spark, d):
+    """What a batch of judged suggestions appends to each memory, and the gold labels among its decisions."""
+    i = F.col("doc_id")
+    judged = table(spark, d, "documents").select("text", F.when(i % 3 == 0, "accept").otherwise("reject").alias("decision"), (i % 2 == 0).alias("human_approved"), ((i % 10) / 10.0).alias("alignment_score"), F.lit("text").alias("dominant_modality"), F.col("source").alias("domain"))
+    made = memory.decision_rows(judged, "2024-01-01 00:00:00")
+    tables = {"alignments": made["alignments"], "decisions": made["decisions"], "gold": memory.gold_labels(made["decisions"]), "patterns": made["patterns"].withColumn("decision", F.when(F.col("accepted"), "accept").otherwise("reject"))}
+    out = None
+    for name, rows in tables.items():
+        row = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "accept").alias("accepted")).select(F.lit(name).alias("name"), "n", "accepted")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import shared_dir
+from ..sources.work import discard, settle, small, spread  # noqa: F401
 
 #: Words of the contracts that split on ASCII whitespace.
 WHITE_WORD = r"[^\x20\x09-\x0D]+"
-#: Broadcasts of tables whose row count is checked first go up to here; beyond, a shuffle join runs.
-BROADCAST_ROWS = 100_000
 
 _DELIM = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90))
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -27,20 +23,7 @@ SPACE_TABLE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at files that outlive an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._nuggetry_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a cut() that nothing reads any more."""
-    if path := getattr(df, "_nuggetry_path", None):
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return settle(df, "cut")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -55,7 +38,8 @@ def packed(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def white_words(text: Column) -> Column:
@@ -63,11 +47,6 @@ def white_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WHITE_WORD)), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``rows`` rows, which a count checks; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def utf8(texts: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]

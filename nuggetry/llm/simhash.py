@@ -211,13 +211,16 @@ def components(stars: DataFrame) -> DataFrame:
     """``stars(node, root)`` to ``(node, root)`` with root the smallest node of the component; roots are left out.
 
     Alternating large-star and small-star rounds; each leaves one edge per node and round trip, smallest
-    neighbours are found with map-side partial minima, and every round is cut.
+    neighbours are found with map-side partial minima, and every round is cut; so are the minima, which leaves the join
+    with the neighbours of a large root to be broadcast or split.
     """
+    spent: list[DataFrame] = []
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))) if large else edges
         low = both.groupBy("node").agg(F.min("root").alias("low")).select(F.col("node").alias("_n"), F.least("node", "low").alias("low"))
-        near = both.join(low, F.col("node") == F.col("_n"))
+        spent.append(cut(low))
+        near = both.join(small(spent[-1]), F.col("node") == F.col("_n"))
         if large:
             near = near.where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("low").alias("root"))
         else:
@@ -231,8 +234,11 @@ def components(stars: DataFrame) -> DataFrame:
     edges, was = cut(ordered), None
     while (now := state(edges)) != was:
         was, old = now, edges
-        edges = cut(star(star(edges, True), False))
-        discard(old)
+        spent.append(cut(star(edges, True)))
+        edges = cut(star(spent[-1], False))
+        for done in (old, *spent):
+            discard(done)
+        spent.clear()
     return edges
 
 
@@ -241,10 +247,15 @@ def near_components(ids: DataFrame) -> DataFrame:
     nodes = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     keys = nodes.select("fp").mapInArrow(_emit_keys, "key int, fp long")
     stars = keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link, "node long, root long")
-    found = components(stars)
-    member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return member.join(least, "root").select("fp", "component_id")
+    found = cut(_grouped(components(stars)))
+    least = small(cut(found.join(nodes, found.node == nodes.fp).groupBy("root").agg(F.min("least_id").alias("component_id"))))
+    linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
+    return nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    """``found(node, root)`` with a row for every root too."""
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -254,7 +265,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component; null ids never name a component unless it has no other; an empty table gives an empty one.
     """
     ids = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    return ids.join(near_components(ids), "fp").select("doc_id", "fp", "component_id")
+    # Written first, so that the rows of a fingerprint that many share are met by a broadcast or split.
+    return ids.join(small(cut(near_components(ids))), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
@@ -469,8 +481,8 @@ def deduplicate(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SI
     found = small(similar_components(base.select(row, "text"), slim, words, similarity))
     node = slim.withColumn("node", F.xxhash64("lo", "hi")).join(found, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
     node = cut(node.groupBy("group", "row").agg(F.count(F.lit(1)).alias("n")))
-    first = node.groupBy("group").agg(F.min("row").alias("first"))
-    gone = small(cut(node.join(first, "group").where(F.col("row") != F.col("first")).select("row.*")))
+    first = node.groupBy("group").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    gone = small(cut(node.join(small(cut(first)), "group").where(F.col("row") != F.col("first")).select("row.*")))
     key = lambda df: (base["doc_id"].eqNullSafe(df["id"])) & (base["_h"] == df["h"])
     again = node.where("n > 1").select("row.*").distinct()
     kept = base.join(gone, key(gone), "left_anti")

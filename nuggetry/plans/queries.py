@@ -336,7 +336,11 @@ def gate_scores(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", rules.actionability("text").alias("actionability"), rules.feasibility("text").alias("feasibility"), rules.specificity("text").alias("specificity"))
 
 
-@query()
+_APOS = "chr(39)"
+
+
+@query(f"""WITH {_SUGG}, {_ROUTE} SELECT sample_id, suggestion_id, CASE WHEN x THEN '' ELSE concat_ws(' → ', 'User complaint: ' || {_APOS} || coalesce(said, '') || {_APOS}, CASE WHEN source_modality = 'cross_modal' THEN 'Cross-modal signal: text + image combine to reveal issue'
+  WHEN source_modality = 'image' AND coalesce(image_context, '') <> '' THEN 'Image evidence: ' || {_APOS} || image_context || {_APOS} END, 'Inferred fix: ' || {_APOS} || coalesce(text, '') || {_APOS}) END AS inference_chain FROM k""")
 def inference_chains(spark, d):
     return routing.switch(fixtures.suggestions(spark)).select("sample_id", "suggestion_id", "inference_chain")
 

@@ -10,7 +10,8 @@ A text word that no item has, or a pair of neighbours that no item has, ends eve
 runs only over stretches whose pairs all pass a bitmap of the items' pairs. That skips nothing.
 
 Benchmarks are cut into blocks of at most ``BLOCK_WORDS`` words, which bounds automaton and broadcast; texts
-pass the blocks one after the other, each adding to what the blocks before it found.
+pass the blocks one after the other, each adding to what the blocks before it found. After ``PASS`` blocks what was
+found is written and they are given up, so that a worker never holds more of them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import WORD_TABLE, packed, slices, utf8, without
+from .common import WORD_TABLE, cut, packed, slices, utf8, without
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+PASS = 4
+#: Words of the shortest span that decontaminate() removes; shorter benchmark items are too common to be leaks.
+MIN_SPAN = 5
 PAIR_BITS = 20
 FOUND = (
     T.StructType()
@@ -253,17 +257,24 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     an empty benchmark hits nothing; a column named ``found`` is replaced.
     """
     out, blocks = without(docs, "found"), _blocks(items, block_words)
-    block, first = next(blocks), True
+    block, first, held = next(blocks), True, []
     while block is not None:
+        if len(held) == PASS:
+            out = cut(out)
+            for old in held:
+                old.unpersist()
+            held = []
         sent, block = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window)), next(blocks, None)
+        held.append(sent)
         find = _finder(sent, first, min_span if block is None else None)
         out = out.withColumn("found", find(F.col("text")) if first else find(F.col("text"), F.col("found")))
         first = False
     return out
 
 
-def n_hit() -> F.Column:
-    return F.expr("aggregate(zip_with(found.starts, found.ends, (a, b) -> cast(b - a as bigint)), 0L, (s, x) -> s + x)")
+def n_hit(least: int = 1) -> F.Column:
+    """Words in hit ranges of ``least`` words or more."""
+    return F.expr(f"aggregate(zip_with(found.starts, found.ends, (a, b) -> cast(if(b - a >= {least}, b - a, 0) as bigint)), 0L, (s, x) -> s + x)")
 
 
 def contamination_table(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
@@ -273,11 +284,13 @@ def contamination_table(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_span: int = 1, max_coverage: float = 0.5, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, min_span: int = MIN_SPAN, max_coverage: float = 0.5, **how) -> DataFrame:
     """``docs`` without benchmark passages: hit ranges of at least ``min_span`` words are removed from the texts, and
-    documents of which more than ``max_coverage`` was hit go as a whole. Columns stay; n_chars follows the text."""
+    documents of which such ranges are more than ``max_coverage`` of the words go as a whole. Columns stay; n_chars
+    follows the text. Null and wordless texts stay as they are; repeated rows fare alike; ids play no part; an empty
+    benchmark or table changes nothing; very long texts are streamed whole."""
     out = find_contamination(packed(docs, "text"), items, min_span=min_span, **how)
-    out = out.where(n_hit() <= F.col("found.n_words") * F.lit(max_coverage))
+    out = out.where(n_hit(min_span) <= F.col("found.n_words") * F.lit(max_coverage))
     clean = F.col("found.clean")
     own = {c: F.col("_row").getField(c) for c in docs.columns} | {"text": F.coalesce(clean, F.col("text"))}
     if "n_chars" in own:

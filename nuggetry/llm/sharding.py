@@ -1,14 +1,17 @@
 """Sharding by minimax contiguous partition.
 
-Documents with equal texts are atomic. Their order is that of the MD5 of the text, cut into 65,536 units by
-its first four hex digits: equal texts share a unit, a unit is about 1/65536 of the corpus, and the ordered
-list of unit sizes stays bounded at any corpus size. A binary search finds the smallest shard capacity for
-which a greedy pass needs no more shards than there are; the cuts are then made under that capacity, each
-shard closing as near to an equal part of what is left as the capacity allows.
+Documents with equal texts are an atomic group. Groups are ordered by the MD5 of their text. A binary search finds the
+smallest shard capacity for which a greedy pass needs no more shards than there are; the cuts are then made under
+that capacity, each shard closing as near to an equal part of what is left as the capacity allows.
+
+The ordered list stays bounded at any corpus size: it starts as 4096 units, the groups of one prefix of three hex digits.
+A greedy pass that may cut a unit of several groups anywhere gives a lower bound of the capacity. The units that it cuts,
+and those next to them, are refined by two digits, and so on: once it cuts none, its bound is a partition, and so
+the smallest capacity over the groups themselves.
 
 Slots number the documents of a shard without gaps in a seeded order of their ids: counts per (shard, bucket
-of that order) give the offsets, and a window numbers the rows of a bucket. Buckets are of ids, so a text that
-a third of all rows share is dealt to all of them.
+of that order) give the offsets, and a window numbers the rows of a bucket. Buckets are of ids and texts, so that neither a
+text nor an id that a third of all rows share is one bucket's.
 """
 
 from __future__ import annotations
@@ -18,31 +21,45 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import cut, discard, without
 from .mixing import order_key
 
-UNIT_HEX = 4
+#: Hex digits of a unit at first, digits that refine it, and units on either side of a cut that are refined with it.
+UNIT_HEX, REFINE_HEX, BESIDE = 3, 2, 3
 SHARDS = 16
 ROWS_PER_BUCKET = 20_000
 SEED = "slot-23:"
 
 
-def minimax_cuts(units: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``units(unit string, bytes long)``, at most 16**UNIT_HEX rows, to ``(unit, shard, capacity)``.
+def _solved(units: DataFrame, shards: int, widest: int) -> DataFrame:
+    """``units(unit string, bytes long, single boolean)``, a list that fits one row, to that row: ``u``, the smallest
+    ``capacity`` for which units that aren't single may be cut anywhere, and ``open``, the units to refine; no rows give no row.
 
-    One row holds the ordered list, bounded by the number of units; no rows give no rows.
+    ``widest`` is the largest group's bytes.
     """
-    one = units.agg(F.array_sort(F.collect_list(F.struct("unit", "bytes"))).alias("u")).where(F.size("u") > 0)
-    one = one.selectExpr("u", "aggregate(u, 0L, (a, x) -> a + x.bytes) AS total", "array_max(transform(u, x -> x.bytes)) AS widest")
-    fits = f"""aggregate(u, named_struct('n', 1, 'load', 0L),
-        (g, x) -> if(g.load + x.bytes <= {{c}}, named_struct('n', g.n, 'load', g.load + x.bytes), named_struct('n', g.n + 1, 'load', x.bytes)),
-        g -> g.n <= {shards})"""
-    # A greedy pass with the mean part plus the widest unit never needs more shards than there are.
-    search = f"""aggregate(sequence(1, 64), named_struct('lo', greatest(widest, (total + {shards - 1}) div {shards}), 'hi', total div {shards} + widest + 1),
-        (s, i) -> if(s.lo >= s.hi, s, if({fits.format(c="((s.lo + s.hi) div 2)")},
-            named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2), named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))),
-        s -> s.lo)"""
+    one = units.agg(F.array_sort(F.collect_list(F.struct("unit", "bytes", "single"))).alias("u")).where(F.size("u") > 0)
+    one = one.selectExpr("u", "aggregate(u, 0L, (a, x) -> a + x.bytes) AS total")
+
+    def greedy(c: str, start: str, more: str, end: str) -> str:
+        # What of a unit is over the capacity goes to as many further shards as it fills.
+        over = f"(g.load + x.bytes - {c})"
+        filled = f"(({over} + {c} - 1) div {c})"
+        return f"""aggregate(u, named_struct('n', 1L, 'load', 0L{start}), (g, x) -> if(g.load + x.bytes <= {c}, named_struct('n', g.n, 'load', g.load + x.bytes{more.format('false')}),
+            if(x.single, named_struct('n', g.n + 1L, 'load', x.bytes{more.format('false')}), named_struct('n', g.n + {filled}, 'load', {over} - ({filled} - 1) * {c}{more.format('true')}))), g -> {end})"""
+
+    # With the mean part plus the widest group a greedy pass never needs more shards than there are.
+    least = f"greatest({widest}L, (total + {shards - 1}) div {shards})"
+    search = f"""aggregate(sequence(1, 64), named_struct('lo', {least}, 'hi', {least} + {widest}L),
+        (s, i) -> if(s.lo >= s.hi, s, if({greedy("((s.lo + s.hi) div 2)", "", "", f"g.n <= {shards}")},
+            named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2), named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))), s -> s.lo)"""
     one = one.withColumn("capacity", F.expr(search))
+    nothing = "cast(array() as array<int>)"
+    cut_at = greedy("capacity", f", 'i', 0, 'at', {nothing}", ", 'i', g.i + 1, 'at', if({}, array_append(g.at, g.i), g.at)", "g.at")
+    return one.withColumn("cut_at", F.expr(cut_at)).withColumn("open", F.expr(f"transform(filter(u, (x, i) -> not x.single and exists(cut_at, k -> abs(k - i) <= {BESIDE})), x -> x.unit)"))
+
+
+def _starts(one: DataFrame, shards: int) -> DataFrame:
+    """The row with ``starts``, the first unit of each shard under ``capacity``."""
     # Starts of the shards when packed from the right: how many a suffix needs at least.
     one = one.withColumn(
         "back",
@@ -52,7 +69,7 @@ def minimax_cuts(units: DataFrame, shards: int = SHARDS) -> DataFrame:
                 named_struct('at', array_append(g.at, g.last), 'load', x.bytes, 'last', x.unit)),
             g -> array_append(g.at, g.last))"""),
     )
-    one = one.withColumn(
+    return one.withColumn(
         "starts",
         F.expr(f"""aggregate(u, named_struct('at', cast(array() as array<string>), 'load', 0L, 'rest', total),
             (g, x) -> if(size(g.at) = 0, named_struct('at', array(x.unit), 'load', x.bytes, 'rest', total),
@@ -63,31 +80,69 @@ def minimax_cuts(units: DataFrame, shards: int = SHARDS) -> DataFrame:
                     named_struct('at', g.at, 'load', g.load + x.bytes, 'rest', g.rest))),
             g -> g.at)"""),
     )
+
+
+def minimax_cuts(units: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``units(unit string, bytes long)``, atomic groups in a list that fits one row, to ``(unit, shard, capacity)``."""
+    widest = units.agg(F.max("bytes")).first()[0] or 0
+    one = _starts(_solved(units.select("unit", "bytes", F.lit(True).alias("single")), shards, widest), shards)
     rows = one.select("capacity", F.explode(F.expr("transform(u, x -> named_struct('unit', x.unit, 'shard', cast(size(filter(starts, s -> s <= x.unit)) - 1 as int)))")).alias("x"))
     return rows.select("x.unit", "x.shard", "capacity")
 
 
+def partition(groups: DataFrame, shards: int = SHARDS) -> tuple[list[str], int]:
+    """``groups(md5 string, bytes long)``, atomic and of any number, to the prefixes at which shards start and the
+    smallest capacity. ``groups`` is read once per round; what is open gets fewer in each."""
+
+    def units(df: DataFrame, digits: int) -> DataFrame:
+        return df.groupBy(F.substring("md5", 1, digits).alias("unit")).agg(F.sum("bytes").alias("bytes"), (F.min("md5") == F.max("md5")).alias("single"))
+
+    widest = groups.agg(F.max("bytes")).first()[0]
+    if widest is None:
+        return [], 0
+    now = cut(units(groups, UNIT_HEX))
+    while True:
+        solved = _solved(now, shards, widest)
+        names, capacity = solved.select("open", "capacity").first()
+        if not names:
+            break
+        by_length: dict[int, list[str]] = {}
+        for name in names:
+            by_length.setdefault(len(name), []).append(name)
+        parts = now.where(~F.col("unit").isin(names))
+        for digits, some in by_length.items():
+            parts = parts.unionByName(units(groups.where(F.substring("md5", 1, digits).isin(some)), digits + REFINE_HEX))
+        old, now = now, cut(parts.coalesce(1))
+        discard(old)
+    starts = _starts(solved, shards).select("starts").first()[0]
+    discard(now)
+    return starts, capacity
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with size, text_crc32, law (``bytes``), shard, slot and grown_shard (null under this law).
 
     Null text has size 1, no checksum, and goes with the empty texts; ties in the order of slots are broken by
     id, size and checksum, so only rows that agree in all of them may swap; an empty table gives an empty one;
-    columns named as the outputs are replaced.
+    columns named as the outputs are replaced; a text of any length is one group and never cut.
     """
-    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_unit", "_key", "_bucket")
+    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_md5", "_key", "_bucket")
     base = (
         without(docs, *added)
         .withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
         .withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))
-        .withColumn("_unit", F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, UNIT_HEX))
-        .withColumn("_key", order_key(F.col("doc_id"), SEED))
+        .withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     )
-    units = base.groupBy("_unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    units = units.select(F.col("_unit").alias("unit"), "bytes", "n")
-    n = units.agg(F.sum("n")).first()[0] or 0
+    base = base.withColumn("_key", F.concat(order_key(F.col("doc_id"), SEED), "_md5"))
+    groups = cut(base.groupBy(F.col("_md5").alias("md5")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    n = groups.agg(F.sum("n")).first()[0] or 0
+    starts, _ = partition(groups.select("md5", "bytes"), shards)
+    discard(groups)
     digits = max(2, math.ceil(math.log(max(1, n / (shards * ROWS_PER_BUCKET)), 16)))
-    cuts = F.broadcast(minimax_cuts(units.select("unit", "bytes"), shards).select(F.col("unit").alias("_unit"), "shard"))  # 16**UNIT_HEX rows at most
-    placed = base.join(cuts, "_unit").withColumn("_bucket", F.substring("_key", 1, digits))
+    started = F.array(*[F.lit(s) for s in starts]) if starts else F.array(F.lit(""))
+    shard = (F.size(F.filter(started, lambda s: s <= F.col("_md5"))) - 1).cast("int")
+    # Buckets by id and text together; the order of slots is that of ids, then texts, within the bucket.
+    placed = base.withColumn("shard", shard).withColumn("_bucket", F.substring(F.md5(F.col("_key").cast("binary")), 1, digits))
 
     counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -91,3 +91,22 @@ def test_spans_go_and_the_rest_stays(spark):
     assert got[2]["text"] == keep
     twice = rows(decontam.decontaminate(clashing(df), bench))
     assert all(r["FOUND"] == r["Size"] == "clash" for r in twice) and {r["text"] for r in twice} == {r["text"] for r in got.values()}
+
+
+def test_short_items_are_left_in_place(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "in the city"), (3, "who wrote the long book")], "item_id long, text string")
+    text = "we met in the city of Paris and asked who wrote the long book, then left"
+    df = docs(spark, [text, "Paris", "who wrote the long book", None, ""])
+    got = {r["doc_id"]: r["text"] for r in rows(decontam.decontaminate(df, bench))}
+    assert got == {0: "we met in the city of Paris and asked , then left", 1: "Paris", 3: None, 4: ""}
+    one = {r["doc_id"]: r["text"] for r in rows(decontam.decontaminate(df, bench, min_span=1))}
+    assert set(one) == {3, 4}  # nine of the first one's words are hit then
+
+
+def test_passes_over_many_blocks_agree(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PASS", 2)
+    items = [(i, f"alpha{i} beta gamma delta epsilon zeta eta theta iota kappa lambda{i}") for i in range(9)]
+    df = docs(spark, [f"say {items[i][1]} and {items[(i * 2) % 9][1]}" for i in range(9)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {r["doc_id"]: digest(*plain(r["text"], items)) for r in rows(df)}
+    assert table(decontam.contamination_table(df, bench, block_words=12)) == want

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,6 +56,10 @@ def test_query(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
     loads = {s: sum(r["size"] for r in got if r["shard"] == s) for s in slots}
     assert max(loads.values()) <= plain_capacity([units[u] for u in sorted(units)], 16)
+    groups = {}
+    for r in got:
+        groups[hashlib.md5(base[r["doc_id"]].encode()).hexdigest()] = groups.get(hashlib.md5(base[r["doc_id"]].encode()).hexdigest(), 0) + r["size"]
+    assert max(loads.values()) <= plain_capacity([groups[u] for u in sorted(groups)], 16)
 
 
 def test_a_dominant_text_leaves_the_rest_even(spark):
@@ -69,3 +75,18 @@ def test_odd_rows(spark):
     assert {(r["size"], r["text_crc32"]) for r in got if r["text"] is None} == {(1, None)}
     assert len({r["shard"] for r in got if r["text"] == "a b c"}) == 1
     assert sharding.shard_documents(odd(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("digits, refine, hot", [(1, 1, 0), (2, 2, 5), (3, 2, 40)])
+def test_capacity_is_that_of_the_groups(spark, monkeypatch, digits, refine, hot):
+    """Against the plain minimax over all groups, whatever units it starts from, with and without a group that dominates."""
+    monkeypatch.setattr(sharding, "UNIT_HEX", digits)
+    monkeypatch.setattr(sharding, "REFINE_HEX", refine)
+    rnd = random.Random(digits)
+    groups = sorted((hashlib.md5(str(i).encode()).hexdigest(), rnd.choice([1, 5, 20, 400])) for i in range(1500))
+    if hot:
+        groups[700] = (groups[700][0], hot * 10_000)
+    starts, capacity = sharding.partition(spark.createDataFrame(groups, "md5 string, bytes long"), 7)
+    assert capacity == plain_capacity([b for _, b in groups], 7)
+    loads = [sum(b for m, b in groups if (sum(s <= m for s in starts)) == k + 1) for k in range(len(starts))]
+    assert max(loads) <= capacity and len(starts) <= 7 and sum(loads) == sum(b for _, b in groups)

@@ -93,23 +93,23 @@ def _near(query: str, body: str) -> tuple[int, int] | None:
     most = len(wanted & set(bare))
     if not wanted or most <= 0.5 * len(wanted):
         return None
-    best, place = 0, (0, 0)
-    for size in range(len(wanted), len(parts) + 1):
-        seen: dict[str, int] = {}
-        for end, w in enumerate(bare):
-            if w in wanted:
-                seen[w] = seen.get(w, 0) + 1
-            if end >= size and (out := bare[end - size]) in wanted:
-                seen[out] -= 1
-                if not seen[out]:
-                    del seen[out]
-            if end >= size - 1 and len(seen) > best:
-                best, place = len(seen), (end - size + 1, size)
-        if best == most:
-            break
-    if best <= 0.5 * len(wanted):
+    # For each end the latest start from which all of these words are in; the shortest such stretch, but never fewer
+    # words than the phrase has, at its first place.
+    seen: dict[str, int] = {}
+    start, covers = 0, []
+    for end, w in enumerate(bare):
+        if w in wanted:
+            seen[w] = seen.get(w, 0) + 1
+        while len(seen) == most and (bare[start] not in wanted or seen[bare[start]] > 1):
+            if bare[start] in wanted:
+                seen[bare[start]] -= 1
+            start += 1
+        if len(seen) == most:
+            covers.append((start, end))
+    size = max(len(wanted), min(end - begin + 1 for begin, end in covers))
+    if size > len(parts):
         return None
-    first, size = place
+    first = min(max(0, end - size + 1) for begin, end in covers if max(0, end - size + 1) <= begin)
     at = len(" ".join(parts[:first])) + (1 if first else 0)
     return at, at + len(" ".join(parts[first : first + size]))
 

@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import small
 from .ranking import SCORER_INPUTS, linear_score
 
 TERMS = 5000
@@ -41,8 +42,8 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """Column weight: rows over twice the rows of the label, so that both labels weigh alike."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    w = n.join(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one row; a row per label
-    return df.join(F.broadcast(w), label)
+    w = n.join(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one row
+    return df.join(small(w), label)
 
 
 def logistic(train: DataFrame, terms: int = TERMS) -> PipelineModel:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import rules, text
 from ..operators import bootstrap, clusters, evidence, matching, memory, metrics, ml, ranking, routing, similarity
 from ..sources import media, readers, sinks
-from ..sources.work import fresh, settle, spread
+from ..sources.work import fresh, positions, settle, spread
 from ..streaming import memory as streaming
 from . import evaluation, fixtures, pipeline
 from .providers import BANDS, RuleProvider, sentence_kind, split_sentences, with_topics
@@ -633,7 +633,7 @@ _RANKINGS = """s AS (SELECT l_suppkey AS item, sum(l_quantity) AS a, count(*) AS
 
 def _rankings(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("item")).agg(F.sum("l_quantity").alias("a"), F.count(F.lit(1)).alias("b"))
-    by = lambda c: s.select("item", F.row_number().over(Window.orderBy(F.desc(c), "item")).alias("pos"))
+    by = lambda c: positions(s.select("item", c), F.desc(c), "item").select("item", "pos")
     return by("a"), by("b")
 
 
@@ -840,23 +840,28 @@ def _train(spark, d):
     return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
 
 
+def _held_out():
+    """A fifth of the rows, by the hash of their id, on which models are tried."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
 @query()
 def tfidf_logreg(spark, d):
     t = _train(spark, d)
-    return ml.predict(ml.logistic(t, 1000), t.drop("label")).drop("text")
+    return ml.predict(ml.logistic(t.where(~_held_out())), t.where(_held_out())).select("doc_id", F.col("label").cast("int").alias("label"), "pred")
 
 
 @query()
 def tfidf_svm(spark, d):
     t = _train(spark, d)
-    return ml.predict(ml.svm(t, 1000), t.drop("label")).drop("text")
+    return ml.predict(ml.svm(t.where(~_held_out())), t.where(_held_out())).select("doc_id", F.col("label").cast("int").alias("label"), "pred")
 
 
 @query()
 def gbt_scorer(spark, d):
     f = _features(spark, d)
-    rated = f.withColumn("rating", ranking.linear_score(f))
-    return ml.learned_score(ml.learned_scorer(rated), f).select("doc_id", "score")
+    rated = f.where(~_held_out()).withColumn("rating", ranking.linear_score(f))
+    return ml.learned_score(ml.learned_scorer(rated), f.where(_held_out())).select("doc_id", "score")
 
 
 def _replay(spark, rows: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:

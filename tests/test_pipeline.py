@@ -210,3 +210,28 @@ def test_views_give_evidence(spark):
     asked = spark.createDataFrame([("v2", "x", "fix crashing search")], "sample_id string, suggestion_id string, text string")
     got = {(e.source_view, e.evidence_role, e.confidence) for e in evidence.audio_evidence(asked, transcripts, RuleProvider().audio_views(rows)).collect()}
     assert ("audio_pragmatic", "tone_shift", 0.75) in got and any(v == "audio_pragmatic" and r == "emphasis_word" for v, r, _ in got)
+
+
+def plain_near(query, body):
+    """Every window of every size, the smallest and then the first."""
+    if (at := body.lower().find(query.lower())) >= 0:
+        return at, at + len(query)
+    wanted, parts = set(query.lower().split()), body.split()
+    bare = [w.lower().strip(".,!?") for w in parts]
+    most = len(wanted & set(bare))
+    if not wanted or most <= 0.5 * len(wanted):
+        return None
+    for size in range(len(wanted), len(parts) + 1):
+        for first in range(len(parts) - size + 1):
+            if len(wanted & set(bare[first : first + size])) == most:
+                at = len(" ".join(parts[:first])) + (1 if first else 0)
+                return at, at + len(" ".join(parts[first : first + size]))
+    return None
+
+
+def test_fuzzy_find_against_all_windows():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        q = " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 5)))
+        b = " ".join(rnd.choice("abcdefxyz") + rnd.choice(["", ".", ","]) for _ in range(rnd.randint(0, 14)))
+        assert evidence._near(q, b) == plain_near(q, b), (q, b)

@@ -2,7 +2,7 @@
 
 One weight vector over hashed text features and ordered thresholds: P(grade > k) = sigmoid(w.x - t_k). The sum
 of these tails is the expected grade; the tail above a grade selects documents. Features are the distinct words
-of the text and steps of its shape (capitals, symbols, repetition, length), hashed into 2**18 buckets; the
+of the text, their first four and five bytes (for words that are seen in many forms) and steps of its shape (capitals, symbols, repetition, length), hashed into 2**18 buckets; the
 buckets that depend on the grade by a chi-square test are kept: those that chance explains with a probability below
 ``CHANCE`` over all buckets together, and whose dependence is ``EFFECT`` of the largest there can be or more. Both
 follow the size of the sample. Where no bucket is kept there is no model, and everything is accepted.
@@ -58,7 +58,8 @@ def features(text: bytes) -> np.ndarray:
     }
     steps = [b"\1%s%d" % (k, i) for k, v in shape.items() for i in range(1, 1 + int(20 * min(v, 1.0)))]
     steps += [b"\1size%d" % i for i in range(1, n.bit_length())]
-    h = np.fromiter(map(crc32, (*distinct, *steps)), np.int64, len(distinct) + len(steps))
+    starts = [b"\2" + x for x in {w[:k] for w in distinct if len(w) > 4 for k in (4, 5)}]
+    h = np.fromiter(map(crc32, (*distinct, *starts, *steps)), np.int64, len(distinct) + len(starts) + len(steps))
     return h & (BUCKETS - 1)
 
 

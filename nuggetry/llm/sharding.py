@@ -31,11 +31,12 @@ ROWS_PER_BUCKET = 20_000
 SEED = "slot-23:"
 
 
-def _solved(units: DataFrame, shards: int, widest: int) -> DataFrame:
+def _solved(units: DataFrame, shards: int, widest: int, known: int = 0) -> DataFrame:
     """``units(unit string, bytes long, single boolean)``, a list that fits one row, to that row: ``u``, the smallest
     ``capacity`` for which units that aren't single may be cut anywhere, and ``open``, the units to refine; no rows give no row.
 
-    ``widest`` is the largest group's bytes.
+    ``widest`` is the largest group's bytes, ``known`` a lower bound of the capacity. The search gallops from the bound
+    before it bisects, since refining units seldom moves it far.
     """
     one = units.agg(F.array_sort(F.collect_list(F.struct("unit", "bytes", "single"))).alias("u")).where(F.size("u") > 0)
     one = one.selectExpr("u", "aggregate(u, 0L, (a, x) -> a + x.bytes) AS total")
@@ -48,14 +49,15 @@ def _solved(units: DataFrame, shards: int, widest: int) -> DataFrame:
             if(x.single, named_struct('n', g.n + 1L, 'load', x.bytes{more.format('false')}), named_struct('n', g.n + {filled}, 'load', {over} - ({filled} - 1) * {c}{more.format('true')}))), g -> {end})"""
 
     # With the mean part plus the widest group a greedy pass never needs more shards than there are.
-    least = f"greatest({widest}L, (total + {shards - 1}) div {shards})"
-    search = f"""aggregate(sequence(1, 64), named_struct('lo', {least}, 'hi', {least} + {widest}L),
-        (s, i) -> if(s.lo >= s.hi, s, if({greedy("((s.lo + s.hi) div 2)", "", "", f"g.n <= {shards}")},
-            named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2), named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))), s -> s.lo)"""
+    least = f"greatest({widest}L, {known}L, (total + {shards - 1}) div {shards})"
+    tried = "if(s.step < 0, (s.lo + s.hi) div 2, least(s.lo + s.step, s.hi - 1))"
+    search = f"""aggregate(sequence(1, 128), named_struct('lo', {least}, 'hi', {least} + {widest}L, 'step', 0L),
+        (s, i) -> if(s.lo >= s.hi, s, if({greedy(f"({tried})", "", "", f"g.n <= {shards}")},
+            named_struct('lo', s.lo, 'hi', {tried}, 'step', -1L), named_struct('lo', {tried} + 1, 'hi', s.hi, 'step', if(s.step < 0, -1L, 2 * s.step + 1)))), s -> s.lo)"""
     one = one.withColumn("capacity", F.expr(search))
     nothing = "cast(array() as array<int>)"
     cut_at = greedy("capacity", f", 'i', 0, 'at', {nothing}", ", 'i', g.i + 1, 'at', if({}, array_append(g.at, g.i), g.at)", "g.at")
-    return one.withColumn("cut_at", F.expr(cut_at)).withColumn("open", F.expr(f"transform(filter(u, (x, i) -> not x.single and exists(cut_at, k -> abs(k - i) <= {BESIDE})), x -> x.unit)"))
+    return one.withColumn("cut_at", F.expr(cut_at)).withColumn("open", F.expr(f"array_distinct(flatten(transform(cut_at, k -> transform(filter(slice(u, greatest(k + 1 - {BESIDE}, 1), {2 * BESIDE + 1}), x -> not x.single), x -> x.unit))))"))
 
 
 def _starts(one: DataFrame, shards: int) -> DataFrame:
@@ -100,9 +102,9 @@ def partition(groups: DataFrame, shards: int = SHARDS) -> tuple[list[str], int]:
     widest = groups.agg(F.max("bytes")).first()[0]
     if widest is None:
         return [], 0
-    now = cut(units(groups, UNIT_HEX))
+    now, capacity = cut(units(groups, UNIT_HEX)), 0
     while True:
-        solved = _solved(now, shards, widest)
+        solved = _solved(now, shards, widest, capacity)
         names, capacity = solved.select("open", "capacity").first()
         if not names:
             break

@@ -21,8 +21,12 @@ from ..functions.text import keywords, locate_words, sentence_index, text
 from ..sources.work import settle
 
 COLUMNS = ["sample_id", "suggestion_id", "evidence_type", "pos", "start", "end", "matched_text", "source_view", "evidence_role", "confidence"]
+# Pace of speech, least overlap, where segments are cut, colours by kind of evidence.
 WORDS_PER_SECOND = 2.5
 LEAST_OVERLAP = 0.15
+SEGMENT_CUTS = r"[.!?]+\s*|(?:\.{3}|…)\s*|,\s+(?=(?:um|uh|like|so|and)\s)"
+COLOURS = {"text": "#3B8BD4", "image": "#1D9E75", "audio": "#D85A30", "cross_modal": "#7F77DD"}
+# End of the fixed values.
 
 
 def _ratio(sugg: Column, other: Column) -> Column:
@@ -191,7 +195,7 @@ def segments(transcripts: DataFrame) -> DataFrame:
     Cuts are at sentence ends, ellipses and commas before a filler; a segment is looked for from where the one
     before it ended, and takes its words at 2.5 a second.
     """
-    parts = F.filter(F.transform(F.split(text("transcript"), r"[.!?]+\s*|(?:\.{3}|…)\s*|,\s+(?=(?:um|uh|like|so|and)\s)"), lambda s: F.btrim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text("transcript"), SEGMENT_CUTS), lambda s: F.btrim(s)), lambda s: s != "")
     empty = F.expr("cast(array() as array<struct<text: string, char_start: int, char_end: int, t0: double, t1: double>>)")
 
     def step(acc: Column, s: Column) -> Column:
@@ -270,6 +274,6 @@ def enrich(suggestions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def highlights(evidence: DataFrame) -> DataFrame:
     """One record for display per piece of evidence, as JSON with the kind's colour."""
-    colour = F.create_map(*[F.lit(x) for kv in {"text": "#3B8BD4", "image": "#1D9E75", "audio": "#D85A30", "cross_modal": "#7F77DD"}.items() for x in kv])
+    colour = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
     record = F.struct(F.col("evidence_type").alias("type"), "start", "end", F.col("matched_text").alias("text"), F.col("evidence_role").alias("role"), "confidence", F.element_at(colour, F.col("evidence_type")).alias("color"))
     return evidence.select("sample_id", "suggestion_id", F.to_json(record).alias("highlight"))

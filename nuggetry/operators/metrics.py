@@ -72,6 +72,13 @@ def efficiency(log: DataFrame, by: str = "model") -> DataFrame:
     return log.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("tokens_in") + F.col("tokens_out")).alias("avg_tokens"), F.avg(F.col("latency_ms") / 1000).alias("avg_latency_s"), F.avg(cost).alias("avg_cost"))
 
 
+def means(df: DataFrame, by: str, value: str, condition: Column, order: str, k: int) -> DataFrame:
+    """Per group: the mean of all values, of those where ``condition`` holds, and of the first ``k`` by ``order``."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    rows = df.select(by, F.col(value).cast("double").alias("_v"), condition.alias("_c"), nth.alias("_n"))
+    return rows.groupBy(by).agg(F.avg("_v").alias("mean"), F.avg(F.when(F.col("_c"), F.col("_v"))).alias("mean_if"), F.avg(F.when(F.col("_n") <= k, F.col("_v"))).alias("mean_first"))
+
+
 def majority(preds: DataFrame, key: str) -> DataFrame:
     """``(key, pred)`` of the majority of the runs of each key; half is enough from ``n div 2 + 1`` on."""
     return preds.groupBy(key).agg((F.count_if("pred") >= F.floor(F.count(F.lit(1)) / 2) + 1).alias("pred"))

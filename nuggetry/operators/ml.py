@@ -20,6 +20,7 @@ from .ranking import SCORER_INPUTS, linear_score
 TERMS = 5000
 #: The learned scorer needs so many rated suggestions; below, the linear score stands.
 LEAST_SAMPLES = 50
+#: Features of the learned scorer, in order.
 GBT_FEATURES = [
     "view_agreement_ratio", "modality_agreement_score", "semantic_memory_hit", "canonical_frequency", "past_approval_rate", "cluster_size", "avg_confidence",
     "has_urgency_markers", "user_segment_importance", "modality_alignment", "is_implied", "grounding_score", "actionability_score", "feasibility_score", "faithfulness_score",

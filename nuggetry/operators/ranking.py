@@ -81,7 +81,7 @@ def log_share(n: Column, full: int) -> Column:
     return F.when(n <= 1, 0.0).otherwise(F.least(F.lit(1.0), F.ln(n.cast("double")) / F.ln(F.lit(float(full)))))
 
 
-#: Inputs of the scorer and what stands for a missing one.
+#: Inputs of the scorer and what stands for a missing one.
 SCORER_INPUTS = {
     "view_agreement_ratio": 0.0, "modality_agreement_score": 0.5, "semantic_memory_hit": False, "canonical_frequency": 1, "past_approval_rate": 0.5, "cluster_size": 1,
     "avg_confidence": 0.5, "has_urgency_markers": False, "user_segment_importance": 0.7, "modality_alignment": 0.5, "is_implied": False, "grounding_score": 0.5,

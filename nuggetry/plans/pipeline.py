@@ -105,7 +105,8 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     sents = settle(config.provider.sentences(df), "sentences")
     views = settle(config.provider.text_views(df), "views")
     seen, heard = (getattr(config.provider, f"{kind}_views", lambda _: None)(df) for kind in ("image", "audio"))
-    seen, heard = (settle(v, "views") if v is not None else None for v in (seen, heard))
+    if not isinstance(config.provider, RuleProvider):  # a model is asked once, however often its views are read
+        seen, heard = (settle(v, "views") if v is not None else None for v in (seen, heard))
     labels = config.provider.labels(df, sents)
     liberal = ranking.liberal(labels)
     merged = ranking.merge(ranking.conservative(labels), liberal) if config.conservative else liberal.withColumn("labeller", F.lit("liberal"))
@@ -134,7 +135,6 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     else:
         s = s.withColumns({"suggestion_type": F.when(F.col("is_implied"), "implicit").otherwise("explicit"), "faithfulness_score": F.lit(0.5), "actionability_score": F.lit(0.0), "feasibility_score": F.lit(0.0)})
 
-    s = settle(s, "routed")
     came = df.select("sample_id", F.col("arrived").alias("_came")) if "arrived" in df.columns else df.select("sample_id", F.lit(0).alias("_came"))
     turn = F.row_number().over(Window.partitionBy("_domain").orderBy("_came", "sample_id", "suggestion_id")).cast("long")
     s = settle(s.join(came, "sample_id").withColumn("_domain", F.coalesce("domain", F.lit("general"))).withColumn("_seq", turn).drop("_came"), "arrivals")

@@ -1158,3 +1158,18 @@ def recorded_decisions(spark, d):
         row = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "accept").alias("accepted")).select(F.lit(name).alias("name"), "n", "accepted")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(f"""WITH a AS (SELECT item_id AS id, {s_set('text')} AS t FROM benchmark), b AS (SELECT DISTINCT text AS id, {s_set('text')} AS t FROM conversations), {s_pairs('a', 'b', 0.0)}
+  SELECT left_id AS id, md5(right_id) AS form, similarity, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS pos FROM pairs) WHERE pos <= 3""")
+def long_term_forms(spark, d):
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    out = memory.long_term_forms(a, table(spark, d, "conversations").select("text"))
+    return out.select("id", F.md5(F.col("canonical_text").cast("binary")).alias("form"), "similarity", "pos")
+
+
+@query("""WITH r AS (SELECT source, n_chars::DOUBLE AS v, lang = 'en' AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+  SELECT source, round(avg(v), 6) AS mean, round(avg(v) FILTER (WHERE c), 6) AS mean_if, round(avg(v) FILTER (WHERE n <= 5), 6) AS mean_first FROM r GROUP BY source""")
+def conditional_means(spark, d):
+    out = metrics.means(table(spark, d, "documents"), "source", "n_chars", F.col("lang") == "en", "doc_id", 5)
+    return out.select("source", *[F.round(c, 6).alias(c) for c in ("mean", "mean_if", "mean_first")])

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mime_type, without_sentinel
 
+# Kinds of files, and the largest that is sent as it is.
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".gif", ".bmp"]
 AUDIO_EXTENSIONS = [".wav", ".mp3", ".m4a", ".flac", ".ogg"]
 LARGEST = 20 << 20
+# End of the fixed values.
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

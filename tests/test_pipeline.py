@@ -235,3 +235,36 @@ def test_fuzzy_find_against_all_windows():
         q = " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 5)))
         b = " ".join(rnd.choice("abcdefxyz") + rnd.choice(["", ".", ","]) for _ in range(rnd.randint(0, 14)))
         assert evidence._near(q, b) == plain_near(q, b), (q, b)
+
+
+def test_segments_of_all_turns_against_a_loop(spark):
+    import re
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    want = []
+    for r in turns:
+        cursor, at, i = 0, 0.0, 0
+        for s in (x.strip(" ") for x in re.split(evidence.SEGMENT_CUTS, r.text)):
+            if s:
+                start = r.text.find(s, cursor)
+                start = cursor if start < 0 else start
+                later = at + len(re.split(r"\s+", s)) / 2.5
+                want.append((f"{r.conv_id}-{r.turn}", i, s, start, start + len(s), round(at, 1), round(later, 1)))
+                cursor, at, i = start + len(s), later, i + 1
+    from nuggetry.plans import queries
+
+    got = [tuple(x) for x in queries.transcript_segments(spark, "/root/testdata/sf0.001").collect()]
+    key = lambda x: (x[0], x[1])
+    assert [x[:5] for x in sorted(got, key=key)] == [x[:5] for x in sorted(want, key=key)]
+    assert all(abs(a[5] - b[5]) < 0.11 and abs(a[6] - b[6]) < 0.11 for a, b in zip(sorted(got, key=key), sorted(want, key=key)))
+
+
+def test_acoustic_texts(spark):
+    from nuggetry.functions import rules
+
+    features = "struct<tone: string, speaking_rate_wpm: double, emphasis: array<struct<word: string, energy_ratio: double>>, pause_count: int, longest_pause_seconds: double, pitch_variability: double, energy_variability: double, duration_seconds: double>"
+    rows = [(("angry", 190.0, [("now", 1.5), ("late", 2.5), ("so", 2.0), ("very", 1.0)], 4, 2.25, 60.0, 0.06, 3.0),), (("neutral", 120.0, [], 1, 0.5, 30.0, 0.01, 2.0),)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, f"a {features}").select(rules.acoustic_description(F.col("a")), rules.acoustic_features(F.col("a"))).collect()]
+    assert got[0][0] == "Audio: angry tone, rapid pace, strong emphasis on late, so, now, 4 pauses (longest 2.3s), highly variable pitch (emotional), volume fluctuates significantly."
+    assert got[1][0] == "Audio: neutral tone, normal pace."
+    assert got[0][1] == "duration=3.0s, rate=190 wpm, pauses=4 (longest 2.3s), pitch_var=60.0, energy_var=0.060, emphasis=now/late/so/very"

@@ -102,6 +102,11 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     ``arrived``, if reviews have that column, then of sample and suggestion.
     """
     df = prepare(reviews, config)
+    if config.alignment and (aligned := getattr(config.provider, "alignment", lambda _: None)(df)) is not None:
+        aligned = settle(aligned.select("sample_id", F.col("overall_alignment").alias("_a"), "dominant_modality", "has_contradiction"), "alignment")
+        given = "overall_alignment" if "overall_alignment" in reviews.columns else F.lit(None).cast("double").alias("overall_alignment")
+        known = reviews.select("sample_id", given).join(aligned, "sample_id", "left").select("sample_id", F.coalesce("overall_alignment", "_a").alias("overall_alignment"), "dominant_modality", "has_contradiction")
+        df = prepare(reviews.drop("overall_alignment").join(known, "sample_id"), config)
     sents = settle(config.provider.sentences(df), "sentences")
     views = settle(config.provider.text_views(df), "views")
     seen, heard = (getattr(config.provider, f"{kind}_views", lambda _: None)(df) for kind in ("image", "audio"))
@@ -113,7 +118,7 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
     accepted = settle(ranking.arbitrate(merged, accept_all=not config.arbitration).where("accepted"), "accepted")
     canonical = ranking.canonicalise(accepted)
 
-    context = df.select("sample_id", "domain", F.col("raw_text").alias("original_text"), "image_description", "audio_description", "overall_alignment", "user_segment", "switch_mode")
+    context = df.select("sample_id", "domain", F.col("raw_text").alias("original_text"), "image_description", "audio_description", "overall_alignment", "user_segment", "switch_mode", *[c for c in ("dominant_modality", "has_contradiction") if c in df.columns])
     s = canonical.join(accepted.select("sample_id", F.col("canonical_key").alias("canonical_text"), "text", "is_implied", "modality_agreement_score"), ["sample_id", "canonical_text"])
     s = s.withColumn("suggestion_id", short_id("canonical_text")).withColumn("source_modality", F.lit("text"))
     s = settle(s.join(context, "sample_id").join(views.select("sample_id", "complaint_frame", "speech_act", "tone", "urgency_score"), "sample_id"), "suggestions")

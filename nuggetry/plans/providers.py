@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions.rules import any_of, emphasis_words, has_any
-from ..functions.text import json_object, starts_with_marker, text, topic_words, without_sentinel
+from ..functions.text import json_object, multimodal_context, starts_with_marker, text, topic_words, without_sentinel
 from ..sources.work import settle
 
 #: Span confidence by what a sentence does: request, question or comparison, complaint, neutral, praise.
@@ -39,6 +39,8 @@ class Provider(Protocol):
 
     def audio_views(self, reviews: DataFrame) -> DataFrame | None: ...
 
+    def alignment(self, reviews: DataFrame) -> DataFrame | None: ...
+
     def labels(self, reviews: DataFrame, sentences: DataFrame) -> DataFrame: ...
 
 
@@ -119,6 +121,9 @@ class RuleProvider:
         stressed = F.size(emphasis_words("audio_description")) > 0
         return reviews.where(said != "").select("sample_id", F.when(stressed, "emphatic").otherwise("neutral").alias("tone"), F.when(urgent, 0.8).when(stressed, 0.75).otherwise(0.3).alias("urgency_score"))
 
+    def alignment(self, reviews: DataFrame) -> None:
+        """Rules don't compare modalities: reviews keep the alignment that they come with."""
+
     def labels(self, reviews: DataFrame, sentences: DataFrame) -> DataFrame:
         """Sentences from complaints upwards as labels: (sample_id, idx, text, confidence, is_implied, source_modality)."""
         rows = sentences.where(F.col("kind").isin("request", "question", "complaint"))
@@ -130,12 +135,14 @@ PROMPTS = {
     "text": 'Read the review below. Reply with one JSON object with the fields complaint_frame, comparison_frame, request_frame (the words of the review, or null), speech_act, tone (one word each) and urgency_score (0 to 1).\n\n{0}',
     "image": 'Look at the picture that came with a review. Reply with one JSON object with the fields ui_elements_shown, missing_ui_elements, error_states_shown (lists of names), shows_error (true or false), implied_suggestion (or null) and confidence (0 to 1).\n\nReview: {0}\nDescription: {1}',
     "audio": 'Read what was said and how. Reply with one JSON object with the fields tone (one word) and urgency_score (0 to 1).\n\n{1}',
+    "alignment": 'Compare what a review says with what was seen or heard with it. Reply with one JSON object with the fields overall_alignment (0 to 1), dominant_modality (text, image or audio) and has_contradiction (true or false).\n\nReview: {0}\nSeen or heard: {1}',
     "labels": 'List the suggestions for improvement that the review below makes or implies. Reply with one JSON object {{"suggestions": [{{"text": ..., "confidence": 0 to 1, "is_implied": true or false}}]}}.\n\n{0}',
 }
 _FIELDS = {
     "text": "complaint_frame string, comparison_frame string, request_frame string, speech_act string, tone string, urgency_score double",
     "image": "ui_elements_shown array<string>, missing_ui_elements array<string>, error_states_shown array<string>, shows_error boolean, implied_suggestion string, confidence double",
     "audio": "tone string, urgency_score double",
+    "alignment": "overall_alignment double, dominant_modality string, has_contradiction boolean",
     "labels": "suggestions array<struct<text: string, confidence: double, is_implied: boolean>>",
 }
 
@@ -206,6 +213,12 @@ class ModelProvider:
     def audio_views(self, reviews: DataFrame) -> DataFrame:
         return self._filled(self._answers("audio", reviews.where(text("audio_description") != ""), "audio_description"), self.rules.audio_views(reviews))
 
+    def alignment(self, reviews: DataFrame) -> DataFrame:
+        """(sample_id, overall_alignment, dominant_modality, has_contradiction) of reviews with a description; null where
+        the model had no valid answer."""
+        both = reviews.withColumn("_context", multimodal_context("image_description", "audio_description")).where(F.col("_context") != "")
+        return self._answers("alignment", both, "_context")
+
     def labels(self, reviews: DataFrame, sentences: DataFrame) -> DataFrame:
         """The model's suggestions, in its order; the rules' labels for samples that it gave no valid answer for."""
         got = settle(self._answers("labels", reviews), "labels")

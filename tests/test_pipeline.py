@@ -147,6 +147,8 @@ def scripted():
             return "Here: " + json.dumps({"suggestions": [{"text": "Add a progress bar to the upload page", "confidence": 0.9, "is_implied": False}]})
         if p.startswith("Read the review"):
             return json.dumps({"complaint_frame": "The upload is so slow", "urgency_score": 0.9, "tone": "angry"})
+        if p.startswith("Compare"):
+            return json.dumps({"overall_alignment": 0.1, "dominant_modality": "image", "has_contradiction": True})
         if p.startswith("Look"):
             return json.dumps({"missing_ui_elements": ["progress bar"], "shows_error": True, "confidence": 0.6})
         return json.dumps({"urgency_score": 0.95, "is_suggestion": 1, "label": 0})
@@ -168,6 +170,10 @@ def test_a_model_drives_the_pipeline(spark):
     assert {x.sample_id: x.urgency_score for x in model.audio_views(r).collect()}["v2"] == 0.95
     got = pipeline.run(r, replace(pipeline.Config(), provider=model)).collect()
     assert {x.sample_id: x.text for x in got}["v1"] == "Add a progress bar to the upload page"
+    one = next(x for x in got if x.sample_id == "v1")
+    assert one.overall_alignment == 0.8 and "cross_modal_contradiction" in one.reasons
+    unknown = pipeline.run(r.withColumn("overall_alignment", F.lit(None).cast("double")), replace(pipeline.Config(), provider=model)).where("sample_id = 'v1'").first()
+    assert unknown.overall_alignment == 0.1 and unknown.switch_mode == "SPECIFIC" and unknown.weighted_score == round(unknown.score * 0.8, 2)
     pred = {(style, x.sample_id): x.pred for style in ("short", "detailed", "entailment") for x in zero_shot(model, r, style).collect()}
     assert pred["short", "v1"] and pred["detailed", "v1"] and not pred["entailment", "v1"] and not pred["short", "v3"]
 

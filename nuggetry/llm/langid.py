@@ -181,7 +181,8 @@ def predict(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.6)
     """``docs`` with lang_pred, score, lang_second and ambiguous (score below ``ambiguous_below``).
 
     Null text and text without a letter are ``und`` with score 0 and not ambiguous; so is all text without a model
-    (no learnable row). Columns named as the outputs are replaced.
+    (no learnable row). Columns named as the outputs are replaced; ids and repeats play no part; long texts are read whole,
+    block by block.
     """
     base = without(docs, "lang_pred", "score", "lang_second", "ambiguous", "_p")
     if model is None:

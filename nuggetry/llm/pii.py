@@ -286,6 +286,7 @@ def _sanitised(texts: pa.Array, found: pa.Array) -> pa.Array:
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with entities replaced by their kind, disclosing terms removed or replaced; columns as they are."""
+    """``docs`` with entities and secrets replaced by their kind, disclosing terms removed or replaced; columns as they
+    are. Null text stays null, ids play no part, repeated rows fare alike, an empty table gives an empty one."""
     out = find_personal_data(packed(docs, "text"), **how).withColumn("text", _sanitised("text", "found"))
     return out.select(*[(F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])

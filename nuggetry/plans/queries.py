@@ -1173,3 +1173,13 @@ def long_term_forms(spark, d):
 def conditional_means(spark, d):
     out = metrics.means(table(spark, d, "documents"), "source", "n_chars", F.col("lang") == "en", "doc_id", 5)
     return out.select("source", *[F.round(c, 6).alias(c) for c in ("mean", "mean_if", "mean_first")])
+
+
+@query("""WITH r AS (SELECT conv_id, text, (turn % 7)::DOUBLE AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 7 DESC, turn) AS rank FROM conversations WHERE role = 'user')
+  SELECT c.conv_id AS sample_id, (SELECT count(*) FROM r WHERE r.conv_id = c.conv_id) AS num_suggestions, (SELECT md5(text) FROM r WHERE r.conv_id = c.conv_id AND rank = 1) AS top_suggestion, (SELECT score FROM r WHERE r.conv_id = c.conv_id AND rank = 1) AS top_score FROM (SELECT DISTINCT conv_id FROM conversations) c""")
+def results_per_review(spark, d):
+    """Reviews that gave no suggestion reappear with 0 of them."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", "role", "text")
+    ranked = ranking.rank(c.where("role = 'user'").withColumn("score", (F.col("turn") % 7).cast("double")), tie="turn")
+    out = sinks.pipeline_results(c.select("sample_id").distinct(), ranked)
+    return out.select("sample_id", "num_suggestions", F.md5(F.col("top_suggestion").cast("binary")).alias("top_suggestion"), "top_score")

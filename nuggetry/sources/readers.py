@@ -1,7 +1,14 @@
-"""Readers: review and result tables from CSV with declared schemas."""
+"""Readers: review and result tables from CSV with declared schemas, and from spreadsheets."""
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +36,61 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("label", F.expr("try_cast(label AS int)")).dropna(subset=["text", "label"])
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _column(reference: str) -> int:
+    """Position, from 0, of the column of a cell reference such as AB12."""
+    n = 0
+    for c in re.match("[A-Z]+", reference)[0]:
+        n = 26 * n + ord(c) - 64
+    return n - 1
+
+
+def sheet_rows(content: bytes, sheet: int = 1) -> Iterator[tuple[int, list[str | None]]]:
+    """(row number, values as text) of a sheet of an Office Open XML workbook; cells that are left out are null."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            for _, e in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
+                if e.tag == _SHEET + "si":
+                    shared.append("".join(t.text or "" for t in e.iter(_SHEET + "t")))
+                    e.clear()
+        for _, e in ElementTree.iterparse(book.open(f"xl/worksheets/sheet{sheet}.xml")):
+            if e.tag != _SHEET + "row":
+                continue
+            values: list[str | None] = []
+            for i, c in enumerate(e.iter(_SHEET + "c")):
+                at = _column(c.get("r")) if c.get("r") else i
+                values += [None] * (at + 1 - len(values))
+                kind, v = c.get("t"), c.find(_SHEET + "v")
+                if kind == "inlineStr":
+                    values[at] = "".join(t.text or "" for t in c.iter(_SHEET + "t"))
+                elif v is not None and v.text is not None:
+                    values[at] = shared[int(v.text)] if kind == "s" else {"0": "False", "1": "True"}.get(v.text, v.text) if kind == "b" else v.text
+            yield int(e.get("r") or 0), values
+            e.clear()
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """The rows of a sheet of each workbook at ``path``, as text, named by the first row of the first workbook. A workbook
+    is read by one task, so large tables should come as other files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns):
+                rows = list(sheet_rows(content.as_py(), sheet))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.list_(pa.string()))], names=["path", "row", "values"])
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row int, values array<string>")
+    first = rows.orderBy("path", "row").first()
+    if first is None:
+        raise ValueError("the workbook has no rows")
+    head = rows.groupBy("path").agg(F.min("row").alias("_head"))
+    body = rows.join(F.broadcast(head), "path").where(F.col("row") > F.col("_head"))  # a row per workbook
+    return body.select(*[F.get("values", F.lit(i)).alias(name) for i, name in enumerate(first["values"]) if name])
+
+
 def require_columns(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
     """``df``, or an error that names the missing columns."""
     if missing := [c for c in required if c not in df.columns]:

@@ -274,3 +274,40 @@ def test_acoustic_texts(spark):
     assert got[0][0] == "Audio: angry tone, rapid pace, strong emphasis on late, so, now, 4 pauses (longest 2.3s), highly variable pitch (emotional), volume fluctuates significantly."
     assert got[1][0] == "Audio: neutral tone, normal pace."
     assert got[0][1] == "duration=3.0s, rate=190 wpm, pauses=4 (longest 2.3s), pitch_var=60.0, energy_var=0.060, emphasis=now/late/so/very"
+
+
+def workbook(rows):
+    """A minimal workbook of shared, inline, numeric and boolean cells."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    shared, body = [], []
+    for n, row in enumerate(rows, 1):
+        cells = ""
+        for i, v in enumerate(row):
+            at = f"{'ABC'[i]}{n}"
+            if isinstance(v, bool):
+                cells += f'<c r="{at}" t="b"><v>{int(v)}</v></c>'
+            elif isinstance(v, (int, float)):
+                cells += f'<c r="{at}"><v>{v}</v></c>'
+            elif v is not None and n % 2:
+                shared.append(v)
+                cells += f'<c r="{at}" t="s"><v>{len(shared) - 1}</v></c>'
+            elif v is not None:
+                cells += f'<c r="{at}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        body.append(f'<row r="{n}">{cells}</row>')
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/sharedStrings.xml", f"<sst {space}>" + "".join(f"<si><t>{escape(t)}</t></si>" for t in shared) + "</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{''.join(body)}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_spreadsheets(spark, tmp_path):
+    head = ["entry_id", "raw_text", "label"]
+    (tmp_path / "a.xlsx").write_bytes(workbook([head, ["1", "tea & <cake>", 1], ["2", None, True], ["3", "last", 0.5]]))
+    (tmp_path / "b.xlsx").write_bytes(workbook([head, ["4", "other file"]]))
+    got = sorted(tuple(r) for r in readers.read_sheet(spark, str(tmp_path)).collect())
+    assert got == [("1", "tea & <cake>", "1"), ("2", None, "True"), ("3", "last", "0.5"), ("4", "other file", None)]

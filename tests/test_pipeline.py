@@ -311,3 +311,15 @@ def test_spreadsheets(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(workbook([head, ["4", "other file"]]))
     got = sorted(tuple(r) for r in readers.read_sheet(spark, str(tmp_path)).collect())
     assert got == [("1", "tea & <cake>", "1"), ("2", None, "True"), ("3", "last", "0.5"), ("4", "other file", None)]
+
+
+def test_counts_are_damped(spark):
+    import math
+
+    df = spark.createDataFrame([(1, "tea tea tea cup", 1.0), (2, "cup saucer", 0.0), (3, "tea", 1.0)], "id int, text string, label double")
+    model = ml.logistic(df, 50)
+    vocabulary = model.stages[3].vocabulary
+    row = model.transform(df).where("id = 1").first()
+    counts = {"tea": 3, "cup": 1, "tea tea": 2, "tea cup": 1}
+    got = {vocabulary[i]: x for i, x in zip(row["_damped"].indices, row["_damped"].values)}
+    assert got.keys() == counts.keys() and all(abs(got[t] - 1 - math.log(n)) < 1e-12 for t, n in counts.items())

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_bool, without_sentinel
+from .work import small
 
 REVIEWS = "entry_id string, domain string, raw_text string, has_image string, image_description string, has_audio string, audio_description string, modality_combo string, is_suggestion string, extraction_path string, suggestion_text string, suggestion_type string"
 REQUIRED = ["entry_id", "domain", "raw_text", "has_image", "image_description", "has_audio", "audio_description", "modality_combo", "is_suggestion", "extraction_path"]
@@ -87,7 +88,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
     if first is None:
         raise ValueError("the workbook has no rows")
     head = rows.groupBy("path").agg(F.min("row").alias("_head"))
-    body = rows.join(F.broadcast(head), "path").where(F.col("row") > F.col("_head"))  # a row per workbook
+    body = rows.join(small(head), "path").where(F.col("row") > F.col("_head"))
     return body.select(*[F.get("values", F.lit(i)).alias(name) for i, name in enumerate(first["values"]) if name])
 
 

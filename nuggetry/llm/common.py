@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import discard, settle, small, spread  # noqa: F401
+from ..sources.work import discard, positions, settle, small, spread  # noqa: F401
 
 #: Words of the contracts that split on ASCII whitespace.
 WHITE_WORD = r"[^\x20\x09-\x0D]+"

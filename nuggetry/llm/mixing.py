@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, packed, small, white_words, without
+from .common import cut, discard, packed, positions, small, white_words, without
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -34,7 +34,7 @@ def allocate(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX_E
     Ranks are by code point of the name, null last. The table has a row per source, and each round of the
     water-filling is one single-row aggregate over it; rounds end when no further source is clamped.
     """
-    ranked = sources.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    ranked = positions(sources, F.col("source").asc_nulls_last(), name="_rank")
     ranked = cut(
         ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") - 1) % len(weights) + 1))
         .withColumn("_cap", F.col("source_size") * F.lit(max_epochs))

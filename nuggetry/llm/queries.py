@@ -84,9 +84,9 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE
 
 OP4_SQL = r"""
 WITH p AS (
-  SELECT greatest(2, ceil(ln(greatest(1.0::DOUBLE, count(*) OVER () / 1000.0::DOUBLE)) / ln(16.0::DOUBLE)))::INT AS digits, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(page_id::VARCHAR, '')) AS h, chr(13) || chr(10) AS nl FROM pages),
+  SELECT greatest(2, ceil(ln(greatest(1.0::DOUBLE, count(*) OVER () / 1000.0::DOUBLE)) / ln(16.0::DOUBLE)))::INT AS digits, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(page_id::VARCHAR, url, '')) AS h, chr(13) || chr(10) AS nl FROM pages),
 r AS (
-  SELECT *, 'part-' || substr(h, 1, digits) AS file, ('0x' || substr(h, 1, 8))::BIGINT AS mark, left(html, greatest(0, length(html) - 1)::BIGINT) || chr(1) AS rotten,
+  SELECT *, 'part-' || substr(h, 1, digits) AS file, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT AS mark, left(html, greatest(0, length(html) - 1)::BIGINT) || chr(1) AS rotten,
          'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' AS head
   FROM p),
 w AS (

@@ -46,13 +46,13 @@ def records(pages: DataFrame, digits: int | None = None, **others: F.Column) ->
     name the digests of ``others``, such as a replica's record of the same page.
 
     Files are buckets of the MD5 of the id, records lie in them by id, and rows that agree in id by hash, so
-    that equal rows are interchangeable; rows without an id are one file. Payloads are hashed where they are read and
+    that equal rows are interchangeable; rows without an id go by their url. Payloads are hashed where they are read and
     not shuffled; null html and url are empty; further columns are left alone.
     """
     digits = digits or file_hex(pages.count())
     record = record_bytes(F.col("url"), F.col("html")).cast("binary")
     slim = pages.select(
-        F.concat(F.lit("part-"), F.substring(_id_md5(), 1, digits)).alias("file"),
+        F.concat(F.lit("part-"), F.substring(_id_md5(F.col("url")), 1, digits)).alias("file"),
         F.octet_length(record).cast("long").alias("length"),
         "page_id",
         F.sha2(record, 256).alias("digest"),
@@ -62,8 +62,9 @@ def records(pages: DataFrame, digits: int | None = None, **others: F.Column) ->
     return slim.select("file", (F.sum("length").over(upto) - F.col("length")).alias("offset"), "length", "page_id", "digest", *others)
 
 
-def _id_md5() -> F.Column:
-    return F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+def _id_md5(*otherwise: F.Column) -> F.Column:
+    """MD5 of the id, of what stands for a null one, or of nothing."""
+    return F.md5(F.coalesce(F.col("page_id").cast("string"), *otherwise, F.lit("")).cast("binary"))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

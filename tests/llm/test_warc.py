@@ -91,3 +91,9 @@ def test_repeated_offsets_do_not_multiply(spark):
     recs = spark.createDataFrame([("f", 0, 5, i, "d") for i in range(6)] + [("f", 9, 5, 7, "e")], "file string, offset long, length long, page_id long, digest string")
     assert warc.audit(recs, recs).count() == 0
     assert [r["fault"] for r in rows(warc.audit(recs, recs.where("page_id <> 3")))] == ["missing"]
+
+
+def test_rows_without_an_id_are_dealt_by_url(spark):
+    pages = spark.range(400).select(F.when(F.col("id") < 50, F.col("id")).alias("page_id"), F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"), F.lit("x").alias("html"))
+    files = rows(warc.records(pages, 2).where("page_id IS NULL").groupBy("file").count())
+    assert len(files) > 100 and sum(r["count"] for r in files) == 350

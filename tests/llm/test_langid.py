@@ -58,3 +58,29 @@ def test_every_language_is_learned(spark):
     assert model.langs == names
     got = rows(langid.predict(df, model))
     assert sum(r["lang_pred"] == r["lang"] for r in got) == len(got)
+
+
+def test_decoding_against_the_definition():
+    rng = np.random.default_rng(6)
+    code = langid.code_matrix(5)
+    trust = rng.uniform(0.1, 1, code.shape)
+    model = langid.Model(list("abcde"), code, trust / trust.sum(1, keepdims=True), np.zeros((1, 1)), np.zeros(code.shape[1]))
+    margins = rng.normal(0, 2, (40, code.shape[1]))
+    best, second, p = model.decode(margins)
+    for row, a, b, q in zip(margins, best, second, p):
+        loss = [sum(model.trust[k, j] * np.log1p(np.exp(-code[k, j] * m)) for j, m in enumerate(row)) * len(row) for k in range(5)]
+        order = sorted(range(5), key=loss.__getitem__)
+        assert (a, b) == (order[0], order[1]) and np.isclose(q, np.exp(-loss[a]) / sum(np.exp(-x) for x in loss))
+
+
+def test_margins_against_plain_counts(spark):
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    for text in ("the thing of the", "Straße über 12 Brücken", "a", "é"):
+        data = b" " + b" ".join(text.encode().translate(langid.WORD_TABLE).split()) + b" "
+        data += b"\0\0"
+        counts, n = np.zeros(langid.BUCKETS), len(data) - 2
+        for i in range(n):
+            pair = data[i] | data[i + 1] << 8
+            counts[(pair * 2_654_435_761 % 2**32) >> 20] += 1
+            counts[(((pair | data[i + 2] << 16) * 2_246_822_519 % 2**32) >> 20) + langid.BUCKETS // 2] += 1
+        assert np.allclose(model.margins([text.encode()])[0], counts / n @ model.weights + model.bias, atol=1e-4)

@@ -36,7 +36,7 @@ def allocate(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX_E
     """
     ranked = positions(sources, F.col("source").asc_nulls_last(), name="_rank")
     ranked = cut(
-        ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") - 1) % len(weights) + 1))
+        ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int")))
         .withColumn("_cap", F.col("source_size") * F.lit(max_epochs))
         .drop("_rank")
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, lmscore, mixing, pii, quality, sharding, simhash, warc
+from . import ann, credentials, decontam, langid, lmscore, manifest, mixing, pii, quality, sharding, simhash, spelling, warc
 from .common import table
 
 
@@ -51,8 +51,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secrets_table(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_table(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_mixing, op3_quality, op4_warc, op5_decontamination, op6_simhash, op7_pii, op8_ann, op9_lmscore, op10_sharding)
+    f.__name__: f
+    for f in (op1_langid, op2_mixing, op3_quality, op4_warc, op5_decontamination, op6_simhash, op7_pii, op8_ann, op9_lmscore, op10_sharding, op11_credentials, op12_spelling, op13_manifest)
 }
 
 OP2_SQL = r"""

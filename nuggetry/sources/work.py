@@ -66,10 +66,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 def positions(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """``df`` with its position, from 1, in a total order. Rows are sorted in ranges; a range's rows are numbered where
-    they are, and the rows of the ranges before it are added."""
+    they are, and the rows of the ranges before it are added. The sorted table goes with ``discard``."""
     n = F.monotonically_increasing_id()
     rows = settle(df.orderBy(*order).select("*", F.shiftright(n, 33).alias("_range"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")), "sorted")
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("_range", before.alias("_before")))  # a row per task of the sort
-    return rows.join(starts, "_range").withColumn(name, (F.col("_before") + F.col("_nth") + 1).cast("int")).drop("_range", "_nth", "_before")
+    out = rows.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_range", "_nth", "_before")
+    out._nuggetry_path = rows._nuggetry_path
+    return out

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import SCORER_WEIGHTS
 from ..functions.text import canonical_key, overlap_max, segment_weight, token_set
+from ..sources.work import settle, small
+from .components import components
+from .similarity import distinct_sets, links_within, set_key, set_tokens
 
 CONSERVATIVE, LIBERAL, KEEP = 0.80, 0.50, 0.50
+#: Similarity of texts that mean the same.
+SAME = 0.6
 VIEWS = 8
 MAX_SCORE = sum(SCORER_WEIGHTS.values())
 #: Weights of text, semantic view, image and domain in each switch mode.
@@ -63,6 +68,37 @@ def canonicalise(accepted: DataFrame) -> DataFrame:
     )
 
 
+def canonical_groups(accepted: DataFrame, threshold: float = SAME) -> DataFrame:
+    """The same by meaning: texts of a sample that are similar (Jaccard of tokens, ``threshold`` or more) become one, and so do
+    chains of them. The canonical text is the medoid, the form with the largest sum of similarities to the forms it is
+    linked with, the first by text of equals; ``n_merged`` counts the forms that canonicalise() keeps apart.
+
+    Links are found by a similarity join in which samples share no token; equal token sets are one node. What meets in one task
+    are the forms of one group.
+    """
+    exact = canonicalise(accepted).withColumn("_t", set_tokens("canonical_text", "sample_id"))
+    exact = settle(exact.withColumn("_key", set_key(F.col("_t"))), "canonical")
+    sets = settle(distinct_sets(exact.where("_key IS NOT NULL").select(F.col("_key").alias("key"), F.col("_t").alias("t"))), "distinct")
+    links = settle(links_within(sets, threshold, strict=False), "links")
+    found = components(links.select(F.col("left_key").alias("node"), F.col("right_key").alias("root")))
+    texts = exact.where("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    both = links.select(F.col("left_key").alias("_of"), F.col("right_key").alias("_key"), "similarity").unionByName(links.select(F.col("right_key").alias("_of"), F.col("left_key").alias("_key"), "similarity"))
+    sums = both.join(texts, "_key").groupBy("_of").agg(F.sum(F.col("similarity") * F.col("_n")).alias("_sum"))
+    sums = texts.join(sums, texts["_key"] == F.col("_of"), "left").select("_key", F.round(F.coalesce("_sum", F.lit(0.0)) + F.col("_n") - 1, 9).alias("_weight"))  # texts of one set resemble each other by 1
+    member = exact.join(small(found), F.col("_key") == F.col("node"), "left").join(sums, "_key", "left")
+    group = F.coalesce("root", "_key", F.encode("canonical_text", "UTF-8")).alias("_group")
+    flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
+    out = member.groupBy("sample_id", group).agg(
+        F.min(F.struct((-F.coalesce("_weight", F.lit(0.0))).alias("less"), "canonical_text"))["canonical_text"].alias("canonical_text"),
+        F.sum("frequency").alias("frequency"),
+        F.max("confidence").alias("confidence"),
+        flat("original_forms").alias("original_forms"),
+        flat("supporting_modalities").alias("supporting_modalities"),
+        F.count(F.lit(1)).alias("n_merged"),
+    )
+    return out.drop("_group")
+
+
 def reattach(canonical: DataFrame, accepted: DataFrame, fields: list[str]) -> DataFrame:
     """Fields of the accepted suggestion that each canonical one comes from: an exact or original form first, else
     the largest token overlap, the first of equals; nothing where no token is shared. ``accepted`` has ``pos``."""

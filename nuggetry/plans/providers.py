@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, SimpleQueue
+from threading import Thread
 from typing import Protocol
 
 import pandas as pd
@@ -167,20 +168,30 @@ class ModelProvider:
         client, retries, pause, timeout, most = self.vision if image else self.client, self.retries, self.pause, self.timeout, self.max_chars
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            call, pool = client(), ThreadPoolExecutor(retries)
+            call = client()
+
+            def answer(said: SimpleQueue, *args: str | None) -> None:
+                try:
+                    said.put((True, call(*args)))
+                except Exception:
+                    said.put((False, None))
 
             def once(*args: str | None) -> str | None:
                 for i in range(retries):
+                    said: SimpleQueue = SimpleQueue()
+                    Thread(target=answer, args=(said, *args), daemon=True).start()  # its own thread: a call that hangs keeps no other waiting
                     try:
-                        return pool.submit(call, *args).result(timeout)
-                    except Exception:
-                        time.sleep(pause * 2**i)
+                        done, reply = said.get(timeout=timeout)
+                    except Empty:
+                        done = False
+                    if done:
+                        return reply
+                    time.sleep(pause * 2**i)
                 return None
 
             for pdf in frames:
                 pictures = pdf[image] if image else [None] * len(pdf)
                 yield pdf.assign(reply=[None if p is None else once(p[:most], x) if image else once(p[:most]) for p, x in zip(pdf[prompt], pictures)])
-            pool.shutdown(wait=False)
 
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
         return prompts.mapInPandas(run, f"{kept}, reply string").withColumn("reply_json", json_object("reply"))

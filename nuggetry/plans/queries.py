@@ -476,6 +476,25 @@ def canonical_forms(spark, d):
     return ranking.canonicalise(s).select("sample_id", F.md5(F.col("canonical_text").cast("binary")).alias("canonical"), "frequency", F.size("original_forms").alias("n_forms"))
 
 
+def s_meet(a: str, b: str) -> str:
+    """Jaccard of two token lists as a fraction of doubles."""
+    return f"len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::DOUBLE"
+
+
+_MEANING = f"""c AS (SELECT conv_id AS sample_id, trim(lower(text)) AS k, count(*) AS frequency, count(DISTINCT text) AS n_forms, max((turn % 7) / 10.0)::DOUBLE AS confidence, list_distinct(list(role)) AS mods FROM conversations GROUP BY ALL),
+  n AS (SELECT *, row_number() OVER (ORDER BY sample_id, k) AS i, {s_set('k')} AS t FROM c), w AS (SELECT sample_id, i, len(t) AS n, unnest(t) AS w FROM n),
+  e AS (SELECT a.i AS i, b.i AS j, count(*)::DOUBLE / (max(a.n) + max(b.n) - count(*))::DOUBLE AS s FROM w a JOIN w b ON a.sample_id = b.sample_id AND a.w = b.w AND a.i <> b.i GROUP BY a.i, b.i HAVING count(*)::DOUBLE / (max(a.n) + max(b.n) - count(*))::DOUBLE >= 0.6),
+  r AS (SELECT i, i AS root FROM n UNION SELECT e.j, r.root FROM r JOIN e USING (i)), g AS (SELECT i, min(root) AS root FROM r GROUP BY i), v AS (SELECT n.i, round(coalesce(sum(s), 0), 9) AS v FROM n LEFT JOIN e USING (i) GROUP BY n.i)"""
+
+
+@query(f"""WITH RECURSIVE {_MEANING} SELECT sample_id, md5(first(k ORDER BY v DESC, k)) AS canonical, sum(frequency)::BIGINT AS frequency, sum(n_forms)::INT AS n_forms, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(flatten(list(mods)))), ',') AS modalities, count(*) AS n_merged
+  FROM n JOIN g USING (i) JOIN v USING (i) GROUP BY sample_id, root""")
+def canonical_groups(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "text", ((F.col("turn") % 7) / 10.0).alias("confidence"), F.array("role").alias("supporting_modalities"))
+    out = ranking.canonical_groups(c)
+    return out.select("sample_id", F.md5(F.col("canonical_text").cast("binary")).alias("canonical"), "frequency", F.size("original_forms").alias("n_forms"), "confidence", F.array_join("supporting_modalities", ",").alias("modalities"), "n_merged")
+
+
 # Memory
 
 
@@ -540,7 +559,16 @@ def cross_domain_patterns(spark, d):
     return memory.patterns(r).select(F.md5(F.col("pattern").cast("binary")).alias("pattern"), "count", "accepted_count", "domain_count", "acceptance_rate", "cross_domain_boost")
 
 
-@query()
+_SHARED = f"""a AS (SELECT doc_id AS id, {s_set('text')} AS t FROM documents), {s_pairs('a', 'a', 0.4)}"""
+
+
+@query(f"""WITH {_SHARED}, r AS (SELECT left_id, round(avg((right_id % 3 = 0)::INT), 3) AS r FROM pairs WHERE similarity > 0.55 GROUP BY left_id), h AS (SELECT left_id, max(similarity) AS h FROM pairs GROUP BY left_id),
+  c AS (SELECT left_id, arg_min(right_id, (-similarity, right_id)) AS edit FROM pairs WHERE similarity > 0.75 GROUP BY left_id), p AS (SELECT trim(lower(text)) AS k, count(DISTINCT source) AS n FROM documents GROUP BY 1),
+  n AS (SELECT source, (doc_id % 10) AS a, count(*) AS n FROM documents GROUP BY ALL), e AS (SELECT x.source, x.a, sum(y.n) AS n FROM n x JOIN n y ON x.source = y.source AND abs(x.a - y.a) <= 1 GROUP BY ALL)
+  SELECT d.doc_id AS id, d.text, 0.6::DOUBLE AS confidence, (d.doc_id % 10) / 10.0::DOUBLE AS alignment_score, 'text' AS dominant_modality, d.source AS domain, coalesce(r, 0.5) AS past_approval_rate, coalesce(h > 0.75, false) AS semantic_memory_hit, coalesce(replace(upper(o.text), 'ẞ', 'SS'), d.text) AS corrected_text,
+  coalesce(replace(upper(o.text), 'ẞ', 'SS'), d.text) <> d.text AS is_human_corrected, p.n >= 2 AS cross_domain, least(0.1::DOUBLE, (p.n - 1) * 0.03::DOUBLE) AS cross_domain_boost, CASE WHEN e.n >= 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS modal_expected_acceptance,
+  least(0.99::DOUBLE, least(0.99::DOUBLE, round(0.6::DOUBLE + 0.2::DOUBLE * (coalesce(r, 0.5) - 0.5::DOUBLE), 3)) + least(0.1::DOUBLE, (p.n - 1) * 0.03::DOUBLE)) AS boosted_confidence
+  FROM documents d LEFT JOIN r ON r.left_id = d.doc_id LEFT JOIN h ON h.left_id = d.doc_id LEFT JOIN c ON c.left_id = d.doc_id LEFT JOIN documents o ON o.doc_id = c.edit JOIN p ON p.k = trim(lower(d.text)) JOIN e ON e.source = d.source AND e.a = d.doc_id % 10""")
 def memory_lookup(spark, d):
     docs = table(spark, d, "documents")
     s = docs.select(F.col("doc_id").alias("id"), "text", F.lit(0.6).alias("confidence"), ((F.col("doc_id") % 10) / 10.0).alias("alignment_score"), F.lit("text").alias("dominant_modality"), F.col("source").alias("domain"))
@@ -551,7 +579,40 @@ def memory_lookup(spark, d):
     return memory.lookup(s, log, docs.select("text"), edits, align, known).drop("similar_forms")
 
 
-@query()
+@query(f"""WITH a AS (SELECT doc_id AS id, {s_set('text')} AS t FROM documents), {s_pairs('a', 'a', 0.55)}, r AS (SELECT left_id, round(avg((right_id % 3 = 0)::INT), 3) AS r FROM pairs WHERE right_id BETWEEN left_id - 360 AND left_id - 1 GROUP BY left_id)
+  SELECT doc_id, coalesce(r, 0.5) AS past_approval_rate FROM documents LEFT JOIN r ON left_id = doc_id""")
+def approval_as_of(spark, d):
+    """Documents come every six hours; each meets the decisions on those of the 90 days before it."""
+    docs = table(spark, d, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 21600))
+    log = docs.select(F.col("doc_id").alias("decision_id"), "text", F.when(F.col("doc_id") % 3 == 0, "accept").otherwise("reject").alias("decision"), "ts")
+    return memory.approval_as_of(docs.select(F.col("doc_id").alias("id"), "text", "ts"), log).select(F.col("id").alias("doc_id"), "past_approval_rate")
+
+
+@query(f"""WITH a AS (SELECT item_id AS id, {s_set('text')} AS t FROM benchmark), f AS (SELECT DISTINCT text, 0.4 AS least FROM conversations UNION SELECT DISTINCT text, 0.0 FROM documents), b AS (SELECT text AS id, {s_set('text')} AS t FROM (SELECT DISTINCT text FROM f)), {s_pairs('a', 'b', 0.0)},
+  n AS (SELECT DISTINCT left_id, right_id, similarity FROM pairs JOIN f ON right_id = f.text WHERE similarity > least)
+  SELECT left_id AS id, md5(right_id) AS form, similarity, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS pos FROM n) WHERE pos <= 3""")
+def forms_of_both_stores(spark, d):
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    out = memory.forms_of_both_stores(a, table(spark, d, "conversations").select("text"), table(spark, d, "documents").select("text"))
+    return out.select("id", F.md5(F.col("canonical_text").cast("binary")).alias("form"), "similarity", "pos")
+
+
+def s_greedy(rows: str) -> str:
+    """Greedy clustering row by row: the clusters of a domain are a list that each step of the recursion copies on. ``m`` has
+    what each row came to; ``rows`` gives domain, seq, text and confidence."""
+    return f"""a AS ({rows}), b AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS n, {s_set('text')} AS t FROM a), u AS (SELECT domain, n, len(t) AS m, unnest(t) AS w FROM b),
+  p AS (SELECT x.domain, x.n, y.n AS j, count(*)::DOUBLE / (max(x.m) + max(y.m) - count(*))::DOUBLE AS s FROM u x JOIN u y ON x.domain = y.domain AND x.w = y.w AND y.n < x.n GROUP BY ALL HAVING count(*)::DOUBLE / (max(x.m) + max(y.m) - count(*))::DOUBLE >= 0.72),
+  q AS (SELECT domain, n, list(struct_pack(j := j, s := s)) AS nb FROM p GROUP BY ALL), o AS (SELECT b.domain, b.n, seq, text, confidence, coalesce(nb, []) AS nb FROM b LEFT JOIN q USING (domain, n)),
+  r AS (SELECT DISTINCT domain, 0::BIGINT AS n, []::STRUCT(j BIGINT, c DOUBLE, size BIGINT, seq BIGINT)[] AS cl, NULL::BIGINT AS spot FROM b UNION ALL
+    SELECT domain, n, CASE WHEN best IS NULL THEN list_append(cl, struct_pack(j := n, c := confidence, size := 1::BIGINT, seq := seq)) ELSE list_transform(cl, lambda x, i: CASE WHEN i = best.i THEN struct_pack(j := CASE WHEN confidence > x.c THEN n ELSE x.j END, c := greatest(confidence, x.c), size := x.size + 1, seq := x.seq) ELSE x END) END, coalesce(best.i, len(cl) + 1)
+    FROM (SELECT o.domain, o.n, o.seq, o.confidence, cl, list_sort(list_filter(list_transform(cl, lambda x, i: struct_pack(s := -(list_filter(nb, lambda y: y.j = x.j)[1]).s, i := i)), lambda z: z.s IS NOT NULL))[1] AS best FROM r JOIN o ON r.domain = o.domain AND o.n = r.n + 1)),
+  m AS (SELECT r.domain, o.seq, 'cluster_' || r.domain || '_' || cl[spot].seq AS cluster_id, cl[spot].size AS cluster_size FROM r JOIN o ON r.domain = o.domain AND r.n = o.n)"""
+
+
+_TURN_ROWS = "SELECT role AS domain, conv_id * 1000 + turn AS seq, text, 0.5::DOUBLE AS confidence FROM conversations"
+
+
+@query(f"WITH RECURSIVE {s_greedy('SELECT lang AS domain, doc_id AS seq, text, (doc_id % 10) / 10.0::DOUBLE AS confidence FROM documents')} SELECT domain, seq, cluster_id, cluster_size FROM m")
 def greedy_clusters(spark, d):
     s = table(spark, d, "documents").select(F.col("lang").alias("domain"), F.col("doc_id").alias("seq"), "text", F.col("doc_id").alias("sample_id"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
     return clusters.assign_clusters(s).select("domain", "seq", "cluster_id", "cluster_size")
@@ -899,7 +960,7 @@ def stream_patterns(spark, d):
     return spark.read.parquet(out).select(F.md5(F.col("pattern").cast("binary")).alias("pattern"), "count", "accepted_count", F.size("domains").alias("domain_count"))
 
 
-@query()
+@query(f"WITH RECURSIVE {s_greedy(_TURN_ROWS)} SELECT domain, seq, cluster_id, cluster_size FROM m")
 def stream_clusters(spark, d):
     s = table(spark, d, "conversations").select(F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.col("conv_id").cast("string").alias("sample_id"), F.lit(0.5).alias("confidence"))
     return _replay(spark, s, streaming.stream_clusters).select("domain", "seq", "cluster_id", "cluster_size")
@@ -1061,7 +1122,8 @@ def full_evaluation(spark, d):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {s_greedy(_TURN_ROWS)}, z AS (SELECT cluster_id, count(*) AS size FROM m GROUP BY cluster_id)
+  SELECT count(*) AS total_clusters, sum(size)::BIGINT AS total_assignments, round(avg(size), 2) AS avg_cluster_size, max(size) AS max_cluster_size, count(*) FILTER (WHERE size = 1) AS singletons FROM z""")
 def cluster_overview(spark, d):
     s = table(spark, d, "conversations").select(F.col("role").alias("domain"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.col("conv_id").alias("sample_id"), F.lit(0.5).alias("confidence"))
     return clusters.cluster_stats(clusters.clusters(clusters.assign_clusters(s)))

@@ -185,6 +185,17 @@ def test_slow_calls_end(spark):
     assert model.ask(spark.createDataFrame([("a",)], "prompt string")).first().reply is None
 
 
+def test_a_call_that_hangs_loses_no_other(spark):
+    import time as t
+
+    def client():
+        return lambda p: t.sleep(30) if "hang" in p else "ok"
+
+    model = ModelProvider(client, retries=2, pause=0.0, timeout=0.3)
+    asked = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "hang", "b", "hang", "hang", "c", "d"])], "i int, prompt string").coalesce(1)
+    assert [r.reply for r in model.ask(asked).orderBy("i").collect()] == ["ok", None, "ok", None, None, "ok", "ok"]
+
+
 def test_memories_reach_the_ranking(spark):
     r = fixtures.reviews(spark)
     plain = {(x.sample_id, x.canonical_text): x for x in pipeline.run(r, pipeline.ablation("no_memory")).collect()}

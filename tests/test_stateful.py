@@ -2,9 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from nuggetry.operators import clusters, matching, memory, similarity
+from nuggetry.operators import clusters, matching, memory, ranking, similarity
 from nuggetry.plans import queries
-from nuggetry.sources.work import fresh
+from nuggetry.sources.work import fresh, settle
 from nuggetry.streaming import memory as streaming
 
 
@@ -76,6 +76,91 @@ def test_similarity_join_is_complete(spark):
         assert got == want
 
 
+def test_similar_sets_within_blocks(spark):
+    """Texts of different blocks share no token, and equal sets are one node."""
+    rnd = random.Random(4)
+    rows = [(i, f"b{rnd.randint(0, 3)}", " ".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(0, 12)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "seq long, domain string, text string")
+    for threshold in (0.5,):
+        got = {}
+        for r in clusters.similar_parts(settle(df), threshold).collect():
+            got.setdefault(r.part and bytes(r.part), set()).add(r.seq)
+        sets, parent = {i: set(t.split()) for i, _, t in rows}, {i: i for i, _, _ in rows}
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, a, _ in rows:
+            for j, b, _ in rows:
+                if i < j and a == b and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold:
+                    parent[find(i)] = find(j)
+        want = {}
+        for i in sets:
+            want.setdefault(find(i) if sets[i] else None, set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_clusters_by_component_equal_the_sequence(spark):
+    """Chains of texts, of which only neighbours are similar, and centroids that move along them."""
+    words = [f"w{i}" for i in range(60)]
+    rnd = random.Random(8)
+    rows = [("d", i, " ".join(words[a : a + 9]), f"s{i}", rnd.random()) for i, a in enumerate(rnd.randint(0, 50) for _ in range(200))]
+    df = spark.createDataFrame(rows, "domain string, seq long, text string, sample_id string, confidence double")
+    loop = clusters.Clusters("d")
+    want = {(i, *loop.assign(i, t, c)) for _, i, t, _, c in rows}
+    assert {(r.seq, r.cluster_id, r.cluster_size) for r in clusters.assign_clusters(df.repartition(3)).collect()} == want
+
+
+def test_approval_as_of_against_a_loop(spark):
+    rnd = random.Random(9)
+    texts = ["dark mode please now", "dark mode please now thanks", "add undo", "add undo key", "", "other words here"]
+    day = 86400
+    log = [(i, rnd.choice(texts), rnd.choice(["accept", "reject"]), rnd.randint(0, 400) * day // 2) for i in range(300)] + [(300, texts[0], "accept", None)]
+    asked = [(i, rnd.choice(texts), rnd.randint(0, 450) * day // 2) for i in range(120)] + [(120, texts[0], None)]
+    d = spark.createDataFrame(log, "decision_id long, text string, decision string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    s = spark.createDataFrame(asked, "id long, text string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: r.past_approval_rate for r in memory.approval_as_of(s, d, days=30).collect()}
+    for i, t, at in asked:
+        a = set(t.split())
+        near = [x for _, u, x, s_ in log if a and s_ is not None and at is not None and at - 30 * day <= s_ < at and len(a & set(u.split())) / len(a | set(u.split())) > 0.55]
+        assert abs(got[i] - (near.count("accept") / len(near) if near else 0.5)) <= 0.0005 + 1e-9
+
+
+def test_forms_by_descent_equal_all_forms(spark):
+    rnd = random.Random(11)
+    text = lambda: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 8)))
+    asked, known = [(i, text()) for i in range(40)], [(text(),) for _ in range(80)]
+    short = known[:20] + [("a b c",)]
+    a, k, sh = spark.createDataFrame(asked, "id long, text string"), spark.createDataFrame(known, "text string"), spark.createDataFrame(short, "text string")
+    sim = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+
+    def want(pool):
+        return {(i, t, round(s, 12), n) for i, x in asked for n, (s, t) in enumerate(sorted({(-sim(x, t), t) for t in pool if sim(x, t) > 0})[:3], 1) for s in [-s]}
+
+    got = lambda df: {(r.id, r.canonical_text, round(r.similarity, 12), r.pos) for r in df.collect()}
+    assert got(memory.long_term_forms(a, k)) == want({t for t, in known})
+    both = {(i, t) for i, x in asked for t, in short if sim(x, t) > 0.4}
+    mixed = {(i, t, round(s, 12), n) for i, x in asked for n, (s, t) in enumerate(sorted({(-sim(x, t), t) for t in {t for t, in known} | {t for j, t in both if j == i} if sim(x, t) > 0})[:3], 1) for s in [-s]}
+    assert got(memory.forms_of_both_stores(a, sh, k)) == mixed
+
+
+def test_the_first_similar_pattern_decides(spark):
+    known = spark.createDataFrame([("please add dark mode now", 1, 0.0, 1), ("please add dark mode soon", 3, 0.06, 2)], "pattern string, domain_count int, cross_domain_boost double, seq int")
+    asked = spark.createDataFrame([(1, "please add dark mode"), (2, "please add dark mode soon")], "id long, text string")
+    assert {r.id: (r.cross_domain, r.cross_domain_boost) for r in memory.cross_domain(asked, known).collect()} == {1: (False, 0.0), 2: (True, 0.06)}
+    assert {r.id: r.cross_domain for r in memory.cross_domain(asked, known.withColumn("seq", -F.col("seq"))).collect()} == {1: True, 2: True}
+
+
+def test_canonical_groups_merge_chains(spark):
+    rows = [("s", "add a dark mode now"), ("s", "add a dark mode now please"), ("s", "Add a dark mode now please thanks"), ("s", "fix it"), ("t", "add a dark mode now"), ("t", ""), ("t", None), ("s", "now add a dark mode")]
+    df = spark.createDataFrame([(a, t, 0.5, ["text"]) for a, t in rows], "sample_id string, text string, confidence double, supporting_modalities array<string>")
+    got = {(r.sample_id, r.canonical_text): (r.frequency, r.n_merged) for r in ranking.canonical_groups(df, 0.7).collect()}
+    assert got[("s", "add a dark mode now")] == (4, 4) and got[("s", "fix it")] == (1, 1) and got[("t", "add a dark mode now")] == (1, 1)
+    assert sum(f for f, _ in got.values()) == 8
+
+
 def test_greedy_match_against_a_loop(spark):
     rnd = random.Random(5)
     preds = [(g, i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 4)))) for g in range(20) for i in range(6)]

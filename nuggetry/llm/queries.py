@@ -70,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-17:' || coalesce(doc_id::VARCHAR, '')) AS key
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (
   SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w
@@ -90,7 +90,7 @@ e AS (
   FROM a),
 r AS (
   SELECT doc_id, coalesce(size, 0) AS size, source_size, target, whole, rest,
-         sum(coalesce(size, 0)) OVER (PARTITION BY d.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(coalesce(size, 0)) OVER (PARTITION BY d.source, key) / 2.0 AS mid
+         sum(coalesce(size, 0)) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) - coalesce(size, 0) / 2.0 AS mid
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN mid <= rest AND source_size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """

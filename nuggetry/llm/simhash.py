@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ..operators.components import components
 from .common import LOWER_TABLE, cut, discard, slices, small, utf8, without
 
 BITS = 4
@@ -207,41 +208,6 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
 
-def components(stars: DataFrame) -> DataFrame:
-    """``stars(node, root)`` to ``(node, root)`` with root the smallest node of the component; roots are left out.
-
-    Alternating large-star and small-star rounds; each leaves one edge per node and round trip, smallest
-    neighbours are found with map-side partial minima, and every round is cut; so are the minima, which leaves the join
-    with the neighbours of a large root to be broadcast or split.
-    """
-    spent: list[DataFrame] = []
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))) if large else edges
-        low = both.groupBy("node").agg(F.min("root").alias("low")).select(F.col("node").alias("_n"), F.least("node", "low").alias("low"))
-        spent.append(cut(low))
-        near = both.join(small(spent[-1]), F.col("node") == F.col("_n"))
-        if large:
-            near = near.where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("low").alias("root"))
-        else:
-            near = near.select(F.explode(F.array("node", F.when(F.col("root") != F.col("low"), F.col("root")))).alias("node"), F.col("low").alias("root"))
-        return near.where("node IS NOT NULL AND node <> root").distinct()
-
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root")), F.sum((F.xxhash64("node", "root") % 1_000_003).cast("long"))).first())
-
-    ordered = stars.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
-    edges, was = cut(ordered), None
-    while (now := state(edges)) != was:
-        was, old = now, edges
-        spent.append(cut(star(edges, True)))
-        edges = cut(star(spent[-1], False))
-        for done in (old, *spent):
-            discard(done)
-        spent.clear()
-    return edges
-
-
 def near_components(ids: DataFrame) -> DataFrame:
     """``ids(doc_id, fp)`` to ``(fp, component_id)``, a row per distinct fingerprint."""
     nodes = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
@@ -443,8 +409,8 @@ def _shingles(words: int):
 
 
 def similar_components(docs: DataFrame, ids: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``ids(row, lo, hi)``, the fingerprints of ``docs(row, text)``, to ``(node, root)``: by xxhash64 of a
-    fingerprint's halves, that of its component. Nodes without a link are left out.
+    """``ids(row, lo, hi)``, the fingerprints of ``docs(row, text)``, to ``(node, root)``: by a fingerprint, as its two
+    halves, that of its component. Nodes without a link are left out.
 
     Texts of one fingerprint are one node, which its least row stands for. Pairs of nodes that keys bring together and
     that differ in reach(similarity) bits at most are candidates; those whose shingles are as similar as asked link.
@@ -452,9 +418,9 @@ def similar_components(docs: DataFrame, ids: DataFrame, words: int = WIDE_WORDS,
     nodes = cut(ids.groupBy("lo", "hi").agg(F.min("row").alias("row")))
     keys = nodes.select("lo", "hi").mapInArrow(_emit_wide, "key int, lo long, hi long")
     near = keys.repartition("key").sortWithinPartitions("key", "lo", "hi").mapInArrow(_link_wide(reach(similarity)), "lo long, hi long, lo2 long, hi2 long")
-    edges = cut(near.distinct().select(F.xxhash64("lo", "hi").alias("a"), F.xxhash64("lo2", "hi2").alias("b")))
+    edges = cut(near.distinct().select(F.struct("lo", "hi").alias("a"), F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).alias("b")))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = small(nodes.select(F.xxhash64("lo", "hi").alias("node"), "row").join(small(ends), "node"))
+    asked = small(nodes.select(F.struct("lo", "hi").alias("node"), "row").join(small(ends), "node"))
     sets = cut(docs.join(asked, "row").groupBy("node").agg(F.min("text").alias("text")).select("node", _shingles(words)("text").alias("s")))
     one, two = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
     both = edges.join(one, "a").join(two, "b")
@@ -479,7 +445,7 @@ def deduplicate(docs: DataFrame, words: int = WIDE_WORDS, similarity: float = SI
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h")).alias("row")
     slim = cut(base.select(row, _wide(words)("text").alias("fp")).select("row", "fp.lo", "fp.hi"))
     found = small(similar_components(base.select(row, "text"), slim, words, similarity))
-    node = slim.withColumn("node", F.xxhash64("lo", "hi")).join(found, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
+    node = slim.withColumn("node", F.struct("lo", "hi")).join(found, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
     node = cut(node.groupBy("group", "row").agg(F.count(F.lit(1)).alias("n")))
     first = node.groupBy("group").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     gone = small(cut(node.join(small(cut(first)), "group").where(F.col("row") != F.col("first")).select("row.*")))

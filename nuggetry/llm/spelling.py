@@ -28,7 +28,7 @@ from .common import cut, discard, slices, small
 #: ``TIMES`` times as often as its variant at least.
 LENGTH, OCCURS, DROPS, TIMES = 6, 5, 199, 5
 #: Characters of a group that stays whole, and of the groups that one wavelet tree covers.
-GROUP = 1 << 19
+GROUP = 1 << 17
 
 #: Latin-1 bytes of letters, A-Z lower-cased; all others are spaces.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))

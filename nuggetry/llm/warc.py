@@ -13,6 +13,7 @@ are named in the filter, which skips the pages of the others; more are found by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 from math import ceil, log
@@ -67,20 +68,38 @@ def _id_md5(*otherwise: F.Column) -> F.Column:
     return F.md5(F.coalesce(F.col("page_id").cast("string"), *otherwise, F.lit("")).cast("binary"))
 
 
+#: Bytes within which the head of a record ends.
+HEAD = 1 << 16
+_HEAD_END = re.compile(rb"\r\n\r\n")
+_START = re.compile(rb"(?<=\r\n\r\n)WARC/")
+
+
+def parse(data: memoryview | bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, uri) of the records of a file, one after the other, which cover it whole.
+
+    Where no record starts that has a head and a whole number as Content-Length (names in any case), what follows up to the
+    next start counts as one record, so that a broken head hides none but its own.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
+        head_end = _HEAD_END.search(view, at, at + HEAD) if bytes(view[at : at + 5]) == b"WARC/" else None
+        lines = bytes(view[at : head_end.start()]).split(b"\r\n")[1:] if head_end else []
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in reversed(lines))}
+        size = head.get(b"content-length", b"")
+        if head_end and size.isdigit() and len(size) < 19:
+            end = min(len(view), head_end.end() + int(size) + 4)
+        else:
+            following = _START.search(view, at + 1)
+            end = following.start() if following else len(view)
+        yield at, end, head.get(b"warc-target-uri", b"").decode(errors="replace")
+        at = end
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(*batch.columns):
-            data, name, rows, at = content.as_buffer(), path.as_py().rpartition("/")[2], [], 0
-            view = memoryview(data)
-            while at < len(view):
-                head_end = bytes(view[at : at + (1 << 16)]).find(b"\r\n\r\n")
-                head = dict(x.split(b":", 1) for x in bytes(view[at : at + max(0, head_end)]).split(b"\r\n")[1:] if b":" in x)
-                if head_end < 0 or b"Content-Length" not in head:  # no record starts here: the rest is one that no replica shares
-                    end = len(view)
-                else:
-                    end = min(len(view), at + head_end + 4 + int(head[b"Content-Length"]) + 4)
-                rows.append((name, at, end - at, head.get(b"WARC-Target-URI", b"").strip().decode(errors="replace"), sha256(view[at:end]).hexdigest()))
-                at = end
+            view, name = memoryview(content.as_buffer()), path.as_py().rpartition("/")[2]
+            rows = [(name, start, end - start, uri, sha256(view[start:end]).hexdigest()) for start, end, uri in parse(view)]
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "offset", "length", "uri", "digest"])
@@ -88,7 +107,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored_records(spark: SparkSession, path: str) -> DataFrame:
     """The record table of uncompressed WARC files (under 2 GB each) at ``path``: file, offset, length, page_id (null),
-    digest, and uri. Bytes in which no record starts count as one record up to the end of the file."""
+    digest, and uri. Bytes in which no record starts, or one with a broken head, count as one record up to the next start."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_parse, "file string, offset long, length long, uri string, digest string").select("file", "offset", "length", F.lit(None).cast("long").alias("page_id"), "digest", "uri")
 

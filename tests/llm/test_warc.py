@@ -97,3 +97,20 @@ def test_rows_without_an_id_are_dealt_by_url(spark):
     pages = spark.range(400).select(F.when(F.col("id") < 50, F.col("id")).alias("page_id"), F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"), F.lit("x").alias("html"))
     files = rows(warc.records(pages, 2).where("page_id IS NULL").groupBy("file").count())
     assert len(files) > 100 and sum(r["count"] for r in files) == 350
+
+
+def test_broken_heads_hide_only_their_own_record(spark, tmp_path):
+    good = [record(f"http://a/{i}", f"body {i}") for i in range(3)]
+    head = b"WARC/1.0\r\nWARC-Target-URI: http://bad\r\nContent-Length: %s\r\n\r\nxyz\r\n\r\n"
+    for size in (b"abc", b"-37", b"-462", b"", b"+3", b"9" * 30, "\u0663".encode()):
+        bad = head % size
+        data = good[0] + bad + good[1] + good[2]
+        got = list(warc.parse(data))
+        assert [data[a:b] for a, b, _ in got] == [good[0], bad, good[1], good[2]] and [u for *_, u in got] == ["http://a/0", "http://bad", "http://a/1", "http://a/2"]
+    low = good[0].replace(b"Content-Length", b"content-length").replace(b"WARC-Target-URI", b"warc-target-uri")
+    assert [u for *_, u in warc.parse(low + good[1])] == ["http://a/0", "http://a/1"]
+    for odd in (b"", b"x", b"WARC/", b"WARC/1.0\r\n\r\n", good[0][:-9], b"\r\n\r\n" * 9, good[0] + b"junk" + good[1], head % b"99999"):
+        got = list(warc.parse(odd))
+        assert b"".join(odd[a:b] for a, b, _ in got) == odd and all(a < b for a, b, _ in got)
+    (tmp_path / "f.warc").write_bytes(good[0] + head % b"abc" + good[1])
+    assert [r["uri"] for r in rows(warc.stored_records(spark, f"file://{tmp_path}/f.warc").orderBy("offset"))] == ["http://a/0", "http://bad", "http://a/1"]

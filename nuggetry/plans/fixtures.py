@@ -1,8 +1,10 @@
-"""Small inline tables of our own sentences, for rules that the synthetic tables never trigger."""
+"""Our own sentences, for rules that the synthetic tables never trigger. Tests take them as they are; the registered queries
+deal them to the rows of the given tables, so that their work grows with these."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SUGGESTION_COLUMNS = "sample_id string, suggestion_id string, text string, original_text string, confidence double, is_implied boolean, source_modality string, speech_act string, tone string, complaint_frame string, image_context string, audio_context string"
 SUGGESTIONS = [
@@ -44,34 +46,23 @@ REVIEWS = [
     ("v5", "restaurant", "", None, None, None, None),
 ]
 
-RESULT_COLUMNS = "entry_id string, extraction_path string, switch_mode string, gold boolean, num_suggestions int"
-RESULTS = [
-    ("a", "P1", "COMMON", True, 2), ("b", "P4", "SPECIFIC", True, 1), ("c", "P5", "COMMON", True, 0), ("d", "HN_1", "COMMON", False, 0), ("e", "P8", "SPECIFIC", True, None), ("f", "XD", "COMMON", False, 1), ("g", "P6", "SPECIFIC", True, 3),
-]
-
-JSON_REPLIES = [
-    (1, '```json\n{"a": 1}\n```'), (2, 'Sure! {"a": {"b": 2}} Done.'), (3, "no json here"), (4, '{"a": 1} and {"b": 2}'), (5, ""),
-    (6, 'broken {"x": [ {"text": "Add undo", "confidence": 0.9} , {"text": "Fix it", "confidence": 0.5}'),
-]
-
 MEDIA_ROWS = [("GEN-1", "pics/One.JPG", None, True), ("GEN-2", None, None, True), ("GEN-3", None, "a red button", True), ("GEN-4", "gone.png", None, True), ("GEN-5", None, "nan", False)]
 MEDIA_FILES = [("file:/m/one.jpg", 10), ("file:/m/gen_2.png", 30 << 20), ("file:/m/other.wav", 5)]
 
 
-def suggestions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SUGGESTIONS, SUGGESTION_COLUMNS)
-
-
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, TEXT_COLUMNS)
-
-
 def reviews(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REVIEWS, REVIEW_COLUMNS)
 
 
-def results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RESULTS, RESULT_COLUMNS)
+def numbered(rows: list[tuple], schema: str) -> tuple[list[tuple], str]:
+    """The rows with a first column i, from 0."""
+    return [(i, *r) for i, r in enumerate(rows)], f"i int, {schema}"
+
+
+def dealt(rows: DataFrame, nth: Column, fixed: list[tuple], schema: str) -> DataFrame:
+    """``rows`` with the columns of the fixed row that the number ``nth`` comes to, round and round."""
+    f = rows.sparkSession.createDataFrame(*numbered(fixed, schema))
+    return rows.withColumn("_i", nth % len(fixed)).join(F.broadcast(f), F.col("_i") == F.col("i")).drop("_i", "i")  # the few rows of this module
 
 
 def values(rows: list[tuple], schema: str, name: str) -> str:

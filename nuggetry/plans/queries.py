@@ -194,13 +194,35 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", text.flat_json("props", "k").cast("int").alias("k"))
 
 
-#: Worked out by hand from the rule: fences off, the widest object, the first balanced one, bare suggestions.
-_JSON = [(1, '{"a": 1}'), (2, '{"a": {"b": 2}}'), (3, None), (4, '{"a": 1}'), (5, None), (6, '{"suggestions": [{"text": "Add undo", "confidence": 0.9}, {"text": "Fix it", "confidence": 0.5}]}')]
+#: Replies of a model in several states, about each document, and what the rule makes of them: fences off, the widest object, the
+#: first balanced one, bare suggestions.
+_REPLY = {
+    0: (["```json\n", 1, "\n```"], [1]),
+    1: (["Sure! ", 1, " Done."], [1]),
+    2: (["no json about ", 0], None),
+    3: ([1, " and ", 2], [1]),
+    4: ([""], None),
+    5: (['broken {"x": [ ', 3, " , ", 4], ['{"suggestions": [', 3, ", ", 4, "]}"]),
+}
+_PIECES = {0: ["", "lang"], 1: ['{"a": {"b": ', "doc_id", "}}"], 2: ['{"c": ', "n_chars", "}"], 3: ['{"text": "Add ', "source", '", "confidence": 0.9}'], 4: ['{"text": "Fix ', "doc_id", '", "confidence": 0.5}']}
+_COLUMNS = ("doc_id", "n_chars", "lang", "source")
 
 
-@query(f"WITH {fixtures.values(_JSON, 'id int, json string', 'j')} SELECT id, json FROM j")
+def _flat(parts: list) -> list[str]:
+    return [x for p in parts for x in (_PIECES[p] if isinstance(p, int) else [p])]
+
+
+def _s_joined(parts: list | None) -> str:
+    return "NULL" if parts is None else " || ".join(f"{x}::VARCHAR" if x in _COLUMNS else q(x) for x in _flat(parts))
+
+
+@query(f"SELECT doc_id, CASE doc_id % 6 {' '.join(f'WHEN {k} THEN {_s_joined(want)}' for k, (_, want) in _REPLY.items())} END AS json FROM documents")
 def json_replies(spark, d):
-    return spark.createDataFrame(fixtures.JSON_REPLIES, "id int, reply string").select("id", text.json_object("reply").alias("json"))
+    docs, reply = table(spark, d, "documents"), F.lit(None).cast("string")
+    for k, (said, _) in _REPLY.items():
+        parts = [F.col(x).cast("string") if x in _COLUMNS else F.lit(x) for x in _flat(said)]
+        reply = F.when(F.col("doc_id") % 6 == k, F.concat(*parts)).otherwise(reply)
+    return docs.select("doc_id", text.json_object(reply).alias("json"))
 
 
 _RECORD = """r AS (SELECT conv_id, turn, role, text, CASE turn % 5 WHEN 0 THEN 'nan' WHEN 1 THEN ' Image of it ' WHEN 2 THEN '—' WHEN 3 THEN '' END AS img,
@@ -240,7 +262,18 @@ def audio_hints(spark, d):
 # Rules
 
 
-_TEXTS = fixtures.values(fixtures.TEXTS, fixtures.TEXT_COLUMNS, "t")
+_TEXTS = f"""{fixtures.values(*fixtures.numbered(fixtures.TEXTS, fixtures.TEXT_COLUMNS), "fixed")},
+  t AS (SELECT conv_id * 1000 + turn AS id, fixed.text || CASE WHEN turn % 2 = 1 THEN ' ' || c.text ELSE '' END AS text, domain FROM conversations c JOIN fixed ON i = (conv_id + turn) % {len(fixtures.TEXTS)})"""
+
+
+def _texts(spark, d):
+    """Our sentences dealt to the turns, before the words of every second one."""
+    c = table(spark, d, "conversations").withColumnRenamed("text", "said")
+    out = fixtures.dealt(c, F.col("conv_id") + F.col("turn"), fixtures.TEXTS, fixtures.TEXT_COLUMNS)
+    said = F.concat("text", F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" "), "said")).otherwise(""))
+    return out.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("text"), "domain")
+
+
 _ROLE_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), {q('|'.join(p))}) THEN '{r}'" for r, p in lex.ROLE_PATTERNS.items()) + f" ELSE '{lex.DEFAULT_ROLE}' END"
 _RULE = f"({s_any('text', lex.SUGGESTION_CUES)} OR regexp_matches(lower(coalesce(text, '')), {q('|'.join(lex.IMPLICIT_COMPLAINTS))}))"
 
@@ -251,7 +284,7 @@ def _hard(kind: str) -> str:
 
 @query(f"""WITH {_TEXTS} SELECT id, {_RULE} AS rule, {s_any('text', lex.SUGGESTION_CUES)} OR {s_any('text', lex.NEGATIVE_WORDS)} AS cue_or_negative, {_ROLE_CASE} AS role, {', '.join(_hard(k) for k in lex.HARD_NEGATIVES['restaurant'])} FROM t""")
 def rule_detect_fixture(spark, d):
-    t = fixtures.texts(spark)
+    t = _texts(spark, d)
     return t.select("id", rules.rule_detect("text").alias("rule"), rules.cue_or_sentiment("text").alias("cue_or_negative"), rules.span_role("text").alias("role"), *[rules.hard_negative("text", F.col("domain"), k).alias(k) for k in lex.HARD_NEGATIVES["restaurant"]])
 
 
@@ -267,7 +300,7 @@ def rule_detect_docs(spark, d):
 @query(f"""WITH {_TEXTS}, s AS (SELECT id, unnest(string_split_regex(text, '[.!?]+')) AS part, generate_subscripts(string_split_regex(text, '[.!?]+'), 1) AS i FROM t)
   SELECT id, trim(part) AS best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {s_count('part', lex.SENTENCE_KEYWORDS)} DESC, i) AS n FROM s) WHERE n = 1""")
 def best_sentence(spark, d):
-    return fixtures.texts(spark).select("id", rules.best_sentence("text").alias("best"))
+    return _texts(spark, d).select("id", rules.best_sentence("text").alias("best"))
 
 
 _TONE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN p > 40 AND e > 0.04 AND w > 160 AND k > 2 THEN 'angry' WHEN p > 25 AND r > 0.15 AND k > 0 THEN 'frustrated' WHEN p < 20 AND w < 120 AND r > 0.2 THEN 'sarcastic'
@@ -287,7 +320,19 @@ def acoustic_tone(spark, d):
 # Routing
 
 
-_SUGG = fixtures.values(fixtures.SUGGESTIONS, fixtures.SUGGESTION_COLUMNS, "f")
+_SUGG = f"""{fixtures.values(*fixtures.numbered(fixtures.SUGGESTIONS, fixtures.SUGGESTION_COLUMNS), "fixed")},
+  f AS (SELECT fixed.* REPLACE (conv_id || '-' || sample_id AS sample_id, turn || suggestion_id AS suggestion_id, original_text || CASE WHEN turn % 2 = 1 THEN ' ' || c.text ELSE '' END AS original_text) FROM conversations c JOIN fixed ON i = (conv_id + 5 * turn) % {len(fixtures.SUGGESTIONS)})"""
+
+
+def _suggestions(spark, d):
+    """Our suggestions dealt to the turns; their review goes on in the words of every second one."""
+    c = table(spark, d, "conversations").withColumnRenamed("text", "said")
+    out = fixtures.dealt(c, F.col("conv_id") + 5 * F.col("turn"), fixtures.SUGGESTIONS, fixtures.SUGGESTION_COLUMNS)
+    more = F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" "), "said")).otherwise("")
+    names = {"sample_id": F.concat_ws("-", "conv_id", "sample_id"), "suggestion_id": F.concat(F.col("turn").cast("string"), "suggestion_id"), "original_text": F.concat("original_text", more)}
+    return out.withColumns(names).select(*[c.split()[0] for c in fixtures.SUGGESTION_COLUMNS.split(", ")])
+
+
 _EXP = f"(2.0 * {s_count('text', lex.EXPLICIT_STRONG)} + {s_count('text', lex.EXPLICIT_MODERATE)})"
 _IMP = "(1.5 * (" + " + ".join(s_count("text", s) for s in lex.IMPLICIT_SIGNALS.values()) + "))"
 _TYPE = f"""CASE WHEN source_modality IN ('image', 'audio', 'cross_modal') THEN 'implicit' WHEN speech_act = 'sarcasm' OR tone IN ('sarcastic', 'ironic') THEN 'implicit' WHEN NOT is_implied AND confidence >= 0.8 AND {_EXP} > 0 THEN 'explicit'
@@ -319,7 +364,7 @@ k AS (SELECT *, CASE classified_type WHEN 'explicit' THEN true WHEN 'implicit' T
   CASE WHEN x THEN e_act ELSE act >= 3 END AS is_actionable, CASE WHEN x THEN e_faith ELSE faith END AS faithfulness_score, CASE WHEN x THEN verb ELSE '' END AS action_verb, CASE WHEN x THEN target ELSE '' END AS action_target, CASE WHEN x THEN 0.0 ELSE act END AS actionability_score,
   CASE WHEN x THEN 0.0 ELSE feas END AS feasibility_score, CASE WHEN x THEN 0.0 ELSE spec END AS specificity_score, CASE WHEN x THEN e_conf * CASE WHEN e_act THEN 1.1::DOUBLE ELSE 0.8::DOUBLE END ELSE i_conf * CASE WHEN i_pass THEN 1.0 ELSE 0.6::DOUBLE END END AS type_adjusted_score FROM k""")
 def suggestion_switch(spark, d):
-    out = routing.switch(fixtures.suggestions(spark))
+    out = routing.switch(_suggestions(spark, d))
     return out.select(
         "sample_id", "suggestion_id", "classified_type", "routed_type", "routed_confidence", "passed_switch", "is_actionable", "faithfulness_score", "action_verb", "action_target", "actionability_score", "feasibility_score", "specificity_score", "type_adjusted_score"
     )
@@ -328,7 +373,7 @@ def suggestion_switch(spark, d):
 @query(f"""WITH {_SUGG}, {_ROUTE} SELECT sample_id, count(*) AS total_input, count(*) FILTER (WHERE x) AS explicit_count, count(*) FILTER (WHERE NOT x) AS implicit_count, count(*) FILTER (WHERE CASE WHEN x THEN e_pass ELSE i_pass END) AS passed_count,
   count(*) FILTER (WHERE NOT CASE WHEN x THEN e_pass ELSE i_pass END) AS failed_count FROM k GROUP BY sample_id""")
 def switch_summary(spark, d):
-    return routing.switch_stats(routing.switch(fixtures.suggestions(spark)))
+    return routing.switch_stats(routing.switch(_suggestions(spark, d)))
 
 
 @query(f"SELECT conv_id, turn, {s_act('text')} AS actionability, {s_feas('text')} AS feasibility, {s_spec('text')} AS specificity FROM conversations WHERE role = 'user'")
@@ -342,14 +387,22 @@ _APOS = "chr(39)"
 @query(f"""WITH {_SUGG}, {_ROUTE} SELECT sample_id, suggestion_id, CASE WHEN x THEN '' ELSE concat_ws(' → ', 'User complaint: ' || {_APOS} || coalesce(said, '') || {_APOS}, CASE WHEN source_modality = 'cross_modal' THEN 'Cross-modal signal: text + image combine to reveal issue'
   WHEN source_modality = 'image' AND coalesce(image_context, '') <> '' THEN 'Image evidence: ' || {_APOS} || image_context || {_APOS} END, 'Inferred fix: ' || {_APOS} || coalesce(text, '') || {_APOS}) END AS inference_chain FROM k""")
 def inference_chains(spark, d):
-    return routing.switch(fixtures.suggestions(spark)).select("sample_id", "suggestion_id", "inference_chain")
+    return routing.switch(_suggestions(spark, d)).select("sample_id", "suggestion_id", "inference_chain")
 
 
 # Evidence
 
 
-def _review_parts(spark):
-    r = fixtures.reviews(spark)
+def _reviews(spark, d):
+    """A review for every conversation: one of ours, which goes on in the words of the first turn."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("said"))
+    out = fixtures.dealt(c, F.col("conv_id"), fixtures.REVIEWS, fixtures.REVIEW_COLUMNS)
+    names = {"sample_id": F.concat(F.lit("c"), F.col("conv_id").cast("string")), "raw_text": F.concat_ws(" ", "raw_text", "said"), "overall_alignment": F.coalesce("overall_alignment", (F.col("conv_id") % 10) / 10.0)}
+    return out.withColumns(names).select(*[c.split()[0] for c in fixtures.REVIEW_COLUMNS.split(", ")])
+
+
+def _review_parts(spark, d):
+    r = settle(_reviews(spark, d), "reviews")
     p = RuleProvider()
     s = settle(p.sentences(r), "sentences")
     labels = p.labels(r, s).select("sample_id", text.short_id("text").alias("suggestion_id"), "text")
@@ -358,7 +411,7 @@ def _review_parts(spark):
 
 @query()
 def evidence_rows(spark, d):
-    r, s, labels, views = _review_parts(spark)
+    r, s, labels, views = _review_parts(spark, d)
     ev = evidence.text_evidence(labels, r, s, views.select("sample_id", "complaint_frame", "comparison_frame", "request_frame", "confidence"))
     ev = ev.unionByName(evidence.image_evidence(labels, r.select("sample_id", F.lit(0).alias("image_index"), text.without_sentinel("image_description").alias("caption"))))
     ev = ev.unionByName(evidence.audio_evidence(labels, r.select("sample_id", text.without_sentinel("audio_description").alias("transcript"))))
@@ -368,7 +421,7 @@ def evidence_rows(spark, d):
 
 @query()
 def evidence_summary(spark, d):
-    r, s, labels, _ = _review_parts(spark)
+    r, s, labels, _ = _review_parts(spark, d)
     return evidence.enrich(labels, evidence_rows(spark, d))
 
 
@@ -715,19 +768,31 @@ def topk_precision(spark, d):
     return metrics.top_k_precision(*_rankings(spark, d), 10)
 
 
-_PATHS = fixtures.values(fixtures.RESULTS, fixtures.RESULT_COLUMNS, "r")
+#: Ways of extraction, dealt to the rated documents.
+_WAYS = ["P1", "P4", "P5", "HN_1", "P8", "XD", "P6", "P2", "P7"]
+_PATHS = f"""r AS (SELECT doc_id::VARCHAR AS entry_id, {qlist(_WAYS)}[doc_id % {len(_WAYS)} + 1] AS extraction_path, CASE WHEN (doc_id // 3) % 3 > 0 THEN 'COMMON' ELSE 'SPECIFIC' END AS switch_mode, quality = 1 AS gold, CASE WHEN doc_id % 5 < 4 THEN doc_id % 5 END AS num_suggestions FROM labels)"""
+
+
+def _results(spark, d):
+    i = F.col("doc_id")
+    way = F.element_at(F.array(*[F.lit(w) for w in _WAYS]), (i % len(_WAYS) + 1).cast("int"))
+    return table(spark, d, "labels").select(
+        i.cast("string").alias("entry_id"), way.alias("extraction_path"), F.when(F.floor(i / 3) % 3 > 0, "COMMON").otherwise("SPECIFIC").alias("switch_mode"), (F.col("quality") == 1).alias("gold"), F.when(i % 5 < 4, i % 5).alias("num_suggestions")
+    )
+
+
 
 
 @query(f"""WITH {_PATHS} SELECT count(*) FILTER (WHERE extraction_path IN ('P4', 'P5', 'P6', 'P1', 'P2', 'P3', 'P7', 'P8', 'XD')) AS n, count(*) FILTER (WHERE extraction_path IN ('P4', 'P5', 'P6') AND switch_mode = 'SPECIFIC') AS specific_correct,
   count(*) FILTER (WHERE extraction_path IN ('P1', 'P2', 'P3', 'P7', 'P8', 'XD') AND switch_mode = 'COMMON') AS common_correct, count(*) FILTER (WHERE (extraction_path IN ('P4', 'P5', 'P6') AND switch_mode = 'SPECIFIC') OR (extraction_path IN ('P1', 'P2', 'P3', 'P7', 'P8', 'XD') AND switch_mode = 'COMMON'))::DOUBLE
   / count(*) FILTER (WHERE extraction_path IN ('P4', 'P5', 'P6', 'P1', 'P2', 'P3', 'P7', 'P8', 'XD'))::DOUBLE AS switch_accuracy FROM r""")
 def switch_accuracy(spark, d):
-    return metrics.switch_accuracy(fixtures.results(spark))
+    return metrics.switch_accuracy(_results(spark, d))
 
 
 @query(f"WITH {_PATHS} SELECT count(*) FILTER (WHERE gold AND coalesce(num_suggestions, 0) > 0) AS n, 1.0::DOUBLE AS legacy_ndcg5, 1.0::DOUBLE AS legacy_mrr FROM r")
 def legacy_ranking(spark, d):
-    return metrics.legacy_ranking(fixtures.results(spark))
+    return metrics.legacy_ranking(_results(spark, d))
 
 
 @query(f"""WITH {_TURNS}, s AS (SELECT *, {s_dice(s_set('y'), s_set('x'))} AS f FROM t) SELECT count(*) AS n, avg((f < 0.15)::INT) AS ungrounded, avg((length(x) > 50)::INT) AS long_source FROM s""")
@@ -870,16 +935,27 @@ def comparison_table(spark, d):
     return sinks.comparison(long, names=["f1", "precision", "recall"])
 
 
-_MEDIA = f"""{fixtures.values(fixtures.MEDIA_ROWS, 'entry_id string, image_path string, image_description string, has_image boolean', 'm')}, {fixtures.values(fixtures.MEDIA_FILES, 'path string, length bigint', 'p')},
+_MEDIA = """m AS (SELECT 'GEN-' || page_id AS entry_id, CASE page_id % 5 WHEN 0 THEN 'pics/One' || page_id || '.JPG' WHEN 3 THEN 'gone.png' END AS image_path, CASE page_id % 5 WHEN 2 THEN url WHEN 4 THEN 'nan' END AS image_description, page_id % 5 <> 4 AS has_image FROM pages),
+  p AS (SELECT CASE page_id % 5 WHEN 0 THEN 'file:/m/one' || page_id || '.jpg' WHEN 1 THEN 'file:/m/gen_' || page_id || '.png' ELSE 'file:/m/other' || page_id || '.wav' END AS path FROM pages),
   f AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM p), n AS (SELECT m.*, (SELECT min(path) FROM f WHERE name = lower(string_split(coalesce(image_path, ''), '/')[-1])) AS a, (SELECT min(path) FROM f WHERE regexp_replace(name, '\\.[^.]+$', '') = replace(lower(entry_id), '-', '_')) AS b FROM m),
   r AS (SELECT entry_id, has_image, coalesce(a, b) AS media_path, CASE WHEN a IS NOT NULL THEN 'file' WHEN b IS NOT NULL THEN 'entry_id' WHEN trim(coalesce(image_description, '')) NOT IN ('', 'nan', 'None', '—') THEN 'description' ELSE 'none' END AS media_source FROM n)"""
 
 
+def _with_media(spark, d):
+    """A review for every page, and files as they may lie beside it: named by it, by its entry, or neither."""
+    i, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    p = table(spark, d, "pages")
+    rows = p.select(
+        F.concat(F.lit("GEN-"), n).alias("entry_id"), F.when(i == 0, F.concat(F.lit("pics/One"), n, F.lit(".JPG"))).when(i == 3, "gone.png").alias("image_path"), F.when(i == 2, F.col("url")).when(i == 4, "nan").alias("image_description"), (i != 4).alias("has_image")
+    )
+    path = F.when(i == 0, F.concat(F.lit("one"), n, F.lit(".jpg"))).when(i == 1, F.concat(F.lit("gen_"), n, F.lit(".png"))).otherwise(F.concat(F.lit("other"), n, F.lit(".wav")))
+    files = media.with_names(p.select(F.concat(F.lit("file:/m/"), path).alias("path"), F.octet_length("html").cast("long").alias("length")))
+    return media.resolve(rows, files, "image_path", "image_description")
+
+
 @query(f"WITH {_MEDIA} SELECT entry_id, media_path, media_source FROM r")
 def media_resolution(spark, d):
-    rows = spark.createDataFrame(fixtures.MEDIA_ROWS, "entry_id string, image_path string, image_description string, has_image boolean")
-    files = media.with_names(spark.createDataFrame(fixtures.MEDIA_FILES, "path string, length long"))
-    return media.resolve(rows, files, "image_path", "image_description").select("entry_id", "media_path", "media_source")
+    return _with_media(spark, d).select("entry_id", "media_path", "media_source")
 
 
 @query("SELECT page_id, to_json({page_id: page_id, url: url, raw: '<' || strlen(html) || ' items>'})::VARCHAR AS state FROM pages")
@@ -893,7 +969,7 @@ def state_dump(spark, d):
 
 @query()
 def mine_reviews(spark, d):
-    return pipeline.run(fixtures.reviews(spark)).select("sample_id", "canonical_text", "suggestion_type", "score", "rank", F.array_join("reasons", ",").alias("reasons"))
+    return pipeline.run(settle(_reviews(spark, d), "reviews")).select("sample_id", "canonical_text", "suggestion_type", "score", "rank", F.array_join("reasons", ",").alias("reasons"))
 
 
 def _train(spark, d):
@@ -979,12 +1055,12 @@ _SPLIT = f"""c AS (SELECT id, text, {s_words('text')} AS w, list_position(list_t
 
 @query(f"""WITH {_TEXTS}, {_SPLIT} SELECT id, CASE WHEN pos1 > 0 THEN w[pos1] ELSE '' END AS verb, CASE WHEN len(w) = 0 THEN '' WHEN pos1 > 0 THEN array_to_string(w[pos1 + 1:], ' ') ELSE text END AS target FROM c""")
 def action_targets(spark, d):
-    return fixtures.texts(spark).select("id", text.split_action("text").alias("a")).select("id", "a.verb", "a.target")
+    return _texts(spark, d).select("id", text.split_action("text").alias("a")).select("id", "a.verb", "a.target")
 
 
 @query(f"""WITH {_TEXTS} SELECT id, coalesce(trim(list_filter(string_split(text, '.'), lambda s: len(list_filter({qlist(lex.COMPLAINT_MARKERS)}, lambda m: contains(lower(s), m))) > 0)[1]), substr(text, 1, 200)) AS complaint FROM t""")
 def complaints(spark, d):
-    return fixtures.texts(spark).select("id", text.complaint("text", F.lit(None).cast("string")).alias("complaint"))
+    return _texts(spark, d).select("id", text.complaint("text", F.lit(None).cast("string")).alias("complaint"))
 
 
 _KIND = f"""CASE WHEN regexp_matches(lower(text), {q(rules.any_of(lex.EXPLICIT_STRONG + lex.EXPLICIT_MODERATE) + '|' + '|'.join(lex.ROLE_PATTERNS['direct_request']))}) THEN 'request'
@@ -995,7 +1071,7 @@ _KIND = f"""CASE WHEN regexp_matches(lower(text), {q(rules.any_of(lex.EXPLICIT_S
 @query(f"""WITH {_TEXTS}, k AS (SELECT id, {_KIND} AS kind FROM t) SELECT id, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in BANDS.items())} END AS span_confidence FROM k""")
 def sentence_bands(spark, d):
     band = F.create_map(*[F.lit(x) for kv in BANDS.items() for x in kv])
-    return fixtures.texts(spark).select("id", sentence_kind("text").alias("kind")).withColumn("span_confidence", band[F.col("kind")])
+    return _texts(spark, d).select("id", sentence_kind("text").alias("kind")).withColumn("span_confidence", band[F.col("kind")])
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s))::INT AS longest FROM s GROUP BY doc_id""")
@@ -1132,9 +1208,7 @@ def cluster_overview(spark, d):
 @query(f"""WITH {_MEDIA} SELECT count(*) FILTER (WHERE has_image) AS need, count(*) FILTER (WHERE has_image AND media_path IS NOT NULL) AS have, count(*) FILTER (WHERE has_image AND media_path IS NULL) AS missing,
   array_to_string(list_sort(list(entry_id) FILTER (WHERE has_image AND media_path IS NULL)), ',') AS missing_ids FROM r""")
 def media_audit(spark, d):
-    rows = spark.createDataFrame(fixtures.MEDIA_ROWS, "entry_id string, image_path string, image_description string, has_image boolean")
-    files = media.with_names(spark.createDataFrame(fixtures.MEDIA_FILES, "path string, length long"))
-    return media.completeness(media.resolve(rows, files, "image_path", "image_description"), "has_image").withColumn("missing_ids", F.array_join("missing_ids", ","))
+    return media.completeness(_with_media(spark, d), "has_image").withColumn("missing_ids", F.array_join("missing_ids", ","))
 
 
 _ON_TURNS = f"""{_TURNS}, f AS (SELECT conv_id::VARCHAR AS sample_id, turn::VARCHAR AS suggestion_id, x AS text, y AS original_text, (turn % 10) / 10.0::DOUBLE AS confidence, turn % 2 = 1 AS is_implied, CASE turn % 5 WHEN 0 THEN 'image' ELSE 'text' END AS source_modality,

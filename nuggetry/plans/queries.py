@@ -1025,6 +1025,13 @@ def stream_short_term(spark, d):
     return _replay(spark, twice, streaming.short_term).select("decision_id", "decision")
 
 
+@query(f"""SELECT event_id AS decision_id, coalesce(round(avg(({_DECIDE} = 'accept')::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 3), 0.5) AS past_approval_rate FROM events""")
+def stream_approval(spark, d):
+    """Each decision meets those on the same text of the ten days before it; the state holds no older ones."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("decision_id"), F.concat(F.lit("Item "), F.col("user_id").cast("string")).alias("text"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type").isin("purchase", "signup"), "accept").otherwise("reject").alias("decision"))
+    return _replay(spark, e, lambda s: streaming.stream_approval(s, 10))
+
+
 @query("""SELECT md5(trim(lower(text))) AS pattern, count(*) AS count, count(*) FILTER (WHERE n_chars % 2 = 0) AS accepted_count, count(DISTINCT source)::INT AS domain_count FROM documents GROUP BY trim(lower(text))""")
 def stream_patterns(spark, d):
     """Counts per pattern after the last batch of a stream in complete mode."""

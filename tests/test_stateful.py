@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from nuggetry.operators import clusters, matching, memory, ranking, similarity
 from nuggetry.plans import queries
 from nuggetry.sources.work import fresh, settle
+from nuggetry.streaming import index
 from nuggetry.streaming import memory as streaming
 
 
@@ -161,6 +162,68 @@ def test_canonical_groups_merge_chains(spark):
     assert sum(f for f, _ in got.values()) == 8
 
 
+def _state_rows(spark, state, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(state).collect()
+
+
+def test_state_expires_and_streams_equal_batches(spark):
+    """Three runs of a stream against the loop over all rows; what is older than the days is gone from the state."""
+    day = 86400
+    rnd = random.Random(12)
+    rows = [(i, f"text {rnd.randint(0, 4)}", rnd.choice(["accept", "reject"]), i * day // 4) for i in range(160)]
+    df = spark.createDataFrame(rows, "decision_id long, text string, decision string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1))
+    source, out, state = (fresh(spark, n) for n in ("in", "out", "state"))
+    for part in (df.where("s < 10 * 86400"), df.where("s >= 10 * 86400 AND s < 30 * 86400"), df.where("s >= 30 * 86400")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        streaming.append_incrementally(streaming.stream_approval(spark.readStream.schema(df.schema).parquet(source), 5), out, state).awaitTermination()
+    got = {r.decision_id: r.past_approval_rate for r in spark.read.parquet(out).collect()}
+    for i, t, _, at in rows:
+        near = [x for _, u, x, s_ in rows if u == t and at - 5 * day <= s_ < at]
+        assert abs(got[i] - (near.count("accept") / len(near) if near else 0.5)) <= 0.0005 + 1e-9
+    assert len(_state_rows(spark, state, "decisions")) < 100
+
+
+def test_clusters_on_a_stream_are_kept_for_some_days(spark):
+    day, rnd = 86400, random.Random(13)
+    rows = [("d", i, " ".join(rnd.choice("abcdef") for _ in range(4)), f"s{i}", rnd.random(), i * day // 5) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA + ", s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1))
+    one = clusters.Clusters("d", keep=2 * day * 1_000_000)
+    want = sorted((i, *one.assign(i, t, c, s * 1_000_000)) for _, i, t, _, c, s in rows)
+    assert len(set(x[1] for x in want)) > len({c for _, c, _ in loop([r[:5] for r in rows])})  # some were founded anew
+    batch = clusters.assign_clusters(df, keep_days=2)
+    assert sorted((r.seq, r.cluster_id, r.cluster_size) for r in batch.collect()) == want
+    source, out, state = (fresh(spark, n) for n in ("in", "out", "state"))
+    for part in (df.where("seq < 70"), df.where("seq >= 70 AND seq < 120"), df.where("seq >= 120")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        streaming.append_incrementally(streaming.stream_clusters(spark.readStream.schema(df.schema).parquet(source), keep_days=2), out, state).awaitTermination()
+    assert sorted((r.seq, r.cluster_id, r.cluster_size) for r in spark.read.parquet(out).collect()) == want
+    assert len(_state_rows(spark, state, "clusters")) < len({c for _, c, _ in want})
+
+
+def test_three_batches_through_the_index_equal_one_join(spark):
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 8)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    source, out, state, at = (fresh(spark, n) for n in ("in", "out", "state", "index"))
+    found = index.SimilarityIndex(spark, at, 0.5)
+    for part in (df.where("id < 40"), df.where("id >= 40 AND id < 100"), df.where("id >= 100")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        index.match_stream(spark.readStream.schema(df.schema).parquet(source), found, out, state).awaitTermination()
+    pair = lambda a, b, s: (min(a, b), max(a, b), round(s, 9))
+    got = {pair(bytes(r.left_key), bytes(r.right_key), r.similarity) for r in spark.read.parquet(out).collect()}
+    keyed = similarity.keyed_sets(df)
+    whole = similarity.similar_keys(keyed, keyed, 0.5)
+    assert got == {pair(bytes(r.left_key), bytes(r.right_key), r.similarity) for r in whole.collect()}
+    # A batch that runs again gives the same and leaves the index as it was; a compacted index answers alike.
+    last = settle(keyed.where("id >= 100"))
+    n = found.sets().count(), found.postings().count()
+    again = {pair(bytes(r.left_key), bytes(r.right_key), r.similarity) for r in found.add(last, 2).collect()}
+    assert again == {pair(bytes(r.left_key), bytes(r.right_key), r.similarity) for r in spark.read.parquet(f"{out}/batch=2").collect()} and n == (found.sets().count(), found.postings().count())
+    more = similarity.keyed_sets(spark.createDataFrame([(1, "a b c d"), (2, "k l")], "id long, text string"))
+    small, big = found.compacted(fresh(spark, "index")).add(more, 3).collect(), found.add(more, 3).collect()
+    assert sorted(map(str, small)) == sorted(map(str, big)) and small
+
+
 def test_greedy_match_against_a_loop(spark):
     rnd = random.Random(5)
     preds = [(g, i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 4)))) for g in range(20) for i in range(6)]

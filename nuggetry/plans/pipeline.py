@@ -14,6 +14,7 @@ from ..functions.text import multimodal_context, short_id, switch_mode
 from ..operators import clusters, evidence, memory, ranking, routing
 from ..sources.work import settle
 from .providers import Provider, RuleProvider
+from .stages import Stages, fingerprint
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class Config:
     switch: bool = True
     evidence: bool = True
     memory: bool = True
+    merge: bool = False  # on: texts of a sample that mean the same become one, not only equal ones
     tau: float = 0.6
     provider: Provider = field(default_factory=RuleProvider)
 
@@ -38,6 +40,7 @@ class Memories:
 
     decisions: DataFrame | None = None  # decision_id, text, decision, ts
     canonical: DataFrame | None = None  # text
+    long_term: DataFrame | None = None  # text; the canonical texts of the store without a threshold
     edits: DataFrame | None = None  # edit_id, original, corrected
     alignments: DataFrame | None = None  # alignment_score, dominant_modality, domain, decision
     patterns: DataFrame | None = None  # as memory.patterns() gives them
@@ -58,7 +61,7 @@ def remember(s: DataFrame, memories: Memories) -> DataFrame:
     tables = {k: getattr(memories, k) if getattr(memories, k) is not None else s.sparkSession.createDataFrame([], kind) for k, kind in _EMPTY.items()}
     s = s.withColumn("id", F.concat_ws("|", "sample_id", "suggestion_id"))
     asked = s.select("id", "text", "confidence", F.col("overall_alignment").alias("alignment_score"), F.col("source_modality").alias("dominant_modality"), F.coalesce("domain", F.lit("general")).alias("domain"))
-    said = memory.apply_memory(memory.lookup(settle(asked, "asked"), tables["decisions"], tables["canonical"], tables["edits"], tables["alignments"], tables["patterns"]))
+    said = memory.apply_memory(memory.lookup(settle(asked, "asked"), tables["decisions"], tables["canonical"], tables["edits"], tables["alignments"], tables["patterns"], memories.long_term))
     said = said.select("id", "text", "confidence", "past_approval_rate", "semantic_memory_hit", "is_human_corrected", "cross_domain", "cross_domain_boost", "modal_alignment_score", "similar_forms")
     return s.drop("text", "confidence").join(said, "id").drop("id")
 
@@ -93,42 +96,55 @@ def prepare(reviews: DataFrame, config: Config) -> DataFrame:
     return df.withColumn("multimodal_context", multimodal_context("image_description", "audio_description")).withColumn("switch_mode", switch_mode(F.col("overall_alignment"), config.tau))
 
 
-def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | None = None, memories: Memories | None = None) -> DataFrame:
+def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | None = None, memories: Memories | None = None, resume: str | None = None, made: list | None = None) -> DataFrame:
     """Ranked suggestions: one row per sample and canonical text with scores, evidence, cluster, memory and reasons.
 
     Samples without an accepted suggestion have no row; they reappear where results are joined to reviews.
     ``memories`` are those from before; ``decisions(decision_id, text, decision, ts)`` stands for the episodic one alone.
     Image and audio views come from the provider where it has them. Clusters take suggestions in the order of
-    ``arrived``, if reviews have that column, then of sample and suggestion.
+    ``arrived``, if reviews have that column, then of sample and suggestion. With ``resume``, a folder that all executors
+    share, stages are stored there and taken up by a later run with the same configuration and inputs (``stages``);
+    ``made`` gets the names of those that this run makes.
     """
+    inputs = (reviews, decisions, *(vars(memories).values() if memories else ()))
+    stages = Stages(reviews.sparkSession, resume, fingerprint(config, *inputs) if resume else "")
+    if made is not None:
+        stages.made = made
     df = prepare(reviews, config)
-    if config.alignment and (aligned := getattr(config.provider, "alignment", lambda _: None)(df)) is not None:
-        aligned = settle(aligned.select("sample_id", F.col("overall_alignment").alias("_a"), "dominant_modality", "has_contradiction"), "alignment")
+    if config.alignment and (aligned_ := getattr(config.provider, "alignment", lambda _: None)(df)) is not None:
+        aligned = stages.keep("alignment", lambda: aligned_.select("sample_id", F.col("overall_alignment").alias("_a"), "dominant_modality", "has_contradiction"))
         given = "overall_alignment" if "overall_alignment" in reviews.columns else F.lit(None).cast("double").alias("overall_alignment")
         known = reviews.select("sample_id", given).join(aligned, "sample_id", "left").select("sample_id", F.coalesce("overall_alignment", "_a").alias("overall_alignment"), "dominant_modality", "has_contradiction")
         df = prepare(reviews.drop("overall_alignment").join(known, "sample_id"), config)
-    sents = settle(config.provider.sentences(df), "sentences")
-    views = settle(config.provider.text_views(df), "views")
+    sents = stages.keep("sentences", lambda: config.provider.sentences(df))
+    views = stages.keep("views", lambda: config.provider.text_views(df))
     seen, heard = (getattr(config.provider, f"{kind}_views", lambda _: None)(df) for kind in ("image", "audio"))
     if not isinstance(config.provider, RuleProvider):  # a model is asked once, however often its views are read
-        seen, heard = (settle(v, "views") if v is not None else None for v in (seen, heard))
-    labels = config.provider.labels(df, sents)
-    liberal = ranking.liberal(labels)
-    merged = ranking.merge(ranking.conservative(labels), liberal) if config.conservative else liberal.withColumn("labeller", F.lit("liberal"))
-    accepted = settle(ranking.arbitrate(merged, accept_all=not config.arbitration).where("accepted"), "accepted")
-    canonical = ranking.canonicalise(accepted)
+        seen, heard = (stages.keep(k, lambda v=v: v) if v is not None else None for k, v in (("seen", seen), ("heard", heard)))
+
+    def arbitrated() -> DataFrame:
+        labels = config.provider.labels(df, sents)
+        liberal = ranking.liberal(labels)
+        merged = ranking.merge(ranking.conservative(labels), liberal) if config.conservative else liberal.withColumn("labeller", F.lit("liberal"))
+        return ranking.arbitrate(merged, accept_all=not config.arbitration).where("accepted")
+
+    accepted = stages.keep("accepted", arbitrated)
+    canonical = (ranking.canonical_groups if config.merge else ranking.canonicalise)(accepted)
 
     context = df.select("sample_id", "domain", F.col("raw_text").alias("original_text"), "image_description", "audio_description", "overall_alignment", "user_segment", "switch_mode", *[c for c in ("dominant_modality", "has_contradiction") if c in df.columns])
     s = canonical.join(accepted.select("sample_id", F.col("canonical_key").alias("canonical_text"), "text", "is_implied", "modality_agreement_score"), ["sample_id", "canonical_text"])
     s = s.withColumn("suggestion_id", short_id("canonical_text")).withColumn("source_modality", F.lit("text"))
-    s = settle(s.join(context, "sample_id").join(views.select("sample_id", "complaint_frame", "speech_act", "tone", "urgency_score"), "sample_id"), "suggestions")
+    s = stages.keep("suggestions", lambda s=s: s.join(context, "sample_id").join(views.select("sample_id", "complaint_frame", "speech_act", "tone", "urgency_score"), "sample_id"))
 
     if config.evidence:
         asked = s.select("sample_id", "suggestion_id", "text")
-        ev = evidence.text_evidence(asked, df, sents, views.select("sample_id", "complaint_frame", "comparison_frame", "request_frame", "confidence"))
-        ev = ev.unionByName(evidence.image_evidence(asked, df.where("image_description <> ''").select("sample_id", F.lit(0).alias("image_index"), F.col("image_description").alias("caption")), seen))
-        ev = ev.unionByName(evidence.audio_evidence(asked, df.where("audio_description <> ''").select("sample_id", F.col("audio_description").alias("transcript")), heard))
-        ev = settle(ev, "evidence")
+
+        def found() -> DataFrame:
+            ev = evidence.text_evidence(asked, df, sents, views.select("sample_id", "complaint_frame", "comparison_frame", "request_frame", "confidence"))
+            ev = ev.unionByName(evidence.image_evidence(asked, df.where("image_description <> ''").select("sample_id", F.lit(0).alias("image_index"), F.col("image_description").alias("caption")), seen))
+            return ev.unionByName(evidence.audio_evidence(asked, df.where("audio_description <> ''").select("sample_id", F.col("audio_description").alias("transcript")), heard))
+
+        ev = stages.keep("evidence", found)
         ev = ev.unionByName(evidence.cross_modal_evidence(ev, df.select("sample_id", "overall_alignment")))
         s = evidence.enrich(s, ev)
     else:
@@ -142,13 +158,14 @@ def run(reviews: DataFrame, config: Config = Config(), decisions: DataFrame | No
 
     came = df.select("sample_id", F.col("arrived").alias("_came")) if "arrived" in df.columns else df.select("sample_id", F.lit(0).alias("_came"))
     turn = F.row_number().over(Window.partitionBy("_domain").orderBy("_came", "sample_id", "suggestion_id")).cast("long")
-    s = settle(s.join(came, "sample_id").withColumn("_domain", F.coalesce("domain", F.lit("general"))).withColumn("_seq", turn).drop("_came"), "arrivals")
-    members = clusters.assign_clusters(s.select(F.col("_domain").alias("domain"), F.col("_seq").alias("seq"), "text", "sample_id", "confidence"))
+    s = stages.keep("arrivals", lambda s=s: s.join(came, "sample_id").withColumn("_domain", F.coalesce("domain", F.lit("general"))).withColumn("_seq", turn).drop("_came"))
+    members = stages.keep("clusters", lambda: clusters.assign_clusters(s.select(F.col("_domain").alias("domain"), F.col("_seq").alias("seq"), "text", "sample_id", "confidence")))
     members = members.select(F.col("domain").alias("_domain"), F.col("seq").alias("_seq"), "cluster_id", "cluster_size")
     s = s.join(members, ["_domain", "_seq"]).drop("_domain", "_seq")
 
     if config.memory and (memories or decisions is not None):
-        s = remember(s, memories or Memories(decisions=decisions))
+        before = s
+        s = stages.keep("remembered", lambda: remember(before, memories or Memories(decisions=decisions)))
     else:
         s = s.withColumn("past_approval_rate", F.lit(0.5))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import rules, text
-from ..operators import bootstrap, clusters, evidence, matching, memory, metrics, ml, ranking, routing, similarity
+from ..operators import bootstrap, clusters, cosine, evidence, matching, memory, metrics, ml, ranking, routing, similarity
 from ..sources import media, readers, sinks
 from ..sources.work import fresh, positions, settle, spread
 from ..streaming import memory as streaming
@@ -179,6 +179,14 @@ def cosine_neighbours(spark, d):
     return e.join(b, "vec_id").select("vec_id", (text.cosine(F.col("embedding"), F.col("other")) > 0.1).alias("near"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+  p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(q.v, e.v) AS c FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT query_id, pos::INT AS pos, id, round(c, 9) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS pos FROM p) WHERE pos <= 10""")
+def cosine_topk(spark, d):
+    """The ten nearest of every hundredth vector, among all."""
+    e = table(spark, d, "embeddings")
+    return cosine.cosine_topk(e.where("vec_id % 100 = 0"), e, 10, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 9))
+
+
 _SPANS = """p AS (SELECT conv_id, turn, (turn * 7) % 20 AS s1, (turn * 7) % 20 + length(text) % 15 AS e1, (turn * 11) % 20 AS s2, (turn * 11) % 20 + length(text) % 9 AS e2 FROM conversations)"""
 
 
@@ -895,6 +903,30 @@ def bootstrap_order_interval(spark, d):
     return bootstrap.order_interval(bootstrap.f1_statistic(_gold(spark, d), "doc_id", "gold", "pred", n=1000), "stat")
 
 
+def _cells(cells: str, n: int) -> str:
+    """``c``: cells (cell, n and their values) drawn in n resamples, as w."""
+    name = "'42:' || resample || ':' || cell"
+    u = lambda first: f"(('0x' || substr(md5({name}), {first}, 8))::BIGINT::DOUBLE + 1) / 4294967296.0::DOUBLE"
+    z = f"sqrt(-2::DOUBLE * ln({u(1)})) * cos(2 * pi() * {u(9)})"
+    one = "list_sum(list_transform([" + ", ".join(f"{c!r}::DOUBLE" for c in bootstrap.CUMULATIVE) + "], lambda c: (('0x' || substr(md5('42:' || resample || ':' || cell || ':' || i), 1, 8))::BIGINT::DOUBLE / 4294967296.0 >= c)::INT))"
+    each = f"list_sum(list_transform(range(1, n + 1), lambda i: {one}))"
+    return f"""x AS (SELECT *, {z} AS z FROM ({cells}), (SELECT unnest(range(1, {n + 1})) AS resample)),
+  c AS (SELECT *, (CASE WHEN n <= {bootstrap.BY_ROW} THEN {each} ELSE greatest(0.0, floor(n + sqrt(n::DOUBLE) * z + (z * z - 1) / 6 + 0.5)) END)::BIGINT AS w FROM x)"""
+
+
+@query(f"""WITH {_GOLD}, {_cells("SELECT gold, pred, gold || ',' || pred AS cell, count(*) AS n FROM g GROUP BY gold, pred", 10_000)}, s AS (SELECT resample, coalesce(sum(w) FILTER (WHERE gold AND pred), 0) AS tp, coalesce(sum(w) FILTER (WHERE NOT gold AND pred), 0) AS fp, coalesce(sum(w) FILTER (WHERE gold AND NOT pred), 0) AS fn FROM c GROUP BY resample),
+  f AS (SELECT {s_ratio('2 * tp', '2 * tp + fp + fn')} AS f FROM s) SELECT count(*) AS resamples, round(avg(f), 9) AS mean, round(quantile_cont(f, 0.025), 9) AS low, round(quantile_cont(f, 0.975), 9) AS high FROM f""")
+def bootstrap_cells_f1(spark, d):
+    out = bootstrap.interval(bootstrap.cell_f1(_gold(spark, d), "gold", "pred"), "stat")
+    return out.select("resamples", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(f"""WITH {_GOLD}, {_cells("SELECT gold::INT - pred::INT AS d, (gold::INT - pred::INT)::VARCHAR AS cell, count(*) AS n FROM g GROUP BY 1, 2", 10_000)}, s AS (SELECT resample, sum(w * d)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS s FROM c GROUP BY resample) SELECT avg((s <= 0)::INT) AS p_value, 1 - avg((s <= 0)::INT) AS win_rate FROM s""")
+def paired_cells_bootstrap(spark, d):
+    g = _gold(spark, d).select(F.col("gold").cast("int").alias("a"), F.col("pred").cast("int").alias("b"))
+    return bootstrap.cell_paired_test(g, "a", "b")
+
+
 # Joins, sets, samples, sinks
 
 

@@ -334,3 +334,31 @@ def test_counts_are_damped(spark):
     counts = {"tea": 3, "cup": 1, "tea tea": 2, "tea cup": 1}
     got = {vocabulary[i]: x for i, x in zip(row["_damped"].indices, row["_damped"].values)}
     assert got.keys() == counts.keys() and all(abs(got[t] - 1 - math.log(n)) < 1e-12 for t, n in counts.items())
+
+
+def test_a_run_is_taken_up_after_its_last_whole_stage(spark, tmp_path, monkeypatch):
+    r, folder = fixtures.reviews(spark), f"file://{tmp_path}/stages"
+    want = {(x.sample_id, x.canonical_text, x.score, x.cluster_id) for x in pipeline.run(r).collect()}
+    whole = pipeline.clusters.assign_clusters
+
+    def killed(*_, **__):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(pipeline.clusters, "assign_clusters", killed)
+    first, second, third, fourth = [], [], [], []
+    with pytest.raises(RuntimeError):
+        pipeline.run(r, resume=folder, made=first)
+    monkeypatch.setattr(pipeline.clusters, "assign_clusters", whole)
+    got = pipeline.run(r.repartition(3), resume=folder, made=second)
+    assert first == ["sentences", "views", "accepted", "suggestions", "evidence", "arrivals"] and second == ["clusters"]
+    assert {(x.sample_id, x.canonical_text, x.score, x.cluster_id) for x in got.collect()} == want
+    pipeline.run(r, pipeline.ablation("no_image"), resume=folder, made=third)  # another configuration starts anew, and the old stages go
+    assert third[0] == "sentences" and len(list((tmp_path / "stages").iterdir())) == 1
+    pipeline.run(r.limit(4), pipeline.ablation("no_image"), resume=folder, made=fourth)
+    assert fourth[0] == "sentences" and len(list((tmp_path / "stages").iterdir())) == 1
+
+
+def test_texts_that_mean_the_same_become_one(spark):
+    r = spark.createDataFrame([("a", "tech_software", "Please add a dark mode now. Please kindly add a dark mode now. Please fix the search.", None, None, 0.8, None)], fixtures.REVIEW_COLUMNS)
+    plain, merged = (pipeline.run(r, pipeline.Config(merge=m)).collect() for m in (False, True))
+    assert len(plain) == 3 and sorted(x.frequency for x in merged) == [1, 2]

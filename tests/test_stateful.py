@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from nuggetry.operators import clusters, matching, memory, ranking, similarity
+from nuggetry.operators import bootstrap, clusters, cosine, matching, memory, ranking, similarity
 from nuggetry.plans import queries
 from nuggetry.sources.work import fresh, settle
 from nuggetry.streaming import index
@@ -224,6 +225,40 @@ def test_three_batches_through_the_index_equal_one_join(spark):
     assert sorted(map(str, small)) == sorted(map(str, big)) and small
 
 
+def test_cosine_topk_against_all_pairs(spark):
+    """Around a few directions, so that bounds rule blocks out; ties, and vectors without a direction."""
+    gen = np.random.default_rng(3)
+    centres = gen.normal(size=(6, 8))
+    v = {i: (centres[i % 6] * gen.uniform(0.5, 3) + 0.05 * gen.normal(size=8)).tolist() for i in range(600)}
+    v |= {600 + i: v[5] for i in range(15)} | {700: None, 701: [], 702: [0.0] * 8, 703: [float("nan")] * 8, 704: [1.0] * 7 + [None], 705: [float("inf")] * 8}
+    df = spark.createDataFrame(list(v.items()), "id long, vector array<double>")
+    trace = []
+    out = cosine.cosine_topk(df.where("id % 20 = 0 OR id >= 700"), df, 5, block=20, chunk=10, trace=trace)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.id, round(r.cosine, 9)))
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in v.items() if i < 700}
+    assert set(got) == {i for i in range(0, 700, 20) if i in unit}
+    for q, found in got.items():
+        best = sorted((-round(float(unit[q] @ u), 9), i) for i, u in unit.items() if i != q)[:5]
+        assert [c for *_, c in sorted(found)] == [-c for c, _ in best]
+    assert trace[0] < trace[1] / 2
+    assert cosine.cosine_topk(df.where("id >= 700"), df, 5).count() == 0
+
+
+def test_draws_of_cells_are_those_of_their_rows(spark):
+    """Mean and spread of the number of rows of a cell in a resample are those of Poisson(n); intervals agree with rows."""
+    cells = spark.createDataFrame([(f"c{n}", n) for n in (1, 7, 32, 33, 500, 40_000)], "cell string, n long").crossJoin(spark.range(1, 4001).withColumnRenamed("id", "resample"))
+    draws = cells.select("cell", "n", bootstrap.cell_draw(F.col("cell"), F.col("n"), F.col("resample")).alias("w"))
+    for r in draws.groupBy("n").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("var"), F.min("w").alias("low"), F.skewness("w").alias("skew")).collect():
+        assert abs(r["mean"] - r.n) < 5 * (r.n / 4000) ** 0.5 and abs(r["var"] / r.n - 1) < 0.12 and r.low >= 0 and abs(r.skew - r.n**-0.5) < 0.2
+    df = spark.range(3000).select("id", (F.col("id") % 3 > 0).alias("gold"), (F.col("id") % 5 > 0).alias("pred"))
+    one = bootstrap.interval(bootstrap.f1_statistic(df, "id", "gold", "pred", n=300), "stat").first()
+    two = bootstrap.interval(bootstrap.cell_f1(df, "gold", "pred", n=3000), "stat").first()
+    assert abs(one["mean"] - two["mean"]) < 0.002 and abs(one.low - two.low) < 0.004 and abs(one.high - two.high) < 0.004
+    assert bootstrap.cell_mean(df.limit(0).select(F.lit(1).alias("v")), "v", n=10).count() == 0
+
+
 def test_greedy_match_against_a_loop(spark):
     rnd = random.Random(5)
     preds = [(g, i, " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 4)))) for g in range(20) for i in range(6)]

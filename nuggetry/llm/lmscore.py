@@ -7,6 +7,11 @@ is the mean over its tokens of target loss minus background loss: below zero, it
 The counts grow with the corpus. Blocks of documents send each distinct n-gram once to its bucket, a range of keys,
 where the counts of all blocks meet, and get back the counts that differ from their own. Words are taken as they are
 written; n-grams are known by 48-bit hashes, which travel as sorted differences, byte by byte.
+
+A block is cut into ``FAN`` ranges at most, and no more than about ``FAN`` blocks meet in one. A larger corpus goes up in tiers: the
+runs of one range and one set of blocks are merged and cut into ``FAN`` finer ranges, which meet those of the other sets, until
+a range is a bucket and its set has all blocks; the counts come back the same way. So a row holds hundreds of n-grams and a group
+a bounded number of rows, however large the corpus.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ CONCENTRATION = 8.0
 #: Text bytes of a block of documents, and n-grams that a bucket of counts is laid out for.
 BLOCK, BUCKET = 8 << 20, 1_000_000
 KEY_BITS = 48
+#: Ranges that a run of counts is cut into at most, and runs that are merged at a time, about.
+FAN = 1024
 #: A word is a CJK character, a run of ASCII letters, digits and other non-ASCII characters, or one other visible byte.
 _WORD = re.compile(rb"[\xe3-\xed][\x80-\xbf]{2}|(?:[0-9A-Za-z]|[\xc2-\xe2\xee-\xf4][\x80-\xbf]+)+|[^\x00-\x20\x7f]")
 
@@ -152,60 +159,111 @@ def _counted(docs: bytes, n: int, tokens: bytes, n_vocabulary: int, vocabulary:
     return rows, size, keys, place[word], place[len(hashes) + pair], place[before], *own
 
 
-def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, a range of keys, starts in sorted ``keys``, and the end."""
-    high = keys >> np.uint64(KEY_BITS - 32)
-    return np.searchsorted(high * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+def _range_starts(keys: np.ndarray, buckets: int, width: int, first: int, ranges: int) -> np.ndarray:
+    """Where each range of ``width`` buckets starts in sorted ``keys``, ``ranges`` of them from the number ``first`` on, and the end."""
+    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(bucket // np.uint64(width), np.arange(first, first + ranges + 1, dtype=np.uint64))
 
 
-_SENT = "bucket int, block long, n int, data binary"
+_SENT = "bucket long, grp long, block long, n int, data binary"
 _PARTS = ("docs", "n", "tokens", "n_vocabulary", "vocabulary")
 
 
-def _sent(buckets: list, blocks: list, n: list, data: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "block", "n", "data"])
+def _sent(buckets: list, groups: list, blocks: list, n: list, data: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((buckets, groups, blocks, n, data), kinds)], names=["bucket", "grp", "block", "n", "data"])
+
+
+def _cut(keys: np.ndarray, target: np.ndarray, every: np.ndarray, start: np.ndarray, first: int, group: int, block: int) -> pa.RecordBatch:
+    """A run as rows of its ranges that are not empty."""
+    some = np.nonzero(np.diff(start))[0]
+    cuts = [slice(start[b], start[b + 1]) for b in some]
+    return _sent(some + first, [group] * len(some), [block] * len(some), [c.stop - c.start for c in cuts], [_pack(_steps(keys[c]), target[c], every[c]) for c in cuts])
 
 
-def _send(buckets: int):
+def _send(buckets: int, width: int, groups: int):
+    """Blocks to rows of the first tier, their blocks dealt to so many groups."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, block in enumerate(batch.column("block")):
+            for i, block in enumerate(batch.column("block").to_pylist()):
                 _, _, keys, *_, target, every = _counted(*(batch.column(c)[i].as_py() for c in _PARTS))
-                start = _bucket_starts(keys, buckets)
-                some = np.nonzero(np.diff(start))[0]
-                cuts = [slice(start[b], start[b + 1]) for b in some]
-                yield _sent(some, [block.as_py()] * len(some), [c.stop - c.start for c in cuts], [_pack(_steps(keys[c]), target[c], every[c]) for c in cuts])
+                start = _range_starts(keys, buckets, width, 0, -(-buckets // width))
+                yield _cut(keys, target, every, start, 0, xxhash.xxh64_intdigest(block.to_bytes(8, "little")) % groups, block)
 
     return run
 
 
-def _meet(sent: pa.Table) -> pa.Table:
-    """The counts of one bucket over all blocks, back to each block where they differ from its own."""
-    n, bucket, blocks = (sent.column(c).to_pylist() for c in ("n", "bucket", "block"))
+def _together(sent: pa.Table) -> tuple:
+    """The runs of a group: their sizes, own counts one after the other, the distinct keys, where each stands among these, and
+    the summed counts of these."""
+    n = sent.column("n").to_pylist()
     parts = [_unpack(d.as_py(), m, 3) for d, m in zip(sent.column("data"), n)]
     keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
-    target, every = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
-    at = np.unique(keys, return_inverse=True)[1]
-    both = [np.bincount(at, weights=own).astype(np.uint64)[at] for own in (target, every)]
-    changed, out, done = (both[0] != target) | (both[1] != every), [], 0
+    own = [np.concatenate([x[k] for x in parts]) for k in (1, 2)]
+    keys, at = np.unique(keys, return_inverse=True)
+    return n, own, keys, at, [np.bincount(at, weights=x, minlength=len(keys)).astype(np.uint64) for x in own]
+
+
+def _merge(buckets: int, width: int, fan: int):
+    """A group's runs as one, cut into the ranges of the next tier, whose ``width`` is given."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        bucket, group = sent.column("bucket")[0].as_py(), sent.column("grp")[0].as_py()
+        _, _, keys, _, (target, every) = _together(sent)
+        start = _range_starts(keys, buckets, width, bucket * fan, fan)
+        return pa.Table.from_batches([_cut(keys, target, every, start, bucket * fan, group // fan, group)])
+
+    return run
+
+
+def _answered(sent: pa.Table, n: list, own: list, at: np.ndarray, whole: list) -> pa.Table:
+    """The whole counts, back to each run where they differ from its own."""
+    both = [x[at] for x in whole]
+    changed, out, done = (both[0] != own[0]) | (both[1] != own[1]), [], 0
     for m in n:
         where = np.nonzero(changed[done : done + m])[0]
         out.append((len(where), _pack(_steps(where), both[0][done + where], both[1][done + where])))
         done += m
-    return pa.Table.from_batches([_sent(bucket, blocks, [x[0] for x in out], [x[1] for x in out])])
+    bucket, group, block = (sent.column(c).to_pylist() for c in ("bucket", "grp", "block"))
+    return pa.Table.from_batches([_sent(bucket, group, block, [x[0] for x in out], [x[1] for x in out])])
+
+
+def _meet(sent: pa.Table) -> pa.Table:
+    """The counts of one bucket over all blocks, back to each run."""
+    n, own, _, at, whole = _together(sent)
+    return _answered(sent, n, own, at, whole)
+
+
+def _apply(back: pa.Table, start: np.ndarray, first: int, target: np.ndarray, every: np.ndarray) -> None:
+    """Puts the counts that came back for the ranges of a run into its own."""
+    for b, m, data in zip(back.column("bucket").to_pylist(), back.column("n").to_pylist(), back.column("data")):
+        where, t, e = _unpack(data.as_py(), m, 3)
+        place = start[b - first] + np.cumsum(where).astype(np.int64)
+        target[place], every[place] = t, e
+
+
+def _pass_on(buckets: int, width: int, fan: int):
+    """What came back for a merged run, to the runs that it was merged from; ``width`` is that of its ranges."""
+
+    def run(sent: pa.Table, back: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return sent.slice(0, 0)
+        bucket = sent.column("bucket")[0].as_py()
+        n, own, keys, at, whole = _together(sent)
+        _apply(back, _range_starts(keys, buckets, width, bucket * fan, fan), bucket * fan, *whole)
+        return _answered(sent, n, own, at, whole)
+
+    return run
 
 
-def _rate(buckets: int, n_target: int, n_all: int, n_words: int, schema: pa.Schema):
+def _rate(buckets: int, width: int, n_target: int, n_all: int, n_words: int, schema: pa.Schema):
     def run(blocks: pa.Table, back: pa.Table) -> pa.Table:
         out = []
         for held in zip(*(blocks.column(c) for c in _PARTS)):
             rows, size, keys, word, pair, before, target, every = _counted(*(x.as_py() for x in held))
-            start, first = _bucket_starts(keys, buckets), np.cumsum(size) - size
-            for b, m, data in zip(back.column("bucket").to_pylist(), back.column("n").to_pylist(), back.column("data")):
-                where, t, e = _unpack(data.as_py(), m, 3)
-                at = start[b] + np.cumsum(where).astype(np.int64)
-                target[at], every[at] = t, e
-            mean = []
+            _apply(back, _range_starts(keys, buckets, width, 0, -(-buckets // width)), 0, target, every)
+            first, mean = np.cumsum(size) - size, []
             for counts, n in ((target, n_target), (every, n_all)):
                 p = (counts[word] + CONCENTRATION / n_words) / (n + CONCENTRATION)
                 loss = -np.log((counts[pair] + CONCENTRATION * p) / (counts[before] + CONCENTRATION))
@@ -220,7 +278,31 @@ def _rate(buckets: int, n_target: int, n_all: int, n_words: int, schema: pa.Sche
     return run
 
 
-def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) -> DataFrame:
+def whole_counts(parts: DataFrame, buckets: int, blocks: int, fan: int = FAN, trace: list | None = None) -> tuple[DataFrame, int]:
+    """The rows that go back to each block, and how many buckets make a range of theirs. ``trace`` gets, by tier, the most
+    rows that a run is cut into and the most that meet in a group."""
+    tiers = 1
+    while fan**tiers < max(buckets, blocks):
+        tiers += 1
+    widths, sent = [fan ** (tiers - t) for t in range(1, tiers + 1)], []
+    for t, width in enumerate(widths):
+        if not t:
+            rows = parts.mapInArrow(_send(buckets, width, 1 if tiers == 1 else -(-blocks // fan)), _SENT)
+        else:
+            rows = sent[-1].groupBy("bucket", "grp").applyInArrow(_merge(buckets, width, fan), _SENT)
+        sent.append(rows if tiers == 1 else cut(rows))
+        if trace is not None:
+            child = F.struct("block", F.floor(F.col("bucket") / fan)) if t else F.col("block")
+            most = lambda *by: rows.groupBy(*by).count().agg(F.max("count")).first()[0]  # noqa: B023, E731
+            trace.append((most(child), most("bucket", "grp")))
+    back = sent[-1].groupBy("bucket").applyInArrow(_meet, _SENT)
+    for rows, width in zip(reversed(sent[:-1]), reversed(widths[1:])):
+        ours = back.select(F.floor(F.col("bucket") / fan).alias("_run"), F.col("block").alias("_grp"), "bucket", "n", "data")
+        back = rows.groupBy("bucket", "grp").cogroup(ours.groupBy("_run", "_grp")).applyInArrow(_pass_on(buckets, width, fan), _SENT)
+    return back, widths[0]
+
+
+def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000, fan: int = FAN) -> DataFrame:
     """``(doc_id, n_tokens, n_words, target_xent, background_xent, xent_diff)`` of every row: its bytes and one, its
     words and one for its end, and the mean loss over the latter of both models, in nats, and their difference.
 
@@ -231,7 +313,7 @@ def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) ->
     """
     marked = _marked(docs, target_ids, rows)
     blocks = cut(marked.mapInArrow(_blocked, _BLOCK))
-    n_target, n_all = (x or 0 for x in blocks.agg(F.sum("n_target"), F.sum("n_all")).first())
+    n_target, n_all, n_blocks = (x or 0 for x in blocks.agg(F.sum("n_target"), F.sum("n_all"), F.count(F.lit(1))).first())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,11 +323,11 @@ def word_scores(docs: DataFrame, target_ids: DataFrame, rows: int = 500_000) ->
     parts = blocks.select("block", *_PARTS)
     n_words = blocks.select("n_vocabulary", "vocabulary").mapInArrow(listed, "word long").distinct().count()
     buckets = max(64, 2 * n_all // BUCKET)
-    back = parts.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_meet, _SENT)
+    back, width = whole_counts(parts, buckets, n_blocks, fan)
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_words", T.LongType())])
     for name in ("target_xent", "background_xent", "xent_diff"):
         kind = kind.add(name, T.DoubleType())
-    rate = _rate(buckets, n_target, n_all, n_words, to_arrow_schema(kind))
+    rate = _rate(buckets, width, n_target, n_all, n_words, to_arrow_schema(kind))
     return parts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(rate, kind)
 
 

@@ -59,6 +59,18 @@ def test_words_against_the_definition(spark):
     assert got[4]["n_words"] == 6
 
 
+def test_counts_that_go_up_in_tiers_are_the_same(spark):
+    """64 buckets by 4 are three tiers; no run is cut into more rows, and few blocks meet in a group."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").repartition(13, "doc_id")
+    good = df.where("doc_id % 3 = 0").select("doc_id")
+    one, three = ({r["doc_id"]: r for r in rows(lmscore.word_scores(df, good, fan=f))} for f in (lmscore.FAN, 4))
+    assert one == three and len(one) == 200
+    trace = []
+    blocks = lmscore.cut(lmscore._marked(df, good, 1000).mapInArrow(lmscore._blocked, lmscore._BLOCK))
+    lmscore.whole_counts(blocks.select("block", *lmscore._PARTS), 64, blocks.count(), 4, trace)
+    assert len(trace) == 3 and all(cut_into <= 4 and meet <= 12 for cut_into, meet in trace)
+
+
 @given(st.lists(st.tuples(st.integers(0, 2**48 - 1), st.integers(0, 300), st.just(0)), max_size=40))
 @settings(deadline=None)
 def test_packed_columns_come_back(rows):

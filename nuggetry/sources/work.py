@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Broadcasts of tables whose row count is checked first go up to here; beyond, a shuffle join runs.
 BROADCAST_ROWS = 100_000
+#: Tables of at most so many rows are put in order by one task.
+ORDERED_ROWS = 10_000
 
 _local: list[str] = []
 
@@ -66,7 +68,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 def positions(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """``df`` with its position, from 1, in a total order. Rows are sorted in ranges; a range's rows are numbered where
-    they are, and the rows of the ranges before it are added. The sorted table goes with ``discard``."""
+    they are, and the rows of the ranges before it are added. Up to ``ORDERED_ROWS`` rows, which a count checks, are one range,
+    and nothing is written; else the sorted table goes with ``discard``."""
+    if df.limit(ORDERED_ROWS + 1).count() <= ORDERED_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     n = F.monotonically_increasing_id()
     rows = settle(df.orderBy(*order).select("*", F.shiftright(n, 33).alias("_range"), n.bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")), "sorted")
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))

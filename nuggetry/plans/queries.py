@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..sources import media, readers, sinks
 from ..sources.work import fresh, positions, settle, spread
 from ..streaming import memory as streaming
 from . import evaluation, fixtures, pipeline
-from .providers import BANDS, RuleProvider, sentence_kind, split_sentences, with_topics
+from .providers import BANDS, BASELINES, ModelProvider, RuleProvider, sentence_kind, split_sentences, with_topics, zero_shot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -311,9 +312,12 @@ def best_sentence(spark, d):
     return _texts(spark, d).select("id", rules.best_sentence("text").alias("best"))
 
 
-_TONE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN p > 40 AND e > 0.04 AND w > 160 AND k > 2 THEN 'angry' WHEN p > 25 AND r > 0.15 AND k > 0 THEN 'frustrated' WHEN p < 20 AND w < 120 AND r > 0.2 THEN 'sarcastic'
-  WHEN e < 0.02 AND w < 110 AND n > 3 THEN 'sad' WHEN p > 35 AND w > 170 AND e > 0.03 THEN 'enthusiastic' ELSE 'neutral' END AS tone FROM
-  (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS p, l_discount::DOUBLE AS e, (l_partkey % 200)::DOUBLE AS w, l_linenumber AS n, l_suppkey % 4 AS k, (l_linenumber * 1.0) / greatest((l_orderkey % 20)::DOUBLE, 0.1) AS r FROM lineitem)"""
+_TONES = [
+    ("angry", "p > 40 AND e > 0.04 AND w > 160 AND k > 2", "least(0.9, 0.5 + p / 100)"), ("frustrated", "p > 25 AND r > 0.15 AND k > 0", "least(0.85, 0.5 + r)"), ("sarcastic", "p < 20 AND w < 120 AND r > 0.2", "least(0.75, 0.4 + 0.2 / greatest(p, 1.0) * 10)"),
+    ("sad", "e < 0.02 AND w < 110 AND n > 3", "least(0.8, 0.5 + n * 0.05)"), ("enthusiastic", "p > 35 AND w > 170 AND e > 0.03", "least(0.85, 0.5 + w / 300)"),
+]
+_TONE_SQL = f"""SELECT l_orderkey, l_linenumber, CASE {' '.join(f"WHEN {when} THEN '{name}'" for name, when, _ in _TONES)} ELSE 'neutral' END AS tone, round((CASE {' '.join(f"WHEN {when} THEN {sure}" for _, when, sure in _TONES)} ELSE 0.6 END)::DOUBLE, 9) AS confidence FROM
+  (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS p, l_discount::DOUBLE AS e, (l_partkey % 200)::DOUBLE AS w, l_linenumber::DOUBLE AS n, l_suppkey % 4 AS k, (l_linenumber * 1.0)::DOUBLE / greatest((l_orderkey % 20)::DOUBLE, 0.1) AS r FROM lineitem)"""
 
 
 @query(_TONE_SQL)
@@ -322,7 +326,7 @@ def acoustic_tone(spark, d):
         F.col("l_quantity").cast("double").alias("pitch_variability"), F.col("l_discount").cast("double").alias("energy_variability"), (F.col("l_partkey") % 200).cast("double").alias("speaking_rate_wpm"), F.col("l_linenumber").cast("double").alias("total_pause_seconds"),
         (F.col("l_orderkey") % 20).cast("double").alias("duration_seconds"), F.col("l_linenumber").alias("pause_count"), (F.col("l_suppkey") % 4).alias("emphasis_count"),
     )
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.tone(a)["tone"].alias("tone"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.tone(a)["tone"].alias("tone"), F.round(rules.tone(a)["confidence"], 9).alias("confidence"))
 
 
 # Routing
@@ -384,9 +388,9 @@ def switch_summary(spark, d):
     return routing.switch_stats(routing.switch(_suggestions(spark, d)))
 
 
-@query(f"SELECT conv_id, turn, {s_act('text')} AS actionability, {s_feas('text')} AS feasibility, {s_spec('text')} AS specificity FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, {s_act('text')} AS actionability, {s_feas('text')} AS feasibility, {s_spec('text')} AS specificity FROM conversations")
 def gate_scores(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", rules.actionability("text").alias("actionability"), rules.feasibility("text").alias("feasibility"), rules.specificity("text").alias("specificity"))
+    return table(spark, d, "conversations").select("conv_id", "turn", rules.actionability("text").alias("actionability"), rules.feasibility("text").alias("feasibility"), rules.specificity("text").alias("specificity"))
 
 
 _APOS = "chr(39)"
@@ -445,7 +449,12 @@ def evidence_keywords(spark, d):
     return evidence.keyword_evidence(asked, sents).select("sample_id", "suggestion_id", "pos", "confidence")
 
 
-@query()
+_SEGMENTS = r"""p AS (SELECT conv_id || '-' || turn AS sample_id, text AS t, list_filter(list_transform(string_split_regex(regexp_replace(text, ',\s+((?:um|uh|like|so|and)\s)', chr(1) || '\1', 'g'), '[.!?]+\s*|(?:\.{3}|…)\s*|\x01'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
+  r AS (SELECT sample_id, 0::BIGINT AS k, 0::BIGINT AS c, 0.0::DOUBLE AS t1, NULL::VARCHAR AS s, NULL::BIGINT AS a, NULL::DOUBLE AS t0 FROM p UNION ALL
+    SELECT sample_id, k + 1, a + length(s), was + len(string_split_regex(s, '\s+')) / 2.5::DOUBLE, s, a, was FROM (SELECT sample_id, k, parts[k + 1] AS s, r.t1 AS was, c + greatest(strpos(substr(t, c + 1), parts[k + 1]) - 1, 0) AS a FROM r JOIN p USING (sample_id) WHERE k < len(parts)))"""
+
+
+@query(f"WITH RECURSIVE {_SEGMENTS} SELECT sample_id, (k - 1)::INT AS idx, s AS text, a::INT AS char_start, c::INT AS char_end, round(t0, 1) AS est_start, round(t1, 1) AS est_end FROM r WHERE k > 0")
 def transcript_segments(spark, d):
     c = table(spark, d, "conversations")
     return evidence.segments(c.select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), F.col("text").alias("transcript")))
@@ -603,14 +612,14 @@ def rolling_approval(spark, d):
     return streaming.rolling_approval(e).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(f"""WITH m AS (SELECT max(value) AS m FROM events), e AS (SELECT event_id, event_type, user_id % 5 AS domain, value / m AS a, {_DECIDE} AS decision, user_id FROM events, m), q AS (SELECT * FROM e WHERE event_type = 'purchase'),
+@query(f"""WITH m AS (SELECT max(value) AS m FROM events), e AS (SELECT event_id, event_type, user_id % 5 AS domain, value / m AS a, {_DECIDE} AS decision, user_id FROM events, m), q AS (SELECT * FROM e),
   r AS (SELECT q.event_id, count(*) AS n, avg((e.user_id % 2 = 0)::INT) AS r FROM q JOIN e ON q.event_type = e.event_type AND q.domain = e.domain AND abs(e.a - q.a) < 0.02 GROUP BY q.event_id)
   SELECT q.event_id AS id, CASE WHEN n >= 3 THEN round(r, 3) ELSE 0.5 END AS modal_expected_acceptance FROM q LEFT JOIN r USING (event_id)""")
 def band_expectation(spark, d):
     e = table(spark, d, "events")
     top = F.broadcast(e.agg(F.max("value").alias("m")))  # one row
     log = e.join(top).select(F.col("event_id").alias("id"), F.col("event_type").alias("dominant_modality"), (F.col("user_id") % 5).alias("domain"), (F.col("value") / F.col("m")).alias("alignment_score"), F.when(F.col("user_id") % 2 == 0, "accept").otherwise("reject").alias("decision"))
-    return memory.expected_acceptance(log.where("dominant_modality = 'purchase'").drop("decision"), log.drop("id"), band=0.02).select("id", "modal_expected_acceptance")
+    return memory.expected_acceptance(log.drop("decision"), log.drop("id"), band=0.02).select("id", "modal_expected_acceptance")
 
 
 @query("""SELECT md5(trim(lower(text))) AS pattern, count(*) AS count, count(*) FILTER (WHERE n_chars % 2 = 0) AS accepted_count, count(DISTINCT source)::INT AS domain_count, round(count(*) FILTER (WHERE n_chars % 2 = 0) / count(*)::DOUBLE, 3) AS acceptance_rate,
@@ -936,11 +945,16 @@ def results_joined(spark, d):
     return table(spark, d, "documents").select("doc_id").join(l, "doc_id", "left").fillna(0)
 
 
-@query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT text FROM documents WHERE source = 'src0' UNION SELECT text FROM documents WHERE source = 'src1') UNION ALL SELECT 'intersect', count(*) FROM (SELECT text FROM documents WHERE source = 'src0' INTERSECT SELECT text FROM documents WHERE source = 'src1')
-  UNION ALL SELECT 'except', count(*) FROM (SELECT text FROM documents WHERE source = 'src0' EXCEPT SELECT text FROM documents WHERE source = 'src1') UNION ALL SELECT 'union_all', count(*) FROM documents WHERE source IN ('src0', 'src1')""")
+_SIDES = "x AS (SELECT trim(lower(text)) AS t FROM documents WHERE lang = 'en'), y AS (SELECT trim(lower(text)) AS t FROM documents WHERE lang IS DISTINCT FROM 'en' UNION ALL SELECT trim(lower(text)) FROM conversations)"
+
+
+@query(f"""WITH {_SIDES} SELECT 'union' AS op, count(*) AS n FROM (SELECT t FROM x UNION SELECT t FROM y) UNION ALL SELECT 'intersect', count(*) FROM (SELECT t FROM x INTERSECT SELECT t FROM y) UNION ALL SELECT 'except', count(*) FROM (SELECT t FROM x EXCEPT SELECT t FROM y)
+  UNION ALL SELECT 'union_all', count(*) FROM (SELECT t FROM x UNION ALL SELECT t FROM y)""")
 def text_set_operations(spark, d):
-    docs = table(spark, d, "documents")
-    a, b = (docs.where(F.col("source") == s).select("text") for s in ("src0", "src1"))
+    """English documents on one side, all other texts on the other."""
+    docs, key = table(spark, d, "documents"), text.canonical_key("text").alias("t")
+    english = F.col("lang").eqNullSafe("en")
+    a, b = docs.where(english).select(key), docs.where(~english).select(key).unionByName(table(spark, d, "conversations").select(key))
     named = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "union_all": a.union(b)}
     out = None
     for k, v in named.items():
@@ -1161,11 +1175,12 @@ def cross_domain(spark, d):
     return memory.cross_domain(docs.select(F.col("doc_id").alias("id"), "text"), known).select(F.col("id").alias("doc_id"), "cross_domain", "cross_domain_boost")
 
 
-@query(f"""WITH a AS (SELECT doc_id AS id, {s_set('text')} AS t FROM documents), e AS (SELECT id, t FROM a WHERE id % 7 = 0), {s_pairs('a', 'e', 0.75)}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS n FROM pairs) WHERE n = 1)
+@query(f"""WITH a AS (SELECT doc_id AS id, {s_set('text')} AS t FROM documents), e AS (SELECT doc_id AS id, {s_set("regexp_replace(text, '\\s+\\S+$', '')")} AS t FROM documents), {s_pairs('a', 'e', 0.75)}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS n FROM pairs) WHERE n = 1)
   SELECT doc_id, coalesce(right_id, -1) AS edit_id FROM documents LEFT JOIN b ON left_id = doc_id""")
 def corrections(spark, d):
+    """Every text was edited before its last word was written."""
     docs = table(spark, d, "documents")
-    edits = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("edit_id"), F.col("text").alias("original"), F.col("doc_id").cast("string").alias("corrected"))
+    edits = docs.select(F.col("doc_id").alias("edit_id"), F.regexp_replace("text", r"\s+\S+$", "").alias("original"), F.col("doc_id").cast("string").alias("corrected"))
     out = memory.corrections(docs.select(F.col("doc_id").alias("id"), "text"), edits)
     return out.select(F.col("id").alias("doc_id"), F.when(F.col("corrected_text") == F.col("text"), -1).otherwise(F.expr("try_cast(corrected_text AS bigint)")).alias("edit_id"))
 
@@ -1306,14 +1321,15 @@ def csv_round_trip(spark, d):
     return back.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query("SELECT doc_id::VARCHAR AS id, quality AS label FROM labels")
+@query("SELECT l.doc_id::VARCHAR AS id, md5(replace(text, chr(10), ' ')) AS text, quality AS label FROM labels l JOIN documents USING (doc_id)")
 def labelled_csv(spark, d):
     """Rows without a text or a whole-number label are dropped when a headerless file is read."""
     path = fresh(spark, "csv")
-    rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("a, b").alias("text"), F.col("quality").cast("string").alias("label"))
+    said = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    rows = table(spark, d, "labels").join(said, "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("quality").cast("string").alias("label"))
     odd = rows.limit(3).select("id", F.lit(None).cast("string").alias("text"), "label").unionByName(rows.limit(3).withColumn("label", F.lit("x")))
     rows.unionByName(odd).write.option("escape", '"').csv(path)
-    return readers.read_labelled(spark, path).select("id", "label")
+    return readers.read_labelled(spark, path).select("id", F.md5(F.col("text").cast("binary")).alias("text"), "label")
 
 
 @query("SELECT count(*) AS entries FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)")
@@ -1358,3 +1374,59 @@ def results_per_review(spark, d):
     ranked = ranking.rank(c.where("role = 'user'").withColumn("score", (F.col("turn") % 7).cast("double")), tie="turn")
     out = sinks.pipeline_results(c.select("sample_id").distinct(), ranked)
     return out.select("sample_id", "num_suggestions", F.md5(F.col("top_suggestion").cast("binary")).alias("top_suggestion"), "top_score")
+
+
+#: What an evaluation should reach.
+TARGETS = {"precision": 0.5, "recall": 0.8, "f1": 0.6, "kappa": 0.4, "ndcg": 0.7, "tau": 0.3, "fp_rate": 0.1, "ungrounded": 0.2}
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in TARGETS.items())}) v(metric, target))
+  SELECT dimension, metric, value, target, CASE WHEN metric IN ('fp_rate', 'ungrounded') THEN value <= target ELSE value >= target END AS met FROM ({ORACLE['full_evaluation']}) LEFT JOIN t USING (metric)""")
+def evaluation_targets(spark, d):
+    """The whole evaluation against what it should reach."""
+    return evaluation.against_targets(full_evaluation(spark, d), TARGETS, at_most=("fp_rate", "ungrounded"))
+
+
+def _stub_client():
+    """Stands for a model: what it is asked it answers from the words of the prompt alone."""
+
+    def answer(prompt: str) -> str:
+        said = prompt.rpartition("\n\n")[2].partition(": ")[2]
+        yes = int(" the " in said or " und " in said)
+        return "Here it is:\n```json\n" + json.dumps({"is_suggestion": yes, "label": 1 - yes, "reasoning": "words"}) + "\n```"
+
+    return answer
+
+
+_HEADS = {style: len(head) for style, (head, _) in BASELINES.items()}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{style}' AS style, (contains(left(text, 16000 - {n}), ' the ') OR contains(left(text, 16000 - {n}), ' und ')) {'= false' if style == 'entailment' else ''} AS pred FROM documents" for style, n in _HEADS.items()))
+def zero_shot_baselines(spark, d):
+    """The three prompts put to a client, replies with prose and fences around the JSON."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    out = None
+    for style in BASELINES:
+        part = zero_shot(ModelProvider(_stub_client, retries=1, pause=0.0), docs, style).select("doc_id", F.lit(style).alias("style"), "pred")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT lang AS system, precision, recall, f1 FROM (" + ORACLE["detection_by_slice"].replace("SELECT slice, value,", "SELECT slice, value AS lang,") + ") WHERE slice = 'lang'")
+def metrics_json(spark, d):
+    """Metrics written as JSON and read back."""
+    path = fresh(spark, "metrics")
+    sinks.write_metrics(metrics.detection_by(_gold(spark, d), ["lang"]).where("slice = 'lang'").select(F.col("value").alias("system"), "precision", "recall", "f1"), path)
+    return spark.read.schema("system string, precision double, recall double, f1 double").json(path)
+
+
+@query("""SELECT 'R' || conv_id || '-' || turn AS entry_id, md5(text) AS raw_text, turn % 3 = 0 AS has_image, turn % 2 = 0 AS is_suggestion, CASE turn % 3 WHEN 0 THEN 'a picture' ELSE '' END AS image_description FROM conversations""")
+def review_csv(spark, d):
+    """Reviews of a CSV file, with flags as people write them and marks for what is missing."""
+    path, t = fresh(spark, "csv"), F.col("turn")
+    c = table(spark, d, "conversations")
+    names = {"entry_id": F.concat(F.lit("R"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string")), "raw_text": F.col("text"), "has_image": F.when(t % 3 == 0, "Yes").otherwise("no"), "has_audio": F.lit("0"), "is_suggestion": F.when(t % 2 == 0, "1.0").otherwise("False")}
+    names |= {"image_description": F.when(t % 3 == 0, " a picture ").when(t % 3 == 1, "nan").otherwise("—"), "audio_description": F.lit("None")}
+    missing = [F.lit("x").alias(x) for x in readers.REQUIRED if x not in names]
+    sinks.write_csv(c.select(*[v.alias(k) for k, v in names.items()], *missing), path)
+    return readers.read_reviews(spark, path).select("entry_id", F.md5(F.col("raw_text").cast("binary")).alias("raw_text"), "has_image", "is_suggestion", "image_description")

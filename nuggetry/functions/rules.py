@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lex
+from .automaton import Scan
 from .text import lit_array, split_action, text, token_set, word_count, words
 
 
@@ -38,6 +39,19 @@ def cue_or_sentiment(c) -> Column:
     return has_any(c, lex.SUGGESTION_CUES) | has_any(c, lex.NEGATIVE_WORDS)
 
 
+#: What the detection rules ask of a text, to be read off one pass over it.
+SCAN = Scan({"cues": lex.SUGGESTION_CUES, "negative": lex.NEGATIVE_WORDS}, {"complaints": lex.IMPLICIT_COMPLAINTS, **lex.ROLE_PATTERNS})
+
+
+def detection(c, hits: Column) -> dict[str, Column]:
+    """rule_detect(), cue_or_sentiment() and span_role() of a text from the ``hits`` of ``SCAN`` in it: long texts are
+    read once, and patterns are tried where they can match."""
+    cue, role = SCAN.has(hits, "cues"), F.lit(lex.DEFAULT_ROLE)
+    for name in reversed(lex.ROLE_PATTERNS):
+        role = F.when(SCAN.matches(hits, c, name), name).otherwise(role)
+    return {"rule": cue | SCAN.matches(hits, c, "complaints"), "cue_or_negative": cue | SCAN.has(hits, "negative"), "role": role}
+
+
 def best_sentence(c) -> Column:
     """The first sentence that holds the most of the suggestion keywords, trimmed."""
     sents = F.split(text(c), "[.!?]+")

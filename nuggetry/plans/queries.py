@@ -302,8 +302,9 @@ _NATIVE = ["the", "and", "of", "with", "der", "que"]
 
 @query(f"SELECT doc_id, {_RULE} AS rule, {s_any('text', lex.SUGGESTION_CUES)} OR {s_any('text', lex.NEGATIVE_WORDS)} AS cue_or_negative, {s_count('text', _NATIVE)}::INT AS native, {_ROLE_CASE} AS role FROM documents")
 def rule_detect_docs(spark, d):
-    t = table(spark, d, "documents")
-    return t.select("doc_id", rules.rule_detect("text").alias("rule"), rules.cue_or_sentiment("text").alias("cue_or_negative"), rules.n_of("text", _NATIVE).alias("native"), rules.span_role("text").alias("role"))
+    t = table(spark, d, "documents").withColumn("_hits", rules.SCAN.hits("text"))
+    found = rules.detection("text", F.col("_hits"))
+    return t.select("doc_id", *[c.alias(k) for k, c in found.items()], rules.n_of("text", _NATIVE).alias("native"))
 
 
 @query(f"""WITH {_TEXTS}, s AS (SELECT id, unnest(string_split_regex(text, '[.!?]+')) AS part, generate_subscripts(string_split_regex(text, '[.!?]+'), 1) AS i FROM t)

@@ -86,3 +86,29 @@ def test_emphasis_and_features(spark):
     said = spark.range(1).select(rules.acoustic_description(a), rules.acoustic_features(a)).first()
     assert said[0].startswith("Audio: angry tone, rapid pace, strong emphasis on b, a, c, 4 pauses (longest 1.") and said[0].endswith("highly variable pitch (emotional).")
     assert "emphasis=a/b/c/d" in said[1]
+
+
+def test_one_pass_finds_what_the_patterns_find(spark):
+    """Needed literals stand in every match, and the rules by one pass are the rules one by one."""
+    import random
+    import re
+
+    from nuggetry.functions import lexicon as lex
+    from nuggetry.functions import rules
+    from nuggetry.functions.automaton import needed
+
+    assert needed(r"keeps?\s+(?:crash|freez)") == {"crash", "freez"} and needed(r"[!]{2,}") == {"!"} and needed(r"\w+") is None and needed("(a|bc)d?") == {"a", "bc"} and needed("x*") is None
+    rnd = random.Random(1)
+    words = "please add can you like it does has this that keeps crashing so slow too big always never going better than the would love wish there doesn't work !! urgent lost I need to other apps offers compared to cant use anymore ÄRGER Bad SHOULD".split(" ")
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 9))) for _ in range(600)] + [None, ""]
+    for patterns in [*lex.ROLE_PATTERNS.values(), lex.IMPLICIT_COMPLAINTS]:
+        for t in texts[:-2]:
+            if (must := needed("|".join(patterns))) is not None and re.search("|".join(patterns), t.lower()):
+                assert any(w in t.lower() for w in must)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("h", rules.SCAN.hits("text"))
+    found = rules.detection("text", F.col("h"))
+    one = {"rule": rules.rule_detect("text"), "cue_or_negative": rules.cue_or_sentiment("text"), "role": rules.span_role("text")}
+    bad = df.where(~sum(((c.eqNullSafe(one[k])).cast("int") for k, c in found.items()), F.lit(0)).eqNullSafe(3))
+    assert bad.count() == 0
+    counted = df.select((rules.SCAN.count(F.col("h"), "cues") == rules.n_of("text", lex.SUGGESTION_CUES)).alias("same"))
+    assert counted.where("same").count() == len(texts)
